@@ -1,2 +1,232 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Problem 9: evaluation items inside documents, by template canonicalisation.
+
+Words are runs of [a-z0-9] after lower-casing. A word's template is a typed placeholder if it is a number, a unit or a
+name, else itself; it depends on the word alone, so windows with equal words have equal templates. Template
+windows of the items are hash-joined with those of all documents; the slots (the words behind the placeholders)
+then tell verbatim leaks (slots equal) from re-parameterised ones (slots mapped one to one).
+"""
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.llm.hashing import U, blocks, mix
+
+WORD = re.compile(r"[a-z0-9]+")
+CASED = re.compile(r"[A-Za-z0-9]+")
+NUMBER = re.compile(r"[0-9]+|0x[0-9a-f]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|fifty|hundred|thousand")
+UNITS = frozenset("ms s sec secs second seconds minute minutes hour hours day days week weeks month months year years byte bytes kb mb gb tb kib mib gib mm cm m km inch inches mile miles g kg mg lb lbs pound pounds eur usd dollar dollars euro euros percent degree degrees hz khz mhz ghz w kw px line lines thread threads row rows file files".split())
+PLACEHOLDERS = {"number": 1, "unit": 2, "name": 3}
+BASE = 0x9E3779B97F4A7C15 | 1
+MASK = (1 << 64) - 1
+ITEM_BLOCK = 2_000_000
+
+
+def name_words(texts: list) -> set[str]:
+    """Words of item texts that are written with a capital wherever they occur, at least once not after a full stop."""
+    seen: dict[str, int] = {}
+    for text in texts:
+        before = "."
+        for m in CASED.finditer(text or ""):
+            w = m.group()
+            kind = 0 if not w[0].isupper() else 1 if before in ".!?:" else 2
+            low = w.lower()
+            seen[low] = 0 if kind == 0 or seen.get(low) == 0 else max(kind, seen.get(low, 1))
+            before = (text[m.end() : m.end() + 1] or ".").replace("\n", ".")
+    return {w for w, kind in seen.items() if kind == 2}
+
+
+class Templates:
+    """word -> row of (hash of the word, hash of its template, whether it is a slot); emptied between blocks when large."""
+
+    def __init__(self, names: set[str], most: int = 500_000):
+        self.names, self.most = names, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows: list[tuple[int, int, bool]] = []
+        self.table = np.empty((0, 2), U), np.empty(0, bool)
+
+    def _of(self, word: str) -> tuple[int, int, bool]:
+        h = xxhash.xxh3_64_intdigest(word)
+        kind = "number" if word[0].isdigit() or NUMBER.fullmatch(word) else "unit" if word in UNITS else "name" if word in self.names else None
+        return h, xxhash.xxh3_64_intdigest(f"<{kind}>") if kind else h, kind is not None
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word hashes, template hashes, is slot, number of words of each text)."""
+        if len(self.ids) > self.most:
+            self.clear()
+        ids, rows = self.ids, self.rows
+        flat: list[int] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = WORD.findall(text.lower()) if text else []
+            sizes[k] = len(words)
+            try:
+                flat += [ids[w] for w in words]
+            except KeyError:
+                for w in words:
+                    if w not in ids:
+                        ids[w] = len(rows)
+                        rows.append(self._of(w))
+                flat += [ids[w] for w in words]
+        done = len(self.table[1])
+        if len(rows) > done:
+            new = rows[done:]
+            self.table = np.vstack([self.table[0], np.array([r[:2] for r in new], U).reshape(-1, 2)]), np.append(self.table[1], [r[2] for r in new])
+        at = np.array(flat, np.int64)
+        return self.table[0][at, 0], self.table[0][at, 1], self.table[1][at], sizes
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(BASE, -1, 1 << 64)
+    return tuple(np.concatenate([[U(1)], np.cumprod(np.full(max(n - 1, 0), U(b)), dtype=U)])[:n] for b in (BASE, inverse))
+
+
+def rolling(t: np.ndarray, w: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Polynomial hash of each window of w successive values, modulo 2^64."""
+    if len(t) < w:
+        return np.empty(0, U)
+    sums = np.concatenate([[U(0)], np.cumsum(t * powers[0][: len(t)], dtype=U)])
+    n = len(t) - w + 1
+    return mix((sums[w:] - sums[:n]) * powers[1][:n])
+
+
+
+def item_windows(items: list[tuple], w: int, names: set[str]) -> dict[str, np.ndarray]:
+    """Windows of all items: template hash (sorted), word hash, item row, position; and the items' words."""
+    enc = Templates(names)
+    words, tmpl, slot, sizes = enc.encode([t for _, t in items])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    powers = _powers(len(words) + 1)
+    th, wh = rolling(tmpl, w, powers), rolling(words, w, powers)
+    ok = np.flatnonzero(owner[: len(th)] == owner[w - 1 :][: len(th)]) if len(th) else np.empty(0, np.int64)
+    fixed = np.convolve(~slot, np.ones(w, int), "valid")[ok] if len(ok) else np.empty(0, int)
+    order = np.argsort(th[ok], kind="stable")
+    ok = ok[order]
+    return {"template": th[ok], "words": wh[ok], "item": owner[ok], "at": ok, "fixed": fixed[order], "all": words, "slot": slot}
+
+
+def _one_to_one(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether position by position a maps to b and b to a."""
+    pairs = set(zip(a.tolist(), b.tolist()))
+    return len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
+def _probe(held, ids: list, w: int, names: set[str], changed: bool, least_fixed: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it, enc = held.value, Templates(names)
+        powers, known = _powers(1), it["template"]
+        quick = np.zeros(1 << 20, bool)
+        quick[(known >> U(44)).astype(np.int64)] = True
+        exact = {}
+        for h, item in zip(it["words"].tolist(), it["item"].tolist()):
+            exact.setdefault(h, set()).add(item)
+        for batch in batches:
+            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            out_doc, out_item, out_how = [], [], []
+            for i, j in blocks(texts):
+                words, tmpl, slot, sizes = enc.encode(texts[i:j])
+                if len(words) >= len(powers[0]):
+                    powers = _powers(2 * len(words))
+                th = rolling(tmpl, w, powers)
+                hit = np.flatnonzero(quick[(th >> U(44)).astype(np.int64)])
+                if not len(hit) or not len(known):
+                    continue
+                lo = np.searchsorted(known, th[hit])
+                lo[lo == len(known)] = 0
+                hit = hit[known[lo] == th[hit]]
+                ends = np.cumsum(sizes)
+                doc = np.searchsorted(ends, hit, side="right")
+                inside = hit + w <= ends[doc]
+                hit, doc = hit[inside], doc[inside]
+                if not len(hit):
+                    continue
+                wh = rolling(words, w, powers)[hit]
+                same: set[tuple[int, int]] = set()
+                for x, h in zip(doc.tolist(), wh.tolist()):
+                    same.update((x, item) for item in exact.get(h, ()))
+                other: set[tuple[int, int]] = set()
+                if changed:
+                    first, last = np.searchsorted(known, th[hit], "left"), np.searchsorted(known, th[hit], "right")
+                    for x, p, a, b in zip(doc.tolist(), hit.tolist(), first.tolist(), last.tolist()):
+                        for q in range(a, b):
+                            pair = (x, int(it["item"][q]))
+                            if pair in same or pair in other or it["fixed"][q] < least_fixed:
+                                continue
+                            s = it["at"][q]
+                            at = np.flatnonzero(it["slot"][s : s + w])
+                            if _one_to_one(it["all"][s + at], words[p + at]):
+                                other.add(pair)
+                for found, how in ((same, "verbatim"), (other, "changed")):
+                    for x, item in sorted(found):
+                        out_doc.append(keys[i + x])
+                        out_item.append(ids[item])
+                        out_how.append(how)
+            yield pa.RecordBatch.from_arrays([pa.array(out_doc, batch.schema.field(0).type), pa.array(out_item, kind), pa.array(out_how, pa.string())], ["doc", "item", "how"])
+
+    return run
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = 13, changed: bool = True, least_fixed: int = 8) -> DataFrame:
+    """(doc, item, how), one row each: how is verbatim (w successive words in common) or changed (w successive words equal but for numbers, units and names, which map one to one; at least least_fixed other words).
+
+    Null ids and texts, and items of fewer than w words, leak nothing; repeated rows count once; other columns are not
+    read. The items are the query set: they go to the tasks in blocks of at most ITEM_BLOCK characters (items longer
+    than that alone), one pass over the documents a block, so neither side has a bound and no
+    document data leave the executors. A template that many documents share costs each of them one lookup.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(items.schema[item_id].dataType)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("doc is not null and text is not null")
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, how string"
+    source = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
+    passes, block, size = [], [], 0
+
+    def add() -> None:
+        names = name_words([t for _, t in block])
+        held = spark.sparkContext.broadcast(item_windows(block, w, names))
+        passes.append(rows.mapInArrow(_probe(held, [i for i, _ in block], w, names, changed, least_fixed, kind), schema))
+
+    for r in source.orderBy("i", "t").toLocalIterator():
+        if block and size + len(r["t"]) > ITEM_BLOCK:
+            add()
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
+        size += len(r["t"])
+    add()
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("doc", "item").agg(F.max("how").alias("how"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item_id: documents and items with at least 13 successive words in common."""
+    found = leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"), changed=False)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item_id, how: also items whose numbers, units and names were changed."""
+    found = leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "how")
+
+
+QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks}
+SQL = {
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+bw AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM b))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN bw USING (g)"""
+}

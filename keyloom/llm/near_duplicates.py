@@ -143,7 +143,7 @@ def _sketches(w: int, m: int, rows: int, weighted: bool):
     return run
 
 
-def sketches(texts: DataFrame, key: str, text: str, w: int = 3, m: int = 160, rows: int = 5, weighted: bool = False) -> DataFrame:
+def sketches(texts: DataFrame, key: str, text: str, w: int = 3, m: int = 200, rows: int = 5, weighted: bool = False) -> DataFrame:
     """(key, bag, size, buckets, short) of each row; bag names the bag of the text, buckets and short are set for one row of each bag in a batch."""
     return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_sketches(w, m, rows, weighted), f"key {texts.schema[key].dataType.simpleString()}, bag bigint, size int, buckets array<bigint>, short binary")
 
@@ -192,15 +192,15 @@ def _verify(least: float):
     return run
 
 
-def near_duplicates(texts: DataFrame, key: str, text: str, least: float = 0.7, w: int = 3, m: int = 160, rows: int = 5, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, key: str, text: str, least: float = 0.7, w: int = 3, m: int = 200, rows: int = 5, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): key and bag of each distinct key with at least w tokens; pairs (a, b, similarity) of bags, a < b.
 
     Similarity is the Jaccard index of the bags (multisets if weighted, else sets); pairs have at least `least`.
     Texts with equal bags share one bag, similarity 1, and are never expanded into pairs. Null keys, null texts and texts
     of less than w tokens have no similarity and no row. Other columns, whatever their names, are not read.
 
-    m registers in m / rows bands: at similarity 0.7 a pair is missed with probability (1 - 0.7^5)^32 = 0.003, at 0.75
-    with 0.0002. Candidates are only those whose sizes allow the similarity; 4-bit registers then drop what is 4.5
+    m registers in m / rows bands: at similarity 0.7 a pair is missed with probability (1 - 0.7^5)^40 = 0.0006, at 0.75
+    with 0.00002. Candidates are only those whose sizes allow the similarity; 4-bit registers then drop what is 4.5
     standard deviations too different, and the elements themselves decide. No bucket is capped: the bucket join is a
     sort-merge join without further demands on its order, which adaptive execution splits where a bucket is hot, and
     copies were reduced to one row a batch before it.
