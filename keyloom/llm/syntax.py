@@ -1,2 +1,196 @@
-QUERIES: dict = {}
+"""Problem 5: source files that do not parse in the language their path declares.
+
+Texts are lexed in chunks of whole lines. A chunk is a map from the lexer state before it to the state after it and
+the classes of its tokens, together with a bracket summary (closers without openers, then openers without closers); both
+compose associatively, so a long file is lexed by many tasks and folded. The balanced statements are then
+parsed by local grammars, whose verdicts are kept by token classes. Python, JSON and XML are judged by the
+parsers that come with Python.
+"""
+
+import ast
+import json
+import sys
+import warnings
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.llm import java_grammar as java
+from keyloom.llm import script_grammar as script
+
+LANGUAGES = ["java", "py", "js", "json", "xml"]
+#: Longer Java files are lexed in chunks of about this many characters, by several tasks.
+CHUNK = 4_000_000
+MARK = "﻿"
+
+
+def declared(path: Column) -> Column:
+    """The language that the extension of a path declares, else null."""
+    ext = F.regexp_extract(path, r"\.([a-z]+)$", 1)
+    return F.when(ext.isin(LANGUAGES), ext)
+
+
+def bracket_summary(classes: str) -> tuple[str, str] | None:
+    """(closers that lack an opener, openers that lack a closer); None if a pair does not fit."""
+    closers, openers = [], []
+    for m in java.BRACKETS.finditer(classes):
+        c = m.group()
+        if c in "([{":
+            openers.append(c)
+        elif not openers:
+            closers.append(c)
+        elif java.CLOSE[openers.pop()] != c:
+            return None
+    return "".join(closers), "".join(openers)
+
+
+def join_summaries(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tuple[str, str] | None:
+    """The summary of two chunks in a row."""
+    if a is None or b is None:
+        return None
+    n = min(len(a[1]), len(b[0]))
+    if any(java.CLOSE[x] != y for x, y in zip(reversed(a[1]), b[0][:n])):
+        return None
+    return a[0] + b[0][n:], a[1][: len(a[1]) - n] + b[1]
+
+
+def _constant(name: str):
+    raise ValueError(name)
+
+
+def python_parses(text: str) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return False
+    return True
+
+
+def json_parses(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_constant)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def xml_parses(text: str) -> bool:
+    try:
+        expat.ParserCreate().Parse(text, True)
+    except (expat.ExpatError, ValueError):
+        return False
+    return True
+
+
+class Judge:
+    """(language, text) -> whether the text parses."""
+
+    def __init__(self):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
+        self.classes, self.grammar = java.Classes(), java.Grammar()
+        self.others = {"py": python_parses, "json": json_parses, "xml": xml_parses, "js": script.parses}
+
+    def java(self, text: str) -> bool:
+        state, classes = java.lex(text, self.classes)
+        return state == java.NORMAL and self.grammar.check(classes)
+
+    def __call__(self, language: str, text: str) -> bool:
+        text = text.removeprefix(MARK)
+        return self.java(text) if language == "java" else self.others[language](text)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    judge = Judge()
+    for batch in batches:
+        verdicts = [judge(g, t) for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["id", "lang", "valid"])
+
+
+def chunks(text: str, size: int) -> Iterator[str]:
+    """Pieces of about `size` characters, cut after newlines."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at + size) + 1 or len(text)
+        yield text[at:end]
+        at = end
+
+
+def _split(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for no, piece in enumerate(chunks(text.removeprefix(MARK), size)):
+                    yield pa.RecordBatch.from_pydict({"name": [name], "no": pa.array([no], pa.int32()), "piece": [piece]})
+
+    return run
+
+
+def _lex_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece as a map of lexer states: for either state before it the state after it, the classes and the bracket summary."""
+    classes = java.Classes()
+    for batch in batches:
+        rows = []
+        for name, no, piece in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for before in (java.NORMAL, java.COMMENT):
+                after, found = java.lex(piece, classes, before)
+                summary = bracket_summary(found)
+                rows.append((name, no, before, after, found, summary is not None, *(summary or ("", ""))))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["name", "no", "before", "after", "classes", "fits", "closers", "openers"]).astype({"no": "int32", "before": "int32", "after": "int32"}), preserve_index=False)
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The composition of a file's maps, begun in the normal state."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
+    state, whole, out = java.NORMAL, ("", ""), []
+    maps = {(r.no, r.before): r for r in pdf.itertuples()}
+    for no in range(int(pdf["no"].max()) + 1):
+        r = maps[no, state]
+        state, whole = r.after, join_summaries(whole, (r.closers, r.openers) if r.fits else None)
+        out.append(r.classes)
+    valid = state == java.NORMAL and whole == ("", "") and java.Grammar().check("".join(out))
+    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "valid": [valid]})
+
+
+def parse_verdicts(files: DataFrame, key: str, path: str, text: str, chunk: int = CHUNK) -> DataFrame:
+    """(id, lang, valid) of each row with a text and a declared language.
+
+    Rows without a language or with a null text are no cases; a null key is kept, repeated rows come repeatedly; an empty
+    text is a valid Java, Python or script file and no valid JSON or XML; other columns are not read. Syntax only. Whole
+    texts are judged, whatever their length.
+    """
+    rows = files.select(F.col(key).alias("id"), declared(F.col(path)).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+    kind = files.schema[key].dataType.simpleString()
+    is_long = (F.col("lang") == "java") & (F.length("text") > chunk)
+    short = rows.filter(~is_long).mapInArrow(_judge, f"id {kind}, lang string, valid boolean")
+    long = rows.filter(is_long).withColumn("name", F.sha2("text", 256))
+    pieces = long.select("name", "text").mapInArrow(_split(chunk), "name string, no int, piece string").dropDuplicates(["name", "no"])
+    maps = pieces.repartition("name", "no").mapInArrow(_lex_maps, "name string, no int, before int, after int, classes string, fits boolean, closers string, openers string")
+    folded = maps.groupBy("name").applyInPandas(_fold, "name string, valid boolean")
+    return short.unionByName(long.select("id", "lang", "name").join(folded, "name").select("id", "lang", "valid"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """file_id of files that do not parse."""
+    found = parse_verdicts(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents")
+    return found.filter("not valid and id is not null").select(F.col("id").alias("file_id")).distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """project_name, lang, n_files, n_invalid, rate: distinct files of each project name (null if unknown) and language."""
+    files = spark.read.parquet(f"{d}/code_files.parquet").filter("file_id is not null")
+    verdicts = parse_verdicts(files, "file_id", "path", "contents").groupBy("id", "lang").agg(F.max(~F.col("valid")).alias("bad"))
+    versions = spark.read.parquet(f"{d}/versions.parquet").filter("hash is not null").groupBy(F.col("hash").alias("version")).agg(F.min("project").alias("project"))
+    projects = spark.read.parquet(f"{d}/projects.parquet").filter("hash is not null").groupBy(F.col("hash").alias("project")).agg(F.min("name").alias("project_name"))
+    of = files.groupBy(F.col("file_id").alias("id")).agg(F.min("version").alias("version")).join(versions, "version", "left").join(projects, "project", "left")
+    out = verdicts.join(of, "id").groupBy("project_name", "lang").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("bad").cast("bigint")).alias("n_invalid"))
+    return out.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
+
+
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
 SQL: dict = {}
