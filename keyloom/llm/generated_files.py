@@ -1,2 +1,157 @@
-QUERIES: dict = {}
+"""Problem 2: files that are not hand-written source, by layout statistics, path and head.
+
+Layout statistics of the whole text (line lengths, shares of white space, letters and digits, numeric literals, long
+encoded runs, numbered families of lines) are held against thresholds tuned per language. The place in the tree
+and the comments before the first declaration tell generated and third-party files whose layout is ordinary.
+"""
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Thresholds by language: mean line length, white-space share below, numeric literals among words, share in encoded runs.
+LAYOUT = {
+    "js": {"mean_line": 160, "white": 0.09, "numeric": 0.5, "encoded": 0.4},
+    "java": {"mean_line": 300, "white": 0.08, "numeric": 0.42, "encoded": 0.4},
+    "py": {"mean_line": 300, "white": 0.08, "numeric": 0.55, "encoded": 0.4},
+}
+OTHER = {"mean_line": 300, "white": 0.08, "numeric": 0.6, "encoded": 0.5}
+#: Formats for data: numbers and encoded values are what belongs there.
+DATA_FORMATS = frozenset(["json", "xml", "properties", "csv", "tsv", "txt", "md", "yml", "yaml", "html", "svg", "sql", "lock", "log", "ini", "cfg", "toml"])
+
+#: Directories by convention, outside the package part of a path.
+GENERATED_DIRS = frozenset(["gen", "generated", "generated-sources", "generated-src", "src-gen", "src-generated", "autogen"])
+VENDOR_DIRS = frozenset(["vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "contrib", "node_modules", "bower_components", "lib", "libs"])
+
+#: What tools write into the head of their output, in several languages.
+GENERATED_HEAD = re.compile(
+    r"""@generated\b|<auto-?generated|@(?:javax\.annotation\.(?:processing\.)?)?Generated\b|\bauto-?\s?generated\b|\b(?:was|is|code|file|class|automatically|been|sources?)?\s*generated\s+(?:by|from|with|using)\b|\bcode\s+generated\b
+|\bdo\s+not\s+(?:edit|modify|change|touch)\b|\bnot\s+for\s+editing\b|\bmachine-(?:made|generated|written)\b|\bregenerate\s+with\b|\b(?:changes|edits?|modifications)\b[^.\n]*\b(?:lost|overwritten)\b
+|\bautomatisch\s+(?:erzeugt|generiert|erstellt)|\b(?:généré|créé)e?s?\s+automatiquement|\bautomatiquement\s+générée?|\bgenerad[oa]\s+autom[áa]ticamente|\bgerad[oa]\s+automaticamente|\bwygenerowan\w*\s+automatycznie|\bautomaticky\s+(?:vy)?generován|\bсгенерирован|\bсоздан\w*\s+автоматически|自动生成|自動生成""",
+    re.IGNORECASE | re.VERBOSE,
+)
+#: What marks a copy of somebody else's file.
+VENDOR_HEAD = re.compile(
+    r"""\bvendored\s+(?:copy|from|version)\b|\bcopied\s+(?:verbatim\s+)?from\b|\bsee\s+upstream\b|\bimported\s+from\s+upstream\b|\btaken\s+from\s+the\s+\S+\s+(?:sources?|distribution|project|library)\b|@license\b|\bbased\s+on\s+upstream\b
+|\bv\d+(?:\.\d+)+\s+(?:\(c\)|©|\|)|^\W*[\w.-]+\s+v?\d+(?:\.\d+){1,3}\W*\n\W*(?:distributed|released|licensed)\s+under\b""",
+    re.IGNORECASE | re.VERBOSE | re.MULTILINE,
+)
+QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
+#: The first declaration ends the head.
+DECLARATION = re.compile(r"^[ \t]*(?:(?:public|protected|private|abstract|final|static|strictfp)\s+)*(?:class|interface|enum|@interface|def|function|async|export|module)\b|^[ \t]*(?:var|let|const|if|for|while|return|try|with|[\w$.]+\s*=|\{|\[|<[a-zA-Z])", re.MULTILINE)
+COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*|<!--[\s\S]*?-->|^[ \t]*@[\w.]+[^\n]*", re.MULTILINE)
+FAMILY = re.compile(r"\b[a-zA-Z]+_\d+\s*\(|_FIELD_NUMBER\s*=|\bbitField\d+_|\bcase\s+\d+:\s*return\s+-?\d+;")
+NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[lLfFdD]?\b")
+WORD = re.compile(r"\w+(?:\.\d+)?")
+ENCODED = re.compile(r"[A-Za-z0-9+/=]{60,}|(?:\\x[0-9a-fA-F]{2}){15,}")
+WHITE, DIGITS = b" \t\r\n\f\v", b"0123456789"
+ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
+SOURCE_ROOT = re.compile(r"(?:^|/)(?:src/)?(?:main/|test/)?(?:java|resources|kotlin|scala)/")
+
+
+def extension(path: str | None) -> str:
+    name = (path or "").rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def place(path: str | None) -> str | None:
+    """generated, vendored or None, by the directories outside the package part of a path (the first two where there is no source root)."""
+    dirs = (path or "").split("/")[:-1]
+    m = SOURCE_ROOT.search(path or "")
+    outer = (path or "")[: m.start()].split("/") + m.group().split("/") if m else dirs[:2]
+    outer = {x.lower() for x in outer}
+    if outer & VENDOR_DIRS:
+        return "vendored"
+    return "generated" if outer & GENERATED_DIRS else None
+
+
+def head(text: str) -> str:
+    """The comments and annotations before the first declaration, without what stands in quotes."""
+    masked = COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if text.lstrip()[:1] not in "{[<" else text
+    m = DECLARATION.search(masked)
+    end = m.start() if m else len(text)
+    return QUOTED.sub(" ", "\n".join(x.group() for x in COMMENT.finditer(text[:end] + "\n")))
+
+
+def layout(text: str) -> dict[str, float]:
+    raw = text.encode("utf-8", "replace")
+    n = max(len(raw), 1)
+    lines = raw.split(b"\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    filled = [x for x in map(len, lines) if x > 1] or [0]
+    return {
+        "chars": len(raw),
+        "max_line": max(filled),
+        "mean_line": sum(filled) / len(filled),
+        "white": 1 - len(raw.translate(None, WHITE)) / n,
+        "alnum": 1 - len(raw.translate(None, ALNUM)) / n,
+        "digits": 1 - len(raw.translate(None, DIGITS)) / n,
+        "lines": len(filled),
+    }
+
+
+def kind(path: str | None, text: str) -> str | None:
+    """generated, minified, vendored or data; None for hand-written source (and for empty texts)."""
+    s, ext = layout(text), extension(path)
+    if not s["chars"]:
+        return place(path)
+    limits = LAYOUT.get(ext, OTHER)
+    if ext not in DATA_FORMATS:
+        inner = 1 - s["white"]
+        if s["digits"] > 0.1:
+            words = len(WORD.findall(text))
+            if words > 40 and len(NUMBER.findall(text)) > limits["numeric"] * words:
+                return "data"
+        # encoded text is nearly all letters and digits; only then are its runs looked for
+        if s["alnum"] > 0.72 and inner and sum(map(len, ENCODED.findall(text))) > limits["encoded"] * s["chars"]:
+            return "data"
+        if s["chars"] > 200 and s["mean_line"] > limits["mean_line"] and s["white"] < limits["white"]:
+            return "minified"
+    if where := place(path):
+        return where
+    top = head(text)
+    if top:
+        if VENDOR_HEAD.search(top):
+            return "vendored"
+        if GENERATED_HEAD.search(top):
+            return "generated"
+    if ext == "java" and ("_FIELD_NUMBER" in text or "(int c)" in text or "bitField" in text):
+        if sum(1 for line in text.split("\n") if FAMILY.search(line)) > 0.25 * s["lines"]:
+            return "generated"
+    return None
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = [kind(p, t or "") for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["id", "kind"])
+
+
+def file_kinds(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """(id, kind) of each row: generated, minified, vendored, data, or null for hand-written source.
+
+    Works row by row, in one pass over the whole texts, without any exchange. A null path tells nothing, a null text is
+    judged by its path only; a null key is kept, repeated rows come repeatedly; other columns are not read.
+    """
+    rows = files.select(F.col(key).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
+    return rows.mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """file_id of files that are not hand-written source."""
+    found = file_kinds(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents")
+    return found.filter("kind is not null and id is not null").select(F.col("id").alias("file_id")).distinct()
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """kind, n_files: distinct files of each kind; hand-written ones under 'source'."""
+    found = file_kinds(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents").filter("id is not null")
+    return found.groupBy("id").agg(F.max("kind").alias("kind")).groupBy(F.coalesce("kind", F.lit("source")).alias("kind")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds}
 SQL: dict = {}
