@@ -10,8 +10,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 100_0
     The count is combined on the map side, so a heavy key costs one row a task.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return counts.filter(F.col("__n") > least).crossJoin(F.broadcast(total)).filter(F.col("__n") > share * F.col("__total")).select(key)
+    return counts.filter(F.col("__n") > max(least, int(share * df.count()))).select(key)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = 0.001, least: int = 100_000) -> DataFrame:

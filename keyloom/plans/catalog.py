@@ -1,15 +1,413 @@
-"""The driver's queries over the reference operators, with their SQL."""
+"""The driver's queries over the reference operators, each over whole tables, with SQL where SQL can tell the result."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions import text as T
+from keyloom.functions.charset import guess_charset
+from keyloom.functions.tokenizer import functions_of
+from keyloom.operators import clones as C
+from keyloom.operators import etl, keyed, linear, snippets, wordcount
+from keyloom.plans import sql as S
+from keyloom.sources import files
 
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def hexed(c: str):
+    return F.lower(F.hex(c))
+
+
+def distinct_functions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "code_functions").filter("hash is not null and contents is not null")
+    return rows.groupBy("hash").agg(F.min("contents").alias("contents"))
+
+
+# --- word counts
+
+_WORDS = r"w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents)"
+
+
+@query(f"WITH {_WORDS} SELECT word, doc_id, count(*)::BIGINT AS n FROM w WHERE word <> '' GROUP BY word, doc_id")
+def word_count_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.words_by_doc(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_WORDS} SELECT word, doc_id, count(*)::BIGINT AS n FROM w GROUP BY word, doc_id")
+def word_count_with_empty(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.words_by_doc(table(spark, d, "documents"), "doc_id", "text", keep_empty=True)
+
+
+@query(f"WITH {_WORDS} SELECT word, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM w WHERE word <> '' GROUP BY word")
 def word_total(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    words = docs.select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("word").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_doc"))
+    return wordcount.word_totals(word_count_by_doc(spark, d), "doc_id").withColumnRenamed("first_key", "first_doc")
+
+
+@query(r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '\w+')) AS word FROM documents) GROUP BY word")
+def word_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    found = wordcount.word_occurrences(table(spark, d, "documents"), "doc_id", "text")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT doc_id, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\w+')) AS word FROM documents) WHERE word = 'your' GROUP BY doc_id")
+def word_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = wordcount.word_occurrences(table(spark, d, "documents"), "doc_id", "text")
+    return found.filter("word = 'your'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, min(value) AS least, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def timings_min_median(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").filter("value is not null")
+    return rows.groupBy("event_type").agg(F.min("value").alias("least"), wordcount.upper_median(F.col("value")).alias("median"))
+
+
+# --- keyed rows
+
+SNIPPET_KEYS = keyed.KeySpec(("hash",), ("function",), ("clone_type", "position"))
+
+
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, clone_type, position, length FROM (SELECT *, row_number() OVER (PARTITION BY hash, function ORDER BY clone_type, position, length) AS r FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL) WHERE r = 1")
+def keyed_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    out = keyed.first_wins(table(spark, d, "snippets"), SNIPPET_KEYS)
+    return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "clone_type", "position", "length")
+
+
+@query("""SELECT lower(hex(function)) AS function, string_agg(clone_type || ':' || position || ':' || h, ' ' ORDER BY clone_type, position) AS cells FROM (
+SELECT function, clone_type, position, min(lower(hex(hash))) AS h FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL GROUP BY ALL) GROUP BY function""")
+def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
+    spec = keyed.KeySpec(("function",), ("clone_type", "position"), ("hash",))
+    out = keyed.rows(table(spark, d, "snippets").filter("hash is not null"), spec, "hash")
+    cell = F.transform("cells", lambda c: F.concat_ws(":", c["clone_type"].cast("string"), c["position"].cast("string"), F.lower(F.hex(c["hash"]))))
+    return out.select(hexed("function").alias("function"), F.array_join(cell, " ").alias("cells"))
+
+
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position, clone_type FROM snippets WHERE lower(hex(hash)) LIKE '3f%'")
+def read_row_prefix(spark: SparkSession, d: str) -> DataFrame:
+    out = keyed.read_row(table(spark, d, "snippets"), "hash", b"\x3f")
+    return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position", "clone_type")
+
+
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position, clone_type FROM snippets WHERE lower(hex(function)) LIKE 'ff%'")
+def read_column_prefix(spark: SparkSession, d: str) -> DataFrame:
+    out = keyed.read_column(table(spark, d, "snippets"), SNIPPET_KEYS, b"\xff")
+    return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position", "clone_type")
+
+
+@query("SELECT clone_type, count(*)::BIGINT AS n, count(hash)::BIGINT AS n_keyed FROM snippets GROUP BY clone_type")
+def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
+    def count(df: DataFrame) -> DataFrame:
+        return df.groupBy("clone_type").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("n_keyed"))
+
+    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), keyed.KeySpec(("clone_type",), ("clone_type",)), keyed.Counters())
+    return flow.map(keyed.identity, "identity").map(count, "count").shuffle(flow.spec).map_and_efflux(keyed.identity)
+
+
+# --- normal forms and fingerprints
+
+
+@query(f"WITH {S.FUNCTIONS} SELECT fn, {S.type1('c')} AS text FROM fns")
+def normalize_type1(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_functions(spark, d).select(hexed("hash").alias("fn"), T.normalize_type1(F.col("contents")).alias("text"))
+
+
+@query(f"WITH {S.FUNCTIONS} SELECT fn, {S.type2(S.type1('c'))} AS text FROM fns")
+def normalize_type2(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_functions(spark, d).select(hexed("hash").alias("fn"), T.normalize_type2(T.normalize_type1(F.col("contents"))).alias("text"))
+
+
+def _snippets(spark: SparkSession, d: str, kind: int) -> DataFrame:
+    return snippets.snippets(distinct_functions(spark, d), kinds=(kind,)).select(hexed("function").alias("fn"), "position", "hash")
+
+
+@query(f"WITH {S.FUNCTIONS}, {S.window_rows(S.type1('c'))} SELECT fn, position, sha1(w) AS hash FROM windows")
+def snippets_literal(spark: SparkSession, d: str) -> DataFrame:
+    return _snippets(spark, d, snippets.LITERAL)
+
+
+@query(f"WITH {S.FUNCTIONS}, {S.window_rows(S.type2(S.type1('c')))} SELECT fn, position, sha1(w) AS hash FROM windows")
+def snippets_renamed(spark: SparkSession, d: str) -> DataFrame:
+    return _snippets(spark, d, snippets.RENAMED)
+
+
+@query(f"WITH {S.FUNCTIONS}, {S.window_rows(S.type2(S.type1('c')))}, {S.gapped()} SELECT fn, position, s AS hash FROM sketched WHERE s IS NOT NULL")
+def snippets_gapped(spark: SparkSession, d: str) -> DataFrame:
+    return _snippets(spark, d, snippets.GAPPED)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT source, lang, sha1(text) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL),
+v AS (SELECT source, lang, {S.xor_digest("h")} AS version_hash FROM f GROUP BY source, lang),
+p AS (SELECT source, {S.xor_digest("version_hash")} AS project_hash FROM (SELECT DISTINCT source, version_hash FROM v) GROUP BY source)
+SELECT v.source AS project_name, v.lang AS version_name, version_hash, project_hash FROM v JOIN p ON v.source = p.source""")
+def xor_digests(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("source is not null and lang is not null")
+    rows = docs.select(F.col("source").alias("project_name"), F.col("lang").alias("version_name"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("contents"))
+    made = snippets.populated(rows, rows.limit(0))
+    versions, projects = made["versions"], made["projects"]
+    out = versions.join(projects.select(F.col("hash").alias("project"), F.col("name").alias("project_name")), "project")
+    return out.select("project_name", F.col("name").alias("version_name"), F.col("hash").alias("version_hash"), F.col("project").alias("project_hash")).distinct()
+
+
+@query()
+def tokenized_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions split from all Java files, by file."""
+    found = functions_of(table(spark, d, "code_files").filter(F.col("path").endswith(".java")).select("file_id", "contents"), "file_id", "contents")
+    return found.select(F.col("code_file").alias("file_id"), "base_line", hexed("hash").alias("fn"))
+
+
+# --- clones
+
+
+def _colliding(spark: SparkSession, d: str) -> DataFrame:
+    return C.collisions(table(spark, d, "snippets"))
+
+
+#: Lower than the default of 500, so that small tables have popular hashes too.
+_POPULAR = 60
+
+
+@query(f"WITH {S.COLLIDING} SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position, n::BIGINT AS n FROM colliding WHERE n >= {_POPULAR}")
+def popular_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return C.popular_snippets(_colliding(spark, d), _POPULAR).select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position", "n")
+
+
+@query(f"WITH {S.COLLIDING}, {S.rough()} SELECT lower(hex(this_function)) AS this_function, lower(hex(that_function)) AS that_function, this_position, that_position, lower(hex(hash)) AS hash FROM rough")
+def rough_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = C.rough_pairs(_colliding(spark, d))
+    return out.select(hexed("this_function").alias("this_function"), hexed("that_function").alias("that_function"), "this_position", "that_position", hexed("hash").alias("hash"))
+
+
+@query()
+def rough_pairs_signed(spark: SparkSession, d: str) -> DataFrame:
+    """With functions ordered by signed bytes; counted for each this_function."""
+    out = C.rough_pairs(_colliding(spark, d), signed=True)
+    return out.groupBy(hexed("this_function").alias("this_function")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {S.COLLIDING}, {S.rough(_POPULAR)}, pop AS (SELECT * FROM colliding WHERE n >= {_POPULAR}), mine AS (SELECT * FROM pop WHERE function IN (SELECT this_function FROM rough))
+SELECT lower(hex(a.function)) AS this_function, count(*)::BIGINT AS n, sum(a.position)::BIGINT AS this_positions, sum(b.position)::BIGINT AS that_positions FROM mine a JOIN pop b USING (hash) WHERE a.function < b.function GROUP BY a.function""")
+def woven_pairs(spark: SparkSession, d: str) -> DataFrame:
+    colliding = _colliding(spark, d)
+    out = C.woven_pairs(C.rough_pairs(colliding, _POPULAR), C.popular_snippets(colliding, _POPULAR))
+    return out.groupBy(hexed("this_function").alias("this_function")).agg(F.count(F.lit(1)).alias("n"), F.sum("this_position").alias("this_positions"), F.sum("that_position").alias("that_positions"))
+
+
+_CLONE_ROWS = "c AS (SELECT DISTINCT this.function AS a, that.function AS b FROM clones WHERE this.function IS NOT NULL AND that.function IS NOT NULL)"
+_VOCABULARIES = rf"""WITH {S.FUNCTIONS}, {_CLONE_ROWS}, v AS (SELECT fn, list_distinct(regexp_extract_all(c, '[a-zA-Z][a-zA-Z0-9]*')) AS v FROM fns),
+pairs AS (SELECT x.fn AS a, y.fn AS b, x.v AS va, y.v AS vb FROM c JOIN v x ON x.fn = lower(hex(c.a)) JOIN v y ON y.fn = lower(hex(c.b)))"""
+
+
+def _clone_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "clones").select(F.col("this.function").alias("a"), F.col("that.function").alias("b")).filter("a is not null and b is not null").distinct()
+    texts = distinct_functions(spark, d)
+    return rows.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+
+@query(_VOCABULARIES + "SELECT a, b, round(len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))), 9) AS similarity FROM pairs")
+def vocabulary_similarity(spark: SparkSession, d: str) -> DataFrame:
+    sim = T.vocabulary_similarity(T.vocabulary(F.col("ta")), T.vocabulary(F.col("tb")))
+    return _clone_texts(spark, d).select(hexed("a").alias("a"), hexed("b").alias("b"), F.round(sim, 9).alias("similarity"))
+
+
+@query(_VOCABULARIES + f"SELECT a, b FROM pairs WHERE NOT coalesce({S.SPAM}, FALSE)")
+def spam_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = _clone_texts(spark, d).filter(~T.is_spam(F.col("ta"), F.col("tb")))
+    return kept.select(hexed("a").alias("a"), hexed("b").alias("b"))
+
+
+def _clones(spark: SparkSession, d: str) -> DataFrame:
+    return C.expand(C.rough_pairs(_colliding(spark, d)))
+
+
+def _shown(clones: DataFrame) -> DataFrame:
+    return clones.select(hexed("this_function").alias("this_function"), "this_position", "this_length", hexed("that_function").alias("that_function"), "that_position", "that_length")
+
+
+@query()
+def expand_clones(spark: SparkSession, d: str) -> DataFrame:
+    """Matches stitched to clones; sequential, tested against a plain version of the rule."""
+    return _shown(_clones(spark, d))
+
+
+@query()
+def fine_clones(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(C.fine_clones(_clones(spark, d), distinct_functions(spark, d)))
+
+
+@query()
+def fine_clones_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(C.fine_clones(_clones(spark, d), distinct_functions(spark, d), strict=True))
+
+
+@query("""SELECT DISTINCT lower(hex(f.hash)) AS function, lower(hex(c.hash)) AS code_file, lower(hex(v.hash)) AS version, lower(hex(p.hash)) AS project
+FROM code_functions f JOIN code_files c ON f.code_file = c.hash JOIN versions v ON c.version = v.hash JOIN projects p ON v.project = p.hash WHERE f.hash IS NOT NULL""")
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    out = C.occurrences(*[table(spark, d, t) for t in ("code_functions", "code_files", "versions", "projects")])
+    return out.select(*[hexed(c).alias(c) for c in ("function", "code_file", "version", "project")])
+
+
+@query("SELECT DISTINCT lower(hex(hash)) AS function, lower(hex(code_file)) AS code_file FROM code_functions f WHERE NOT EXISTS (SELECT 1 FROM code_files c WHERE c.hash = f.code_file)")
+def missing_links(spark: SparkSession, d: str) -> DataFrame:
+    out = C.missing_links(table(spark, d, "code_functions"), table(spark, d, "code_files"))
+    return out.select(hexed("hash").alias("function"), hexed("code_file").alias("code_file")).distinct()
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "clones").select(F.col("this.function").alias("this_function"), F.col("that.function").alias("that_function"))
+
+
+@query(f"""WITH RECURSIVE {_CLONE_ROWS}, e AS (SELECT a, b FROM c UNION SELECT b, a FROM c), reach AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM reach r JOIN e ON r.w = e.a)
+SELECT lower(hex(v)) AS function, lower(hex(min(w))) AS grp FROM reach GROUP BY v""")
+def clone_groups(spark: SparkSession, d: str) -> DataFrame:
+    return C.clone_groups(_links(spark, d)).select(hexed("function").alias("function"), hexed("grp").alias("grp"))
+
+
+@query(f"""WITH RECURSIVE {_CLONE_ROWS}, e AS (SELECT a, b FROM c UNION SELECT b, a FROM c), reach AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM reach r JOIN e ON r.w = e.a),
+g AS (SELECT v, min(w) AS grp FROM reach GROUP BY v)
+SELECT DISTINCT lower(hex(grp)) AS grp, lower(hex(f.hash)) AS function, lower(hex(c.hash)) AS code_file, lower(hex(v.hash)) AS version, lower(hex(p.hash)) AS project
+FROM g JOIN code_functions f ON f.hash = g.v JOIN code_files c ON f.code_file = c.hash JOIN versions v ON c.version = v.hash JOIN projects p ON v.project = p.hash""")
+def group_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    found = C.occurrences(*[table(spark, d, t) for t in ("code_functions", "code_files", "versions", "projects")])
+    out = C.group_occurrences(C.clone_groups(_links(spark, d)), found)
+    return out.select(*[hexed(c).alias(c) for c in ("grp", "function", "code_file", "version", "project")])
+
+
+@query()
+def clone_group_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of the fine clones with their text's SHA-1."""
+    from keyloom.store import written
+
+    clones = written(C.fine_clones(_clones(spark, d), distinct_functions(spark, d)), "clones")
+    return C.group_texts(clones, C.clone_groups(clones), distinct_functions(spark, d)).select(hexed("grp").alias("grp"), "hash")
+
+
+# --- classifier (the table has 64 features, so training starts from zeros)
+
+_DIMS = 64
+
+
+def _training_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One text for each label: a line of features and 1 or 0 (whether the label is even)."""
+    rows = table(spark, d, "embeddings").filter("embedding is not null and label is not null")
+    line = F.concat_ws(" ", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("decimal(12,4)").cast("string")), " "), F.when(F.col("label") % 2 == 0, "1").otherwise("0"))
+    return rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+
+
+_LINES = """ls AS (SELECT label, vec_id, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE, 4)::DECIMAL(12, 4)::VARCHAR), ' ') || CASE WHEN label % 2 = 0 THEN ' 1' ELSE ' 0' END AS line FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+sharded AS (SELECT DISTINCT ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 80)::INTEGER AS shard, line FROM ls)"""
+
+
+@query(f"WITH {_LINES} SELECT shard, sha1(line) AS line_hash FROM sharded")
+def line_shards(spark: SparkSession, d: str) -> DataFrame:
+    return linear.line_shards(_training_lines(spark, d), "label", "text").select("shard", F.sha1(F.col("line").cast("binary")).alias("line_hash"))
+
+
+def _instances(spark: SparkSession, d: str) -> DataFrame:
+    features, label = linear.parse_instance(F.col("line"))
+    return linear.line_shards(_training_lines(spark, d), "label", "text").select("shard", features.alias("features"), label.alias("label"))
+
+
+@query(f"WITH {_LINES}, n AS (SELECT shard, list_transform(string_split(line, ' '), lambda x: x::DOUBLE) AS x FROM sharded) SELECT shard, round(list_sum(x[:-2]), 6) AS total, len(x) - 1 AS n_features, CASE WHEN x[-1] > 0.5 THEN 1 ELSE -1 END AS label FROM n")
+def instance_parse(spark: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return _instances(spark, d).select("shard", F.round(total, 6).alias("total"), F.size("features").cast("bigint").alias("n_features"), "label")
+
+
+@query()
+def train_models(spark: SparkSession, d: str) -> DataFrame:
+    """One seeded model a shard."""
+    return linear.train(_instances(spark, d), iterations=200, seed=7)
+
+
+@query("SELECT i::INTEGER AS i, round(avg(embedding[i + 1]::DOUBLE), 6) AS weight FROM (SELECT embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY i")
+def model_average(spark: SparkSession, d: str) -> DataFrame:
+    models = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("weights"))
+    return linear.model_average(models).select("i", F.round("weight", 6).alias("weight"))
+
+
+_FIXED = "list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END)"
+
+
+@query(f"SELECT vec_id, CASE WHEN list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * {_FIXED}[i]::DOUBLE)) >= 0 THEN 1 ELSE -1 END AS predicted FROM embeddings WHERE embedding IS NOT NULL")
+def classify(spark: SparkSession, d: str) -> DataFrame:
+    weights = F.transform(F.sequence(F.lit(0), F.lit(_DIMS - 1)), lambda i: F.when(i % 2 == 0, 1.0).otherwise(-0.5))
+    rows = table(spark, d, "embeddings").filter("embedding is not null")
+    return rows.select("vec_id", linear.classify(weights, F.transform("embedding", lambda x: x.cast("double"))).alias("predicted"))
+
+
+@query(f"SELECT label, count(*)::BIGINT AS n FROM (SELECT label, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * {_FIXED}[i]::DOUBLE)) AS s FROM embeddings WHERE embedding IS NOT NULL) WHERE s >= 0 AND label % 2 = 1 GROUP BY label")
+def misclassified(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("c"), F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("label"))
+    return linear.misclassified(classify(spark, d).join(truth, "vec_id")).groupBy(F.col("c").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- small rankings and sources
+
+
+def _repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Files as candidate addresses of the document's source."""
+    docs = table(spark, d, "documents").filter("source is not null")
+    url = F.concat(F.lit("http://host/"), "source", F.lit("/"), F.coalesce("category", F.lit("x")), F.lit("/"), F.col("doc_id").cast("string"))
+    return docs.select(F.col("source").alias("name"), F.coalesce("lang", F.lit("git")).alias("type"), url.alias("url"), "doc_id")
+
+
+@query(r"""WITH r AS (SELECT source AS name, coalesce(lang, 'git') AS type, 'http://host/' || source || '/' || coalesce(category, 'x') || '/' || doc_id AS url, doc_id FROM documents WHERE source IS NOT NULL),
+n AS (SELECT *, regexp_replace(lower(name), '[^a-z]', '', 'g') AS a, regexp_replace(lower(url), '[^a-z]', '', 'g') AS b FROM r),
+s AS (SELECT *, (CASE WHEN regexp_matches(url, '(?i)src|source|core|standard|build|master') THEN 75 ELSE 0 END + CASE WHEN NOT regexp_matches(url, '(?i)doc|docs|extras|extra|tool|tools|test|testing') THEN -75 ELSE 0 END
+  + (CASE WHEN a = '' THEN length(b) + 1 ELSE (length(b) - length(replace(b, a, ''))) // length(a) END) * 10 + 1000 // length(url) + CASE WHEN regexp_matches(type, '(?i)git') THEN 100 ELSE 0 END)::INTEGER AS score FROM n)
+SELECT name, type, url, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, doc_id) AS k FROM s) WHERE k = 1""")
+def best_repository(spark: SparkSession, d: str) -> DataFrame:
+    return etl.best_repositories(_repositories(spark, d), "doc_id")
+
+
+@query("""SELECT event_id, event_type AS name, ((value * 1000)::BIGINT // 1000)::VARCHAR AS duration, json_extract_string(props, '$.k') AS state FROM events WHERE value IS NOT NULL AND props IS NOT NULL""")
+def job_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Events dressed as job reports, read back."""
+    events = table(spark, d, "events").filter("value is not null and props is not null")
+    job = F.struct(F.col("event_type").alias("name"), F.lit(0).cast("bigint").alias("startTime"), F.rint(F.col("value") * 1000).cast("bigint").alias("finishTime"), F.get_json_object("props", "$.k").alias("state"))
+    reports = events.select("event_id", F.to_json(F.struct(job.alias("job"))).alias("json"))
+    return etl.job_statistics(reports, "json", "event_id").select("event_id", "name", "duration", "state")
+
+
+@query("SELECT repo, count(*)::BIGINT AS n FROM (SELECT lower(hex(project)) AS repo FROM versions WHERE project IS NOT NULL AND hash IS NOT NULL AND name IS NOT NULL AND name <> '' AND name NOT LIKE '%' || chr(10) || '%') GROUP BY repo")
+def packed_references(spark: SparkSession, d: str) -> DataFrame:
+    """Versions written as packed references of their project, parsed back and counted."""
+    rows = table(spark, d, "versions").filter("project is not null and hash is not null and name is not null and name <> ''").filter(~F.col("name").contains("\n"))
+    line = F.concat(hexed("hash"), F.lit(" refs/heads/"), "name")
+    refs = rows.groupBy(hexed("project").alias("repo")).agg(F.concat(F.lit("# pack-refs with: peeled\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    return files.packed_refs(refs, "repo", "text").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT path, CASE WHEN regexp_matches(path, '^.+?/[^/]+/objects/.*$') THEN regexp_extract(path, '^.+?/([^/]+)/objects/.*$', 1) ELSE path END AS project FROM (SELECT DISTINCT path FROM code_files WHERE path IS NOT NULL)")
+def project_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "code_files").filter("path is not null").select("path").distinct().withColumn("project", files.project_name(F.col("path")))
+
+
+@query("""SELECT doc_id, (i - 1)::INTEGER AS number, sha1(p[i]) AS content_hash FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\bACT\\s[IVX]+') AS p FROM documents WHERE text IS NOT NULL))""")
+def acts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    found = docs.select("doc_id", F.posexplode(F.split("text", r"\bACT\s[IVX]+", -1)).alias("number", "content"))
+    return found.select("doc_id", "number", F.sha1(F.col("content").cast("binary")).alias("content_hash"))
 
 
-QUERIES = {"word_total": word_total}
-SQL = {}
+@query()
+def charsets(spark: SparkSession, d: str) -> DataFrame:
+    """The guessed encoding of each file's bytes, counted."""
+    raw = table(spark, d, "code_files").filter("contents is not null").select(F.col("contents").cast("binary").alias("raw"))
+    return raw.groupBy(guess_charset("raw").alias("charset")).agg(F.count(F.lit(1)).alias("n"))
