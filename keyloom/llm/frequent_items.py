@@ -86,18 +86,17 @@ def _strictly(counts: np.ndarray, k: int) -> bool:
     return int((counts >= edge).sum()) == k
 
 
-def _candidates(df: DataFrame, column: str, k: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(df: DataFrame, column: str, k: int) -> DataFrame:
     kind = df.schema[column].dataType.simpleString()
     runs = df.select(F.col(column).alias("value")).mapInArrow(_sorted_runs, f"value {kind}, n bigint")
     # ranges are drawn by sampling the runs, which hold each value at most once a chunk: a hot value weighs no more than others
     ordered = runs.filter("value is not null").repartitionByRange("value").sortWithinPartitions("value")
-    return ordered.mapInArrow(_merge(k), f"value {kind}, n bigint"), df.agg(F.count(F.lit(1)).alias("total"))
+    return ordered.mapInArrow(_merge(k), f"value {kind}, n bigint")
 
 
 def most_frequent(df: DataFrame, column: str, k: int) -> DataFrame:
     """(value, n): the k most frequent non-null values with their counts; ties go to the larger value. Fewer if there are fewer values."""
-    found, _ = _candidates(df, column, k)
-    return found.orderBy(F.desc("n"), F.desc("value")).limit(k)
+    return _candidates(df, column, k).orderBy(F.desc("n"), F.desc("value")).limit(k)
 
 
 def at_least_share(df: DataFrame, column: str, share: float) -> DataFrame:
@@ -105,8 +104,8 @@ def at_least_share(df: DataFrame, column: str, share: float) -> DataFrame:
 
     At most 1 / share values can; the heaps hold that many. An empty table gives no rows.
     """
-    found, total = _candidates(df, column, int(1 / share + 1e-9) + 1)
-    return found.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.lit(share) * F.col("total")).select("value", "n")
+    least = share * df.count()
+    return _candidates(df, column, int(1 / share + 1e-9) + 1).filter(F.col("n") >= least)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
