@@ -37,7 +37,10 @@ def hexed(c: str):
 
 def distinct_functions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "code_functions").filter("hash is not null and contents is not null")
-    return rows.groupBy("hash").agg(F.min("contents").alias("contents"))
+    out = rows.groupBy("hash").agg(F.min("contents").alias("contents"))
+    # what follows costs much for each row, so a small table is spread over all cores all the same
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out.repartition(width, "hash")
 
 
 # --- word counts
