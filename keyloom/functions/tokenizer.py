@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.text import MINIMUM_LINES, count_lines, normalize_type1
 
-#: A method head up to its brace, or a line that names a class or interface (possibly with the line before it, or an n).
-_METHOD = r"[a-zA-Z \[\]<>,]*\([a-zA-Z \[\]<>,]*\)[a-zA-Z \[\]<>,]*\{"
-_TYPE = r"(?:[^\n]*[^.]|n)(?:class|interface)[^\n]*"
-#: The longest match wins in the original automaton. The type form runs to the end of a line and may begin with a newline, so it is tried first.
-SPLITTER = re.compile(rf"(?:{_TYPE}|{_METHOD})[^\n]*")
+#: The characters around a method head's parentheses.
+_HEAD = r"[a-zA-Z \[\]<>,]"
+#: A line that names a class or interface after any character but a dot (the line's own, or the newline before it), or a
+#: method head up to its brace; then the rest of the line. The longest match wins in the original automaton: of the type forms
+#: that is the one which crosses a newline, and it is tried first. Both begin as far left as they can, at a line's start and
+#: at the start of a run of head characters; looking for them only there keeps the search linear.
+SPLITTER = re.compile(rf"(?:(?<![^\n])[^\n]*[^.](?:class|interface)|\n(?:class|interface)|(?<!{_HEAD}){_HEAD}*+\({_HEAD}*+\){_HEAD}*+\{{)[^\n]*")
 CONTROL = re.compile(r"\b(?:switch|while|if|for)\b\s*\(", re.ASCII)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import text as T
 from keyloom.operators.keyed import KeySpec, first_wins
 from keyloom.operators.skew import lookup_join
-from keyloom.store import discard, written
+from keyloom.store import discard, stored_bytes, written
 
 POPULAR = 500
 MAX_GAP = 10
@@ -156,12 +156,13 @@ def clone_groups(clones: DataFrame, rounds: int = 60) -> DataFrame:
     """
     links = clones.select(F.col("this_function").alias("a"), F.col("that_function").alias("b")).filter("a is not null and b is not null")
     links = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    size = stored_bytes(links)
     labels = written(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("grp")).withColumnRenamed("a", "function"), "labels")
     for _ in range(rounds):
-        near = lookup_join(links, labels.withColumnRenamed("function", "b"), "b", "inner").groupBy("a").agg(F.min("grp").alias("near"))
+        near = lookup_join(links, labels.withColumnRenamed("function", "b"), "b", "inner", big_bytes=size).groupBy("a").agg(F.min("grp").alias("near"))
         sunk = labels.join(near.withColumnRenamed("a", "function"), "function", "left").select("function", "grp", F.least("grp", "near").alias("low"))
         jump = labels.select(F.col("function").alias("low"), F.col("grp").alias("lower"))
-        new = written(lookup_join(sunk, jump, "low", "left").select("function", F.least("low", "lower").alias("new"), "grp"), "labels")
+        new = written(lookup_join(sunk, jump, "low", "left", big_bytes=size).select("function", F.least("low", "lower").alias("new"), "grp"), "labels")
         changed = not new.filter("new <> grp").isEmpty()
         discard(labels)
         labels = new.select("function", F.col("new").alias("grp"))

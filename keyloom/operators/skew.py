@@ -13,15 +13,30 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 100_0
     return counts.filter(F.col("__n") > max(least, int(share * df.count()))).select(key)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = 0.001, least: int = 100_000) -> DataFrame:
+#: A table of fewer bytes fits a task whatever its keys, so no count of its keys is needed.
+SMALL_BYTES = 64 << 20
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = 0.001, least: int = 100_000, big_bytes: int | None = None) -> DataFrame:
     """big joined with small, whose key is unique. Rows of heavy keys never meet in one task.
 
     heavy_keys() bounds the heavy part of small by 1 / share rows, so it may be broadcast; the rest is
-    an ordinary shuffled join. Null keys match nothing.
+    an ordinary shuffled join. Null keys match nothing. big_bytes: the stored size of big, where it is known.
     """
+    if big_bytes is not None and big_bytes <= SMALL_BYTES:
+        return big.join(small, key, how)
     heavy = [r[0] for r in heavy_keys(big, key, share, least).collect()]
     if not heavy:
         return big.join(small, key, how)
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     hot = big.filter(is_heavy).join(F.broadcast(small.filter(F.col(key).isin(heavy))), key, how)
     return hot.unionByName(big.filter(~is_heavy).join(small.filter(~F.col(key).isin(heavy)), key, how))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its input comes in fewer partitions than there are cores (a small table in one file); else df itself.
+
+    For costly work on each row. A large table has partitions enough and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

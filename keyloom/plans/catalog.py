@@ -8,6 +8,7 @@ from keyloom.functions.charset import guess_charset
 from keyloom.functions.tokenizer import functions_of
 from keyloom.operators import clones as C
 from keyloom.operators import etl, keyed, linear, snippets, wordcount
+from keyloom.operators.skew import spread
 from keyloom.plans import sql as S
 from keyloom.sources import files
 
@@ -170,7 +171,8 @@ def xor_digests(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tokenized_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions split from all Java files, by file."""
-    found = functions_of(table(spark, d, "code_files").filter(F.col("path").endswith(".java")).select("file_id", "contents"), "file_id", "contents")
+    java = table(spark, d, "code_files").filter(F.col("path").endswith(".java")).select("file_id", "contents")
+    found = functions_of(spread(java), "file_id", "contents")
     return found.select(F.col("code_file").alias("file_id"), "base_line", hexed("hash").alias("fn"))
 
 
