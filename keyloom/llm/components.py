@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.skew import lookup_join
-from keyloom.store import discard, written
+from keyloom.store import discard, stored_bytes, written
 
 
 def match_edges(clones: DataFrame, clone_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +57,9 @@ def connected_groups(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_r
         )
         hook = written(hook, "hook")
         mappings.append(hook)
-        step = lookup_join(current, hook.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a", "inner")
-        step = lookup_join(step, hook.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b", "inner")
+        size = stored_bytes(current)
+        step = lookup_join(current, hook.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a", "inner", big_bytes=size)
+        step = lookup_join(step, hook.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b", "inner", big_bytes=size)
         relabelled = step.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         old, current = current, written(relabelled, "edges")
         discard(old)
@@ -70,14 +71,14 @@ def connected_groups(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_r
             label = hook.select("v", F.col("r").alias("root"))
         else:
             # vertices that stay are keys of the later mapping; those which hooked get the label of their neighbour
-            outer = lookup_join(hook.withColumnRenamed("r", "k"), label.select(F.col("v").alias("k"), "root"), "k", "left")
+            outer = lookup_join(hook.withColumnRenamed("r", "k"), label.select(F.col("v").alias("k"), "root"), "k", "left", big_bytes=stored_bytes(hook))
             label = written(outer.select("v", F.coalesce("root", "k").alias("root")), "label")
     if label is None:
         return vertices.select("v", F.col("v").alias("group")).filter("v is not null").distinct()
     linked = vertices.select("v").filter("v is not null").distinct().join(label, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
     linked = written(linked, "root")
     least = linked.groupBy("root").agg(F.min("v").alias("group"))
-    return lookup_join(linked, least, "root", "inner").select("v", "group")
+    return lookup_join(linked, least, "root", "inner", big_bytes=stored_bytes(linked)).select("v", "group")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

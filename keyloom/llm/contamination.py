@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import U, blocks, mix
+from keyloom.operators.skew import spread
 
 WORD = re.compile(r"[a-z0-9]+")
 CASED = re.compile(r"[A-Za-z0-9]+")
@@ -187,6 +188,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     kind = to_arrow_type(items.schema[item_id].dataType)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("doc is not null and text is not null")
+    rows = spread(rows)
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, how string"
     source = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
     passes, block, size = [], [], 0

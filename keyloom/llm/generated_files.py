@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.operators.skew import spread
+
 #: Thresholds by language: mean line length, white-space share below, numeric literals among words, share in encoded runs.
 LAYOUT = {
     "js": {"mean_line": 160, "white": 0.09, "numeric": 0.5, "encoded": 0.4},
@@ -138,7 +140,7 @@ def file_kinds(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     judged by its path only; a null key is kept, repeated rows come repeatedly; other columns are not read.
     """
     rows = files.select(F.col(key).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
-    return rows.mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string")
+    return spread(rows).mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

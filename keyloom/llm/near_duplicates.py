@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import Memo, U, blocks, flat_hashes, mix, windows
+from keyloom.operators.skew import spread
 from keyloom.store import written
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+")
@@ -145,7 +146,7 @@ def _sketches(w: int, m: int, rows: int, weighted: bool):
 
 def sketches(texts: DataFrame, key: str, text: str, w: int = 3, m: int = 200, rows: int = 5, weighted: bool = False) -> DataFrame:
     """(key, bag, size, buckets, short) of each row; bag names the bag of the text, buckets and short are set for one row of each bag in a batch."""
-    return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_sketches(w, m, rows, weighted), f"key {texts.schema[key].dataType.simpleString()}, bag bigint, size int, buckets array<bigint>, short binary")
+    return spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(_sketches(w, m, rows, weighted), f"key {texts.schema[key].dataType.simpleString()}, bag bigint, size int, buckets array<bigint>, short binary")
 
 
 def _agreement(m: int, least: float):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import U, mix
+from keyloom.operators.skew import spread
 from keyloom.store import written
 
 #: Pieces of a shard: what one task packs on its own. Per piece some 100 bytes.
@@ -140,7 +141,7 @@ def pack(texts: DataFrame, key: str, text: str, capacity: int = 2048, vocabulary
     """
     kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    pieces = written(rows.mapInArrow(_pieces(capacity, vocabulary), f"id {kind}, piece int, n_tokens int, slot bigint"), "pieces")
+    pieces = written(spread(rows).mapInArrow(_pieces(capacity, vocabulary), f"id {kind}, piece int, n_tokens int, slot bigint"), "pieces")
     schema = f"id {kind}, piece int, n_tokens int, slot bigint, container string, filled int"
 
     def stage(df: DataFrame, n: int) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import java_grammar as java
 from keyloom.llm import script_grammar as script
+from keyloom.operators.skew import spread
 
 LANGUAGES = ["java", "py", "js", "json", "xml"]
 #: Longer Java files are lexed in chunks of about this many characters, by several tasks.
@@ -167,7 +168,7 @@ def parse_verdicts(files: DataFrame, key: str, path: str, text: str, chunk: int
     rows = files.select(F.col(key).alias("id"), declared(F.col(path)).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     kind = files.schema[key].dataType.simpleString()
     is_long = (F.col("lang") == "java") & (F.length("text") > chunk)
-    short = rows.filter(~is_long).mapInArrow(_judge, f"id {kind}, lang string, valid boolean")
+    short = spread(rows.filter(~is_long)).mapInArrow(_judge, f"id {kind}, lang string, valid boolean")
     long = rows.filter(is_long).withColumn("name", F.sha2("text", 256))
     pieces = long.select("name", "text").mapInArrow(_split(chunk), "name string, no int, piece string").dropDuplicates(["name", "no"])
     maps = pieces.repartition("name", "no").mapInArrow(_lex_maps, "name string, no int, before int, after int, classes string, fits boolean, closers string, openers string")
