@@ -36,7 +36,10 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if its input comes in fewer partitions than there are cores (a small table in one file); else df itself.
 
-    For costly work on each row. A large table has partitions enough and is not moved.
+    For costly work on each row. A large table has partitions enough and is not moved; nor is a plan with exchanges, whose
+    partitions are known only once it runs.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

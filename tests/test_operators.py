@@ -73,6 +73,17 @@ def test_lookup_join_with_a_hot_key(spark):
     assert [r["k"] for r in skew.heavy_keys(big, "k", 0.1, 10).collect()] == [1]
 
 
+def test_spread_moves_small_scans_only(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert skew.spread(small).rdd.getNumPartitions() == cores and skew.spread(small).count() == 10
+    shuffled = small.groupBy("id").count()
+    assert skew.spread(shuffled) is shuffled
+    wide = spark.range(10, numPartitions=cores + 1)
+    assert skew.spread(wide) is wide
+
+
 def test_stitch_golden():
     """The matches of one function: two in fun2 joined by a popular one, two in fun3."""
     found = C.stitch([("fun2", 1, 6), ("fun2", 2, 2), ("fun2", 5, 5), ("fun3", 1, 1), ("fun3", 7, 7)])
