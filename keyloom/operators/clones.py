@@ -1,5 +1,8 @@
 """Colliding snippets to clones: pairs, popular hashes, stitching, filtering, occurrences, groups."""
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,23 +95,47 @@ def stitch(matches: list[tuple]) -> list[tuple]:
     return [(f, p, n + grown, q, m + grown) for f, p, n, q, m in clones]
 
 
-def _expand(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["that_function", "this_position", "hash"], kind="stable")
-    out = stitch(list(zip(pdf["that_function"], pdf["this_position"].tolist(), pdf["that_position"].tolist())))
-    return pd.DataFrame(
-        [(pdf["this_function"].iloc[0], i, *c) for i, c in enumerate(out)],
-        columns=["this_function", "seq", "that_function", "this_position", "this_length", "that_position", "that_length"],
-    )
+_CLONE_COLUMNS = ["this_function", "seq", "that_function", "this_position", "this_length", "that_position", "that_length"]
+
+
+def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The clones of whole functions, from their sorted matches."""
+    this, that = pdf["this_function"].to_numpy(object), pdf["that_function"].tolist()
+    p, q = pdf["this_position"].tolist(), pdf["that_position"].tolist()
+    starts = [0, *(np.flatnonzero(this[1:] != this[:-1]) + 1), len(this)]
+    out = [(this[a], i, *c) for a, b in zip(starts, starts[1:]) for i, c in enumerate(stitch(list(zip(that[a:b], p[a:b], q[a:b]))))]
+    return pd.DataFrame(out, columns=_CLONE_COLUMNS)
+
+
+def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted matches, batch by batch; the last function of a batch waits for the next one."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        this = pdf["this_function"]
+        if held and this.iloc[-1] == held[0]["this_function"].iloc[0]:
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
+        cut = int(np.argmax((whole["this_function"] == this.iloc[-1]).to_numpy()))
+        if cut:
+            yield _stitched(whole.iloc[:cut])
+        held = [whole.iloc[cut:]]
+    if held:
+        yield _stitched(pd.concat(held, ignore_index=True))
 
 
 def expand(matches: DataFrame) -> DataFrame:
     """Matches stitched to clones, numbered (seq) within each this_function.
 
-    The rule is sequential, hence one Python call for each function. A function's matches are bounded once popular
-    hashes are left out: fewer than POPULAR for each of its windows.
+    The rule is sequential within a function, so functions are kept whole by one exchange, sorted (which spills), and
+    streamed through Python in batches of many functions. A function's matches are bounded once popular hashes are
+    left out: fewer than POPULAR for each of its windows.
     """
     kind = matches.schema["this_function"].dataType.simpleString()
-    return matches.groupBy("this_function").applyInPandas(_expand, f"this_function {kind}, seq int, that_function {kind}, this_position int, this_length int, that_position int, that_length int")
+    ordered = matches.repartition("this_function").sortWithinPartitions("this_function", "that_function", "this_position", "hash")
+    return ordered.mapInPandas(_expand, f"this_function {kind}, seq int, that_function {kind}, this_position int, this_length int, that_position int, that_length int")
 
 
 def fine_clones(clones: DataFrame, strings: DataFrame, strict: bool = False) -> DataFrame:

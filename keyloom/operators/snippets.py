@@ -31,8 +31,8 @@ def snippets(functions: DataFrame, key: str = "hash", contents: str = "contents"
     return out
 
 
-def populated(files: DataFrame, functions: DataFrame) -> dict[str, DataFrame]:
-    """projects, versions, code_files, functions of (project_name, version_name, path, contents) rows and their functions.
+def populated(files: DataFrame, functions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """projects, versions, code_files (and functions, if given) of (project_name, version_name, path, contents) rows.
 
     A file's hash is the SHA-1 of its contents; a version's is the exclusive or of its distinct file hashes, a project's
     that of its distinct version hashes. Versions without files and projects without versions do not appear. The digests
@@ -43,9 +43,9 @@ def populated(files: DataFrame, functions: DataFrame) -> dict[str, DataFrame]:
     versions = hashed.select(*of, "hash").distinct().groupBy(*of).agg(T.xor_digest(F.col("hash")).alias("version_hash"))
     projects = versions.select("project_name", "version_hash").distinct().groupBy("project_name").agg(T.xor_digest(F.col("version_hash")).alias("project_hash"))
     named = versions.join(projects, "project_name")
-    return {
+    out = {
         "projects": projects.select(F.col("project_hash").alias("hash"), F.col("project_name").alias("name")),
         "versions": named.select(F.col("version_hash").alias("hash"), F.col("project_hash").alias("project"), F.col("version_name").alias("name")),
         "code_files": hashed.join(versions, of).select("hash", F.col("version_hash").alias("version"), "path", "contents").distinct(),
-        "functions": functions,
     }
+    return out if functions is None else out | {"functions": functions}

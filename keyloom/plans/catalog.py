@@ -162,7 +162,7 @@ SELECT v.source AS project_name, v.lang AS version_name, version_hash, project_h
 def xor_digests(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("source is not null and lang is not null")
     rows = docs.select(F.col("source").alias("project_name"), F.col("lang").alias("version_name"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("contents"))
-    made = snippets.populated(rows, rows.limit(0))
+    made = snippets.populated(rows)
     versions, projects = made["versions"], made["projects"]
     out = versions.join(projects.select(F.col("hash").alias("project"), F.col("name").alias("project_name")), "project")
     return out.select("project_name", F.col("name").alias("version_name"), F.col("hash").alias("version_hash"), F.col("project").alias("project_hash")).distinct()

@@ -111,6 +111,22 @@ def test_collisions_pairs_and_popular(spark):
     assert C.rough_pairs(C.collisions(df.limit(0))).count() == 0
 
 
+def test_expand_streams_whole_functions(spark):
+    rng = random.Random(9)
+    rows = [(f"f{rng.randrange(6)}", f"g{rng.randrange(3)}", rng.randrange(60), rng.randrange(60), f"h{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "this_function string, that_function string, this_position int, that_position int, hash string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = sorted(tuple(r) for r in C.expand(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for f in sorted({r[0] for r in rows}):
+        mine = sorted((r[1], r[2], r[4], r[3]) for r in rows if r[0] == f)
+        want += [(f, i, *c) for i, c in enumerate(C.stitch([(t, p, q) for t, p, _, q in mine]))]
+    assert got == sorted(want)
+
+
 def test_fine_clones(spark):
     text = "\n".join(f"w{i} a{i}" for i in range(20))
     strings = spark.createDataFrame([("f", text), ("g", text), ("h", "\n".join(f"q{i}" for i in range(20)))], "hash string, contents string")
