@@ -63,6 +63,18 @@ def woven_pairs(rough: DataFrame, popular: DataFrame, signed: bool = False) -> D
     return a.join(b, "hash").filter("this_o < that_o").select("this_function", "that_function", "this_position", "that_position", "hash")
 
 
+def all_matches(colliding: DataFrame, threshold: int = POPULAR, signed: bool = False) -> DataFrame:
+    """The matches of rare hashes and, woven in, those of popular ones, with woven: 0 for the latter and 1 for the former.
+
+    The reference weaves them in before it stitches: at one (that_function, this_position) a woven match comes first. The
+    number of woven matches grows as the square of a popular hash's functions; none is left out.
+    """
+    colliding = written(colliding, "colliding")
+    rough = written(rough_pairs(colliding, threshold, signed), "rough")
+    woven = woven_pairs(rough, popular_snippets(colliding, threshold), signed)
+    return rough.withColumn("woven", F.lit(1)).unionByName(woven.withColumn("woven", F.lit(0)))
+
+
 def stitch(matches: list[tuple]) -> list[tuple]:
     """Clones (that_function, this_position, this_length, that_position, that_length) of one function's matches.
 
@@ -130,11 +142,12 @@ def expand(matches: DataFrame) -> DataFrame:
     """Matches stitched to clones, numbered (seq) within each this_function.
 
     The rule is sequential within a function, so functions are kept whole by one exchange, sorted (which spills), and
-    streamed through Python in batches of many functions. A function's matches are bounded once popular hashes are
-    left out: fewer than POPULAR for each of its windows.
+    streamed through Python in batches of many functions. The matches of one function are in memory at once: fewer than POPULAR
+    for each of its rare windows and, where popular hashes are woven in (all_matches), all functions of each popular one.
     """
     kind = matches.schema["this_function"].dataType.simpleString()
-    ordered = matches.repartition("this_function").sortWithinPartitions("this_function", "that_function", "this_position", "hash")
+    order = ["this_function", "that_function", "this_position", *(["woven"] if "woven" in matches.columns else []), "hash"]
+    ordered = matches.repartition("this_function").sortWithinPartitions(*order).drop("hash", "woven")
     return ordered.mapInPandas(_expand, f"this_function {kind}, seq int, that_function {kind}, this_position int, this_length int, that_position int, that_length int")
 
 

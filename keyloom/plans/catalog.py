@@ -237,7 +237,7 @@ def spam_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clones(spark: SparkSession, d: str) -> DataFrame:
-    return C.expand(C.rough_pairs(_colliding(spark, d)))
+    return C.expand(C.all_matches(_colliding(spark, d)))
 
 
 def _shown(clones: DataFrame) -> DataFrame:

@@ -241,3 +241,32 @@ def test_streams(spark, tmp_path):
     run = counts.event_windows(s).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [(r["event_type"], r["n"]) for r in spark.table("windows").collect()] == [("x", 2)]
+
+
+def test_popular_hashes_are_woven_into_the_clones(spark):
+    """End to end against a plain version: rough matches, woven ones before them at the same place, stitched."""
+    rng = random.Random(4)
+    rows = {(f"h{rng.randrange(9)}", f"f{i}"): rng.randrange(40) for i in range(8) for _ in range(6)}
+    df = spark.createDataFrame([(h, f, 1, p, 5) for (h, f), p in rows.items()], "hash string, function string, clone_type int, position int, length int")
+    n = {h: sum(x == h for x, _ in rows) for h, _ in rows}
+    pairs = [(f, g, p, q, h) for (h, f), p in rows.items() for (x, g), q in rows.items() if x == h and f < g]
+    limit = 5
+    rough = {}
+    for f, g, p, q, h in sorted((x for x in pairs if n[x[4]] < limit), key=lambda x: x[4]):
+        rough.setdefault((f, g, p), (f, g, p, 1, h, q))
+    starts = {f for f, _, _ in rough}
+    woven = [(f, g, p, 0, h, q) for f, g, p, q, h in pairs if n[h] >= limit and f in starts]
+    assert rough and woven and any(n[h] >= limit and f not in starts for f, _, _, _, h in pairs)
+    every = sorted([*rough.values(), *woven])
+    want = [(f, i, *c) for f in sorted(starts) for i, c in enumerate(C.stitch([(g, p, q) for x, g, p, _, _, q in every if x == f]))]
+    assert sorted(tuple(r) for r in C.expand(C.all_matches(C.collisions(df), limit)).collect()) == sorted(want)
+
+
+def test_clone_queries_take_popular_hashes(spark, tmp_path):
+    from keyloom.plans import catalog
+
+    popular = [(b"p", f"f{i:03d}".encode(), 1, 3, 5) for i in range(C.POPULAR)]
+    rows = [*popular, (b"r", b"f000", 1, 0, 5), (b"r", b"f001", 1, 0, 5)]
+    spark.createDataFrame(rows, "hash binary, function binary, clone_type int, position int, length int").write.parquet(str(tmp_path / "snippets.parquet"))
+    got = [tuple(r)[1:3] + tuple(r)[4:] for r in catalog.QUERIES["expand_clones"](spark, str(tmp_path)).collect()]
+    assert len(got) == C.POPULAR - 1 and got.count((0, 8, 0, 8)) == 1 and got.count((3, 5, 3, 5)) == C.POPULAR - 2
