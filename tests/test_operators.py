@@ -270,3 +270,16 @@ def test_clone_queries_take_popular_hashes(spark, tmp_path):
     spark.createDataFrame(rows, "hash binary, function binary, clone_type int, position int, length int").write.parquet(str(tmp_path / "snippets.parquet"))
     got = [tuple(r)[1:3] + tuple(r)[4:] for r in catalog.QUERIES["expand_clones"](spark, str(tmp_path)).collect()]
     assert len(got) == C.POPULAR - 1 and got.count((0, 8, 0, 8)) == 1 and got.count((3, 5, 3, 5)) == C.POPULAR - 2
+
+
+def test_train_models_takes_all_steps(spark, tmp_path):
+    from keyloom.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(v) for v in rng.normal(size=64) / 10]) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    instances = catalog._instances(spark, str(tmp_path)).filter("shard = 0").toPandas().assign(k=lambda x: x["features"].map(tuple)).sort_values(["k", "label"])
+    got = {r["shard"]: r["weights"] for r in catalog.QUERIES["train_models"](spark, str(tmp_path)).collect()}
+    x, y = np.vstack(instances["features"].to_list()), instances["label"].to_numpy(float)
+    assert np.allclose(got[0], linear.train_one(x, y, 10_000, 7), atol=1e-6)
+    assert not np.allclose(got[0], linear.train_one(x, y, 200, 7), atol=1e-3)
