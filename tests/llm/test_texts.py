@@ -223,3 +223,22 @@ def test_replacement_of_rows(spark):
         assert "555-0122" not in got[2] and got[3] is None and got[4] == "" and got[5] == "nothing here"
     assert [tuple(r)[:3] for r in personal_data.personal_data(df, "doc_id", "text").filter("id = 1").collect()] == [(1, "name", 4)]
     assert personal_data.personal_data(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("near", [False, True])
+@pytest.mark.parametrize("meant", ["// Schlüssel für 21 °C ± 3 µm", "// Проверка длины строки"])
+def test_encoding_repair_of_a_third_of_all_rows(spark, meant, near):
+    rows = [(i, f"// {CLEAN[i % 5]} ({i})\nint x;\n") for i in range(60)]
+    garbled = encoding_repair.meant_text(meant.encode(), "latin_1")
+    tails = {i: f"\nint y{i if near else 0};\n" for i in range(100, 130)}
+    df = spark.createDataFrame([*rows, *((i, garbled + t) for i, t in tails.items())], "file_id int, contents string")
+    got = {r["id"]: (r["whole"], r["restored"]) for r in encoding_repair.garbled(df, "file_id", "contents").collect()}
+    assert got == {i: (True, meant + t) for i, t in tails.items()}
+
+
+def test_words_well_formed_by_chance_are_left_alone():
+    texts = ["dans le CAFÉ» et TERMINÉ…", "PÓŁ", "пункт В»", "там и тем", "═╗ ╚═", "├── a\n└── b"]
+    counts = encoding_repair.pair_counts([line for t in texts for line in t.split("\n")])
+    model = encoding_repair.PairModel(counts, sum(counts.values()))
+    assert [w for t in texts for w in t.split() if encoding_repair.certain(w, model)] == []
+    assert encoding_repair.certain("fÃ¼r", model) == "für" and encoding_repair.certain("Ã\xa0", model) == "à" and encoding_repair.certain("é", model) is None
