@@ -1,8 +1,9 @@
-"""Problem 2: files that are not hand-written source, by layout statistics, path and head.
+"""Problem 2: files that are not hand-written source, by layout statistics first, then by path and head.
 
-Layout statistics of the whole text (line lengths, shares of white space, letters and digits, numeric literals, long
-encoded runs, numbered families of lines) are held against thresholds tuned per language. The place in the tree
-and the comments before the first declaration tell generated and third-party files whose layout is ordinary.
+Layout statistics of the whole text (mean and maximum line length, shares of white space, letters and digits, numeric literals,
+encoded runs, repeated and numbered lines) are held against thresholds tuned per language. What they leave open, the
+place in the tree and the comments before the first declaration tell: generated and third-party files of ordinary layout.
+Each verdict names its source.
 """
 
 import re
@@ -14,14 +15,23 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.skew import spread
 
-#: Thresholds by language: mean line length, white-space share below, numeric literals among words, share in encoded runs.
+#: Thresholds by language. Minified: a mean line above mean_line, or a longest line above max_line that holds most of the text,
+#: with white space below white and letters and digits below dense (prose on one line has more). Data: numeric literals among
+#: words above numeric, or a share of the text in encoded runs above encoded.
 LAYOUT = {
-    "js": {"mean_line": 160, "white": 0.09, "numeric": 0.5, "encoded": 0.4},
-    "java": {"mean_line": 300, "white": 0.08, "numeric": 0.42, "encoded": 0.4},
-    "py": {"mean_line": 300, "white": 0.08, "numeric": 0.55, "encoded": 0.4},
+    "js": {"mean_line": 160, "max_line": 500, "white": 0.09, "dense": 0.93, "numeric": 0.5, "encoded": 0.4},
+    "java": {"mean_line": 300, "max_line": 2000, "white": 0.08, "dense": 0.93, "numeric": 0.42, "encoded": 0.4},
+    "py": {"mean_line": 300, "max_line": 2000, "white": 0.08, "dense": 0.93, "numeric": 0.55, "encoded": 0.4},
+    "ts": {"mean_line": 160, "max_line": 500, "white": 0.09, "dense": 0.93, "numeric": 0.5, "encoded": 0.4},
+    "css": {"mean_line": 160, "max_line": 500, "white": 0.07, "dense": 0.93, "numeric": 0.7, "encoded": 0.5},
+    "c": {"mean_line": 300, "max_line": 2000, "white": 0.08, "dense": 0.93, "numeric": 0.5, "encoded": 0.4},
+    "sh": {"mean_line": 300, "max_line": 2000, "white": 0.08, "dense": 0.93, "numeric": 0.6, "encoded": 0.4},
+    # numbers, encoded values and long lines are what formats for data are for: only text packed into encoded runs counts
+    "json": {"mean_line": None, "max_line": None, "white": 0, "dense": 1, "numeric": None, "encoded": 0.9},
+    "xml": {"mean_line": None, "max_line": None, "white": 0, "dense": 1, "numeric": None, "encoded": 0.9},
 }
-OTHER = {"mean_line": 300, "white": 0.08, "numeric": 0.6, "encoded": 0.5}
-#: Formats for data: numbers and encoded values are what belongs there.
+OTHER = {"mean_line": 300, "max_line": 2000, "white": 0.08, "dense": 0.93, "numeric": 0.6, "encoded": 0.5}
+#: Further formats for data, which have the thresholds of JSON.
 DATA_FORMATS = frozenset(["json", "xml", "properties", "csv", "tsv", "txt", "md", "yml", "yaml", "html", "svg", "sql", "lock", "log", "ini", "cfg", "toml"])
 
 #: Directories by convention, outside the package part of a path.
@@ -48,7 +58,8 @@ COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*|<!--[\s\S]*?-->|^[
 FAMILY = re.compile(r"\b[a-zA-Z]+_\d+\s*\(|_FIELD_NUMBER\s*=|\bbitField\d+_|\bcase\s+\d+:\s*return\s+-?\d+;")
 NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[lLfFdD]?\b")
 WORD = re.compile(r"\w+(?:\.\d+)?")
-ENCODED = re.compile(r"[A-Za-z0-9+/=]{60,}|(?:\\x[0-9a-fA-F]{2}){15,}")
+#: Long encoded runs: base64 of 60 characters or more, hex digits of 32 or more, escapes of 8 bytes or more.
+ENCODED = re.compile(r"[A-Za-z0-9+/=]{60,}|(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-F]{32,}(?![A-Za-z0-9])|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\[0-7]{3}){8,}|(?:\\u[0-9a-fA-F]{4}){8,}")
 WHITE, DIGITS = b" \t\r\n\f\v", b"0123456789"
 ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 SOURCE_ROOT = re.compile(r"(?:^|/)(?:src/)?(?:main/|test/)?(?:java|resources|kotlin|scala)/")
@@ -79,6 +90,7 @@ def head(text: str) -> str:
 
 
 def layout(text: str) -> dict[str, float]:
+    """Statistics of the whole text, on its UTF-8 bytes; lines of one character or none do not count as lines."""
     raw = text.encode("utf-8", "replace")
     n = max(len(raw), 1)
     lines = raw.split(b"\n")
@@ -96,51 +108,60 @@ def layout(text: str) -> dict[str, float]:
     }
 
 
-def kind(path: str | None, text: str) -> str | None:
-    """generated, minified, vendored or data; None for hand-written source (and for empty texts)."""
-    s, ext = layout(text), extension(path)
-    if not s["chars"]:
-        return place(path)
-    limits = LAYOUT.get(ext, OTHER)
-    if ext not in DATA_FORMATS:
-        inner = 1 - s["white"]
-        if s["digits"] > 0.1:
-            words = len(WORD.findall(text))
-            if words > 40 and len(NUMBER.findall(text)) > limits["numeric"] * words:
-                return "data"
-        # encoded text is nearly all letters and digits; only then are its runs looked for
-        if s["alnum"] > 0.72 and inner and sum(map(len, ENCODED.findall(text))) > limits["encoded"] * s["chars"]:
+def by_layout(ext: str, text: str, s: dict[str, float]) -> str | None:
+    """data, minified or generated by the layout statistics alone."""
+    limits = LAYOUT.get(ext) or (LAYOUT["json"] if ext in DATA_FORMATS else OTHER)
+    if limits["numeric"] and s["digits"] > 0.1:
+        words = len(WORD.findall(text))
+        if words > 40 and len(NUMBER.findall(text)) > limits["numeric"] * words:
+            return "data"
+    # runs of letters and digits are looked for only where these prevail; escapes wherever there is a backslash
+    if s["alnum"] > 0.72 or "\\x" in text or "\\u" in text or "\\0" in text:
+        if sum(map(len, ENCODED.findall(text))) > limits["encoded"] * s["chars"]:
             return "data"
-        if s["chars"] > 200 and s["mean_line"] > limits["mean_line"] and s["white"] < limits["white"]:
+    if limits["mean_line"] and s["chars"] > 200 and s["white"] < limits["white"] and s["alnum"] < limits["dense"]:
+        if s["mean_line"] > limits["mean_line"] or s["max_line"] > limits["max_line"] and s["max_line"] > 0.5 * s["chars"]:
             return "minified"
-    if where := place(path):
-        return where
-    top = head(text)
-    if top:
-        if VENDOR_HEAD.search(top):
-            return "vendored"
-        if GENERATED_HEAD.search(top):
-            return "generated"
     if ext == "java" and ("_FIELD_NUMBER" in text or "(int c)" in text or "bitField" in text):
         if sum(1 for line in text.split("\n") if FAMILY.search(line)) > 0.25 * s["lines"]:
             return "generated"
     return None
 
 
+def verdict(path: str | None, text: str) -> tuple[str | None, str | None]:
+    """(kind, source): generated, minified, vendored or data, and layout, path or head; (None, None) for hand-written source (and for empty texts)."""
+    s, ext = layout(text), extension(path)
+    if s["chars"] and (found := by_layout(ext, text, s)):
+        return found, "layout"
+    if where := place(path):
+        return where, "path"
+    top = head(text) if s["chars"] else ""
+    if top:
+        if VENDOR_HEAD.search(top):
+            return "vendored", "head"
+        if GENERATED_HEAD.search(top):
+            return "generated", "head"
+    return None, None
+
+
+def kind(path: str | None, text: str) -> str | None:
+    return verdict(path, text)[0]
+
+
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds = [kind(p, t or "") for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["id", "kind"])
+        found = [verdict(p, t or "") for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[k] for v in found], pa.string()) for k in (0, 1))], ["id", "kind", "source"])
 
 
 def file_kinds(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """(id, kind) of each row: generated, minified, vendored, data, or null for hand-written source.
+    """(id, kind, source) of each row: generated, minified, vendored, data, or null for hand-written source; by layout, path or head.
 
     Works row by row, in one pass over the whole texts, without any exchange. A null path tells nothing, a null text is
     judged by its path only; a null key is kept, repeated rows come repeatedly; other columns are not read.
     """
     rows = files.select(F.col(key).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string")
+    return spread(rows).mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string, source string")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -150,9 +171,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """kind, n_files: distinct files of each kind; hand-written ones under 'source'."""
+    """kind, source, n_files: distinct files of each kind, by what told it; hand-written ones under 'source'."""
     found = file_kinds(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents").filter("id is not null")
-    return found.groupBy("id").agg(F.max("kind").alias("kind")).groupBy(F.coalesce("kind", F.lit("source")).alias("kind")).agg(F.count(F.lit(1)).alias("n_files"))
+    one = found.groupBy("id").agg(F.max(F.struct("kind", "source")).alias("v"))
+    return one.groupBy(F.coalesce("v.kind", F.lit("source")).alias("kind"), F.coalesce("v.source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds}

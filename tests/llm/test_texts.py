@@ -28,6 +28,10 @@ CODE = "package a.b;\n\nclass Tool {\n    int size(String s) {\n        return s
         ("web/x.js", "var t = [" + ",".join(map(str, range(1000, 1300))) + "];\n", "data"),
         ("src/x.py", "BLOB = (\n" + "".join(f'    "{"QUJDRAfe" * 10}"\n' for _ in range(9)) + ")\n", "data"),
         ("conf/x.json", "[" + ",".join(map(str, range(1000, 1300))) + "]", None),
+        ("src/x.py", "BLOB = (\n" + "".join(f"    '{'0a9f3c' * 8}'\n" for _ in range(9)) + ")\n", "data"),
+        ("src/x.py", "BLOB = (\n" + "".join("    b'" + "\\x0a\\xff" * 10 + "'\n" for _ in range(9)) + ")\n", "data"),
+        ("web/x.js", "// loader\n" * 30 + "var a=1;" * 200 + "\n", "minified"),
+        ("web/x.js", "// loader\n" * 300 + "var a=1;" * 50 + "\n", None),
         (None, "", None),
         ("vendor/x.py", "", "vendored"),
     ],
@@ -36,6 +40,13 @@ def test_file_kinds(path, text, kind):
     assert generated_files.kind(path, text) == kind
 
 
+def test_file_kinds_name_their_source():
+    assert generated_files.verdict("vendor/x.js", "function f(a){return a.b(1)}" * 40) == ("minified", "layout")
+    assert generated_files.verdict("vendor/x.js", "f();\n") == ("vendored", "path")
+    assert generated_files.verdict("web/x.js", "// Generated by x\nf();\n") == ("generated", "head")
+    assert generated_files.verdict("web/x.js", "f();\n") == (None, None)
+
+
 def test_file_kinds_of_dirty_rows(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (None, "vendor/a.py", None, "b"), (2, None, CODE * 400, "c"), (2, None, CODE, "c")], "file_id int, path string, contents string, kind string")
     assert sorted((str(r["id"]), str(r["kind"])) for r in generated_files.file_kinds(df, "file_id", "path", "contents").collect()) == [("1", "None"), ("2", "None"), ("2", "None"), ("None", "vendored")]
