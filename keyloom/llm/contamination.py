@@ -1,9 +1,14 @@
 """Problem 9: evaluation items inside documents, by template canonicalisation.
 
-Words are runs of [a-z0-9] after lower-casing. A word's template is a typed placeholder if it is a number, a unit or a
-name, else itself; it depends on the word alone, so windows with equal words have equal templates. Template
-windows of the items are hash-joined with those of all documents; the slots (the words behind the placeholders)
-then tell verbatim leaks (slots equal) from re-parameterised ones (slots mapped one to one).
+A text becomes a row of templates: a word is a typed placeholder if it is a number, a unit or (in the second form) a name,
+else itself. The type depends on the word as it is written and on nothing else, neither on the rest of the text nor on other items, so
+both sides decide alike and no result depends on how items are grouped. Template windows of the items and of all
+documents are hash-joined; the slots, the words behind the placeholders, then tell verbatim leaks (slots equal)
+from re-parameterised ones (slots mapped one to one).
+
+Two forms are used. Plain: words are runs of [a-z0-9] after lower-casing, with numbers and units as types; windows with equal words
+have equal templates. Cased: words as written, 12.5 or 1,000 is one number, capitalised words and identifiers in mixed case are
+names, and a name of several words is one slot.
 """
 
 import re
@@ -12,77 +17,96 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import U, blocks, mix
 from keyloom.operators.skew import spread
+from keyloom.store import written
 
 WORD = re.compile(r"[a-z0-9]+")
-CASED = re.compile(r"[A-Za-z0-9]+")
-NUMBER = re.compile(r"[0-9]+|0x[0-9a-f]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|fifty|hundred|thousand")
+CASED = re.compile(r"\d+(?:[.,]\d+)*[^\W_]*|[^\W\d_][^\W_]*(?:['’][a-z]+)?")
+NUMBER = re.compile(r"[0-9][0-9.,]*|0x[0-9a-f]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|fifty|hundred|thousand")
 UNITS = frozenset("ms s sec secs second seconds minute minutes hour hours day days week weeks month months year years byte bytes kb mb gb tb kib mib gib mm cm m km inch inches mile miles g kg mg lb lbs pound pounds eur usd dollar dollars euro euros percent degree degrees hz khz mhz ghz w kw px line lines thread threads row rows file files".split())
-PLACEHOLDERS = {"number": 1, "unit": 2, "name": 3}
+#: Words that begin sentences and are no names.
+STARTERS = frozenset("a after all also an and any are as at because before both but by can could did do does each either every find first for from given had has have he her here his how however i if in is it its let many may more most much my neither next no not now of on once one only or other our out over see she should since so some such than that the their then there these they this those to two under until up use using was we were what when where which while who whose why will with would you your".split())
 BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
-ITEM_BLOCK = 2_000_000
+PLAIN, WITH_NAMES = 1, 2
 
 
-def name_words(texts: list) -> set[str]:
-    """Words of item texts that are written with a capital wherever they occur, at least once not after a full stop."""
-    seen: dict[str, int] = {}
-    for text in texts:
-        before = "."
-        for m in CASED.finditer(text or ""):
-            w = m.group()
-            kind = 0 if not w[0].isupper() else 1 if before in ".!?:" else 2
-            low = w.lower()
-            seen[low] = 0 if kind == 0 or seen.get(low) == 0 else max(kind, seen.get(low, 1))
-            before = (text[m.end() : m.end() + 1] or ".").replace("\n", ".")
-    return {w for w, kind in seen.items() if kind == 2}
+def kind_of(word: str, form: int) -> str | None:
+    """number, unit, name or None, by the word alone."""
+    low = word.lower() if form == WITH_NAMES else word
+    if word[0].isdigit() or NUMBER.fullmatch(low):
+        return "number"
+    if low in UNITS:
+        return "unit"
+    if form == WITH_NAMES and len(word) > 1 and not word.isupper():
+        mixed = any(c.isupper() for c in word[1:])
+        if mixed or word[0].isupper() and low.split("'")[0].split("’")[0] not in STARTERS:
+            return "name"
+    return None
 
 
 class Templates:
-    """word -> row of (hash of the word, hash of its template, whether it is a slot); emptied between blocks when large."""
+    """Words of one form as rows: the word, its template and the template's hash; emptied between blocks when large."""
 
-    def __init__(self, names: set[str], most: int = 500_000):
-        self.names, self.most = names, most
+    def __init__(self, form: int, most: int = 500_000):
+        self.form, self.most = form, most
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool]] = []
-        self.table = np.empty((0, 2), U), np.empty(0, bool)
-
-    def _of(self, word: str) -> tuple[int, int, bool]:
-        h = xxhash.xxh3_64_intdigest(word)
-        kind = "number" if word[0].isdigit() or NUMBER.fullmatch(word) else "unit" if word in UNITS else "name" if word in self.names else None
-        return h, xxhash.xxh3_64_intdigest(f"<{kind}>") if kind else h, kind is not None
+        self.words: list[str] = []
+        self.templates: list[str] = []
+        self.kinds: list[int] = []
+        self.table, self.names = np.empty(0, U), np.empty(0, bool)
+
+    def _add(self, word: str) -> None:
+        kind = kind_of(word, self.form)
+        self.ids[word] = len(self.words)
+        self.words.append(word.lower())
+        self.templates.append(f"<{kind}>" if kind else word.lower())
+        self.kinds.append(0 if kind is None else 2 if kind == "name" else 1)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word hashes, template hashes, is slot, number of words of each text)."""
+        """(word ids of all texts, first word of each template, template hashes, number of templates of each text). Names in a row are one template."""
         if len(self.ids) > self.most:
             self.clear()
-        ids, rows = self.ids, self.rows
-        flat: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
+        ids, flat, sizes = self.ids, [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            words = WORD.findall(text.lower()) if text else []
+            words = [] if not text else WORD.findall(text.lower()) if self.form == PLAIN else CASED.findall(text)
             sizes[k] = len(words)
             try:
                 flat += [ids[w] for w in words]
             except KeyError:
                 for w in words:
                     if w not in ids:
-                        ids[w] = len(rows)
-                        rows.append(self._of(w))
+                        self._add(w)
                 flat += [ids[w] for w in words]
-        done = len(self.table[1])
-        if len(rows) > done:
-            new = rows[done:]
-            self.table = np.vstack([self.table[0], np.array([r[:2] for r in new], U).reshape(-1, 2)]), np.append(self.table[1], [r[2] for r in new])
+        done = len(self.table)
+        if len(self.words) > done:
+            self.table = np.append(self.table, np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in self.templates[done:]), U, len(self.words) - done))
+            self.names = np.append(self.names, np.array(self.kinds[done:]) == 2)
         at = np.array(flat, np.int64)
-        return self.table[0][at, 0], self.table[0][at, 1], self.table[1][at], sizes
+        keep = np.ones(len(at), bool)
+        if self.form == WITH_NAMES and len(at):
+            owner, name = np.repeat(np.arange(len(texts)), sizes), self.names[at]
+            keep[1:] = ~(name[1:] & name[:-1] & (owner[1:] == owner[:-1]))
+            sizes = np.bincount(owner[keep], minlength=len(texts))
+        first = np.flatnonzero(keep)
+        return at, first, self.table[at[first]], sizes
+
+    def window(self, at: np.ndarray, first: np.ndarray, p: int, w: int) -> tuple[str, list[str]]:
+        """(templates, slots) of the w templates from p."""
+        ends = [*first[p + 1 : p + w].tolist(), int(first[p + w]) if p + w < len(first) else len(at)]
+        shown, slots = [], []
+        for a, b in zip(first[p : p + w].tolist(), ends):
+            i = int(at[a])
+            shown.append(self.templates[i])
+            if self.kinds[i]:
+                slots.append(" ".join(self.words[j] for j in at[a:b].tolist() if self.kinds[j] == self.kinds[i]))
+        return " ".join(shown), slots
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,115 +123,100 @@ def rolling(t: np.ndarray, w: int, powers: tuple[np.ndarray, np.ndarray]) -> np.
     return mix((sums[w:] - sums[:n]) * powers[1][:n])
 
 
+def _windows(w: int, form: int, kind: pa.DataType, held=None, bits: int = 0):
+    """(id, window, template, slots), distinct within a block; only windows whose bit is set if a bitmap is given."""
 
-def item_windows(items: list[tuple], w: int, names: set[str]) -> dict[str, np.ndarray]:
-    """Windows of all items: template hash (sorted), word hash, item row, position; and the items' words."""
-    enc = Templates(names)
-    words, tmpl, slot, sizes = enc.encode([t for _, t in items])
-    owner = np.repeat(np.arange(len(items)), sizes)
-    powers = _powers(len(words) + 1)
-    th, wh = rolling(tmpl, w, powers), rolling(words, w, powers)
-    ok = np.flatnonzero(owner[: len(th)] == owner[w - 1 :][: len(th)]) if len(th) else np.empty(0, np.int64)
-    fixed = np.convolve(~slot, np.ones(w, int), "valid")[ok] if len(ok) else np.empty(0, int)
-    order = np.argsort(th[ok], kind="stable")
-    ok = ok[order]
-    return {"template": th[ok], "words": wh[ok], "item": owner[ok], "at": ok, "fixed": fixed[order], "all": words, "slot": slot}
-
-
-def _one_to_one(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether position by position a maps to b and b to a."""
-    pairs = set(zip(a.tolist(), b.tolist()))
-    return len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
-
-
-def _probe(held, ids: list, w: int, names: set[str], changed: bool, least_fixed: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, enc = held.value, Templates(names)
-        powers, known = _powers(1), it["template"]
-        quick = np.zeros(1 << 20, bool)
-        quick[(known >> U(44)).astype(np.int64)] = True
-        exact = {}
-        for h, item in zip(it["words"].tolist(), it["item"].tolist()):
-            exact.setdefault(h, set()).add(item)
+        enc, powers = Templates(form), _powers(1)
+        known = None if held is None else np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            out_doc, out_item, out_how = [], [], []
+            texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for i, j in blocks(texts):
-                words, tmpl, slot, sizes = enc.encode(texts[i:j])
-                if len(words) >= len(powers[0]):
-                    powers = _powers(2 * len(words))
-                th = rolling(tmpl, w, powers)
-                hit = np.flatnonzero(quick[(th >> U(44)).astype(np.int64)])
-                if not len(hit) or not len(known):
-                    continue
-                lo = np.searchsorted(known, th[hit])
-                lo[lo == len(known)] = 0
-                hit = hit[known[lo] == th[hit]]
+                at, first, th, sizes = enc.encode(texts[i:j])
+                if len(th) >= len(powers[0]):
+                    powers = _powers(2 * len(th))
+                h = rolling(th, w, powers)
                 ends = np.cumsum(sizes)
+                hit = np.flatnonzero(known[(h >> U(64 - bits)).astype(np.int64)]) if known is not None else np.arange(len(h))
                 doc = np.searchsorted(ends, hit, side="right")
-                inside = hit + w <= ends[doc]
+                inside = hit + w <= ends[doc] if len(hit) else np.empty(0, bool)
                 hit, doc = hit[inside], doc[inside]
-                if not len(hit):
-                    continue
-                wh = rolling(words, w, powers)[hit]
-                same: set[tuple[int, int]] = set()
-                for x, h in zip(doc.tolist(), wh.tolist()):
-                    same.update((x, item) for item in exact.get(h, ()))
-                other: set[tuple[int, int]] = set()
-                if changed:
-                    first, last = np.searchsorted(known, th[hit], "left"), np.searchsorted(known, th[hit], "right")
-                    for x, p, a, b in zip(doc.tolist(), hit.tolist(), first.tolist(), last.tolist()):
-                        for q in range(a, b):
-                            pair = (x, int(it["item"][q]))
-                            if pair in same or pair in other or it["fixed"][q] < least_fixed:
-                                continue
-                            s = it["at"][q]
-                            at = np.flatnonzero(it["slot"][s : s + w])
-                            if _one_to_one(it["all"][s + at], words[p + at]):
-                                other.add(pair)
-                for found, how in ((same, "verbatim"), (other, "changed")):
-                    for x, item in sorted(found):
-                        out_doc.append(keys[i + x])
-                        out_item.append(ids[item])
-                        out_how.append(how)
-            yield pa.RecordBatch.from_arrays([pa.array(out_doc, batch.schema.field(0).type), pa.array(out_item, kind), pa.array(out_how, pa.string())], ["doc", "item", "how"])
+                rows = {}
+                for p, d in zip(hit.tolist(), doc.tolist()):
+                    shown, slots = enc.window(at, first, p, w)
+                    rows[d, shown, tuple(slots)] = p
+                at_rows = list(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.slice(i, j - i).take(pa.array([d for d, _, _ in at_rows], pa.int64())).cast(kind),
+                        pa.array(h[list(rows.values())].view(np.int64) if rows else [], pa.int64()),
+                        pa.array([t for _, t, _ in at_rows], pa.string()),
+                        pa.array([list(s) for _, _, s in at_rows], pa.list_(pa.string())),
+                    ],
+                    ["id", "window", "template", "slots"],
+                )
 
     return run
 
 
+def _windowed(rows: DataFrame, w: int, form: int, held=None, bits: int = 0) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema["id"].dataType
+    return rows.mapInArrow(_windows(w, form, to_arrow_type(kind), held, bits), f"id {kind.simpleString()}, window bigint, template string, slots array<string>")
+
+
+def bitmap(windows: DataFrame, bits: int) -> bytearray:
+    """2^bits bits, set for the leading bits of each window's hash. Built by executors in segments of 4 KB, so at most 2^bits / 8 bytes reach the driver, whatever the input."""
+    x = F.shiftrightunsigned("window", 64 - bits) + 1
+    parts = windows.select(F.bitmap_bucket_number(x).alias("segment"), F.bitmap_bit_position(x).alias("position"))
+    out = bytearray(1 << bits - 3)
+    for r in parts.groupBy("segment").agg(F.bitmap_construct_agg("position").alias("b")).collect():
+        out[(r["segment"] - 1) * 4096 : r["segment"] * 4096] = r["b"]
+    return out
+
+
+def one_to_one(a: Column, b: Column) -> Column:
+    """Whether position by position a maps to b and b to a."""
+    pairs = F.size(F.array_distinct(F.arrays_zip(a.alias("a"), b.alias("b"))))
+    return (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))
+
+
+#: Bits of the filter: 16 for each item window, but at most 2^MOST_BITS, 128 MB. Beyond 2^26 windows more documents' windows pass it and the join does more.
+LEAST_BITS, MOST_BITS = 20, 30
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = 13, changed: bool = True, least_fixed: int = 8) -> DataFrame:
-    """(doc, item, how), one row each: how is verbatim (w successive words in common) or changed (w successive words equal but for numbers, units and names, which map one to one; at least least_fixed other words).
+    """(doc, item, how), one row each: how is verbatim (w successive words in common) or changed (w successive templates equal, numbers, units and names mapped one to one, at least
+    least_fixed of them words); a window that some item has word for word counts for that item only.
 
-    Null ids and texts, and items of fewer than w words, leak nothing; repeated rows count once; other columns are not
-    read. The items are the query set: they go to the tasks in blocks of at most ITEM_BLOCK characters (items longer
-    than that alone), one pass over the documents a block, so neither side has a bound and no
-    document data leave the executors. A template that many documents share costs each of them one lookup.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
+    Null ids and texts, and items of fewer than w words, leak nothing; repeated rows count once; other columns are not read.
 
-    kind = to_arrow_type(items.schema[item_id].dataType)
+    One plan whatever the number of items: the windows of the items set bits in a filter of bounded size, which is broadcast; a pass over
+    the documents keeps the windows that pass it, and these are joined by hash with those of the items by an ordinary (adaptive) join.
+    Templates are compared as text after the join, so equal hashes of different windows give no leak. No item text goes
+    through the driver. In documents without capitals names are no slots: there only numbers and units may differ.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("doc is not null and text is not null")
-    rows = spread(rows)
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, how string"
-    source = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
-    passes, block, size = [], [], 0
-
-    def add() -> None:
-        names = name_words([t for _, t in block])
-        held = spark.sparkContext.broadcast(item_windows(block, w, names))
-        passes.append(rows.mapInArrow(_probe(held, [i for i, _ in block], w, names, changed, least_fixed, kind), schema))
-
-    for r in source.orderBy("i", "t").toLocalIterator():
-        if block and size + len(r["t"]) > ITEM_BLOCK:
-            add()
-            block, size = [], 0
-        block.append((r["i"], r["t"]))
-        size += len(r["t"])
-    add()
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
+    rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).filter("id is not null and text is not null"))
+    source = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
+    found = None
+    for form in (PLAIN, WITH_NAMES) if changed else (PLAIN,):
+        theirs = written(_windowed(source, w, form).distinct(), "item_windows")
+        bits = min(MOST_BITS, max(LEAST_BITS, (16 * theirs.count()).bit_length()))
+        held = spark.sparkContext.broadcast(bytes(bitmap(theirs, bits)))
+        mine = _windowed(rows, w, form, held, bits).select(F.col("id").alias("doc"), "window", F.col("template").alias("t"), F.col("slots").alias("s"))
+        named = theirs.withColumnRenamed("id", "item")
+        hits = []
+        if form == PLAIN:
+            hits.append(mine.join(named, "window").filter((F.col("t") == F.col("template")) & (F.col("s") == F.col("slots"))).select("doc", "item", F.lit("verbatim").alias("how")))
+        if changed:
+            # a window that some item has word for word is that item's, not a changed one of the others with its template
+            told = theirs.select("window", F.col("template").alias("t"), F.col("slots").alias("s")).distinct()
+            open_ = mine.join(told, ["window", "t", "s"], "left_anti").join(named, "window").filter((F.col("t") == F.col("template")) & (w - F.size("slots") >= least_fixed))
+            hits.append(open_.filter(one_to_one(F.col("s"), F.col("slots"))).select("doc", "item", F.lit("changed").alias("how")))
+        for h in hits:
+            found = h if found is None else found.unionByName(h)
     return found.groupBy("doc", "item").agg(F.max("how").alias("how"))
 
 

@@ -30,8 +30,8 @@ CODE = "package a.b;\n\nclass Tool {\n    int size(String s) {\n        return s
         ("conf/x.json", "[" + ",".join(map(str, range(1000, 1300))) + "]", None),
         ("src/x.py", "BLOB = (\n" + "".join(f"    '{'0a9f3c' * 8}'\n" for _ in range(9)) + ")\n", "data"),
         ("src/x.py", "BLOB = (\n" + "".join("    b'" + "\\x0a\\xff" * 10 + "'\n" for _ in range(9)) + ")\n", "data"),
-        ("web/x.js", "// loader\n" * 30 + "var a=1;" * 200 + "\n", "minified"),
-        ("web/x.js", "// loader\n" * 300 + "var a=1;" * 50 + "\n", None),
+        ("web/x.js", "// loader\n" * 30 + "a.b(1);" * 300 + "\n", "minified"),
+        ("web/x.js", "// loader\n" * 300 + "a.b(1);" * 50 + "\n", None),
         (None, "", None),
         ("vendor/x.py", "", "vendored"),
     ],
@@ -176,11 +176,11 @@ def test_leaks(spark):
     want = {(k, i) for k, t in docs for i, u in items if grams(t) & grams(u)}
     got = {(r["doc"], r["item"]) for r in contamination.leaks(d, b, changed=False).collect()}
     assert got == want and got
-    small, contamination.ITEM_BLOCK = contamination.ITEM_BLOCK, 300
-    try:
+    few, contamination.LEAST_BITS, contamination.MOST_BITS = (contamination.LEAST_BITS, contamination.MOST_BITS), 4, 4
+    try:  # a filter that lets much through changes nothing
         assert {(r["doc"], r["item"]) for r in contamination.leaks(d, b, changed=False).collect()} == want
     finally:
-        contamination.ITEM_BLOCK = small
+        contamination.LEAST_BITS, contamination.MOST_BITS = few
     assert contamination.leaks(d.limit(0), b).count() == 0 and contamination.leaks(d, b.limit(0)).count() == 0
 
 
@@ -194,6 +194,46 @@ def test_changed_items_need_consistent_slots(spark):
     assert got == {(1, 1): "verbatim", (2, 1): "changed"}
 
 
+QUESTION = "{a} has {n} boxes of screws and {b} brings {m} kg of nails to the workshop, so how many hours do {a} and {b} need until every shelf is full"
+
+
+def test_names_are_told_on_each_side(spark):
+    item = QUESTION.format(a="Alice", b="Robert", n="12", m="7")
+    docs = {
+        1: QUESTION.format(a="Brigitte", b="Cedric", n="12", m="7"),
+        2: QUESTION.format(a="Alice", b="Robert", n="12.5", m="1,000"),
+        3: QUESTION.format(a="Mary Ann", b="Robert", n="3", m="7"),
+        4: QUESTION.format(a="Brigitte", b="Cedric", n="12", m="7").replace("do Brigitte", "do Dora"),
+        5: QUESTION.format(a="Alice", b="Robert", n="12", m="7").upper(),
+        6: QUESTION.format(a="alice", b="robert", n="15", m="7"),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id int, text string")
+    for others in ([], [(2, "it was alice who said that robert would come to the office in the late afternoon of that day")]):
+        b = spark.createDataFrame([(1, item), *others], "item_id int, text string")
+        got = {r["doc"]: r["how"] for r in contamination.leaks(d, b, w=30).filter("item = 1").collect()}
+        assert got == {1: "changed", 2: "changed", 3: "changed", 5: "verbatim", 6: "changed"}
+
+
+def test_recall_of_planted_changes(spark):
+    rng = random.Random(11)
+    lexicon = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "mu", "re") for b in ("la", "ne", "to", "vi") for c in ("n", "s", "r")]
+    names = [a + b + c for a in "BCDFGKLMNPRST" for b in ("arvo", "elin", "imka", "ostra", "ulem") for c in ("", "na", "to")]
+    numbers = [*map(str, range(2, 90)), *(f"{i}.{i + 7}" for i in range(40))]
+    pools = {"name": names, "number": numbers, "unit": ["km", "hours", "kg"]}
+    items, docs = [], []
+    for i in range(150):
+        words = [rng.choice(["name", "number", "unit"]) + str(rng.randrange(3)) if rng.random() < 0.25 else rng.choice(lexicon) for _ in range(45)]
+        sides = []
+        for _ in range(2):
+            slot = {f"{k}{j}": v for k, pool in pools.items() for j, v in enumerate(rng.sample(pool, 3))}
+            sides.append(" ".join(slot.get(w, w) for w in words))
+        items.append((i, sides[0]))
+        docs.append((i, "Intro words come first. " + sides[1] + " And more."))
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r["doc"], r["item"]) for r in contamination.leaks(d, b, w=13).collect()}
+    assert all(x == y for x, y in got) and len(got) >= 0.9 * len(items)
+
+
 def test_personal_data_places():
     text = (
         "Ask Sofia Varley about this.\nAuthor: Varley, Sofia <svarley@example.com>\nmobile: 0049 (30) 23125275 or (202) 555-0122, +33 1 99 00 39 78\n"
