@@ -34,6 +34,16 @@ WORDS |= dict.fromkeys(["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", "
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 BRACKETS = re.compile(r"[()\[\]{}]")
 MODIFIERS = "mSfyd@"
+#: Verdicts are kept for shorter slices only.
+KEPT = 300
+#: Levels of bodies reduced at once; deeper ones are left to what follows.
+PASSES = 16
+#: A body that can only be a block, by what stands before it (a method's head or a statement's), with at most empty bodies inside.
+BODY = re.compile(
+    r"""((?:[EDYL]|[FWRyK]\((?:[^(){}]|\((?:[^(){}]|\((?:[^(){}]|\([^(){}]*+\))*+\))*+\))*+\)
+|(?<![@.])[tvi\]>]i\([^(){}]*+\)(?:\[\])*+(?:h[i.,<>]++)?))\{((?:[^{}]|\{\})++)\}""",
+    re.VERBOSE,
+)
 
 
 class Bad(Exception):
@@ -69,6 +79,7 @@ class Classes(dict):
 
 
 NORMAL, COMMENT = 0, 1
+STATES = (NORMAL, COMMENT)
 
 
 def lex(text: str, classes: Classes, state: int = NORMAL) -> tuple[int, str]:
@@ -82,6 +93,21 @@ def lex(text: str, classes: Classes, state: int = NORMAL) -> tuple[int, str]:
     return (COMMENT, out[:-1]) if out.endswith("\x00") else (NORMAL, out)
 
 
+def chunk_map(text: str, classes: Classes) -> dict[int, tuple[int, str]]:
+    """state before a chunk -> (state after it, its classes).
+
+    What follows the first end of a comment is lexed once for both states, if the normal state is in that comment too.
+    """
+    end = text.find("*/") + 2
+    if end < 2:
+        return {NORMAL: lex(text, classes), COMMENT: (COMMENT, "")}
+    after = lex(text[end:], classes)
+    tokens = TOKEN.findall(text[:end])
+    if tokens and tokens[-1].startswith("/*") and tokens[-1].endswith("*/") and len(tokens[-1]) > 3:
+        return {NORMAL: (after[0], "".join(map(classes.__getitem__, tokens)) + after[1]), COMMENT: after}
+    return {NORMAL: lex(text, classes), COMMENT: after}
+
+
 def matching(s: str) -> dict[int, int]:
     """Place of each bracket's closing bracket; Bad if they do not pair."""
     stack, out = [], {}
@@ -106,22 +132,54 @@ class Grammar:
         self.good_expressions: dict[str, str] = {}
         self.good_statements: set[str] = set()
         self.good_headers: dict[str, str] = {}
+        self.good_blocks: set[str] = set()
+        self.s, self.match = "\n", {}
 
     def check(self, s: str) -> bool:
         """Whether a file's classes are a compilation unit."""
         if "#" in s or "\x00" in s:
             return False
-        for kept in (self.good_expressions, self.good_statements, self.good_headers):
+        for kept in (self.good_expressions, self.good_statements, self.good_headers, self.good_blocks):
             if len(kept) > self.most:
                 kept.clear()
         self.s = s + "\n"
         try:
             self.match = matching(s)
             self.unit(0, len(s))
-        except (Bad, RecursionError, IndexError):
+        except (Bad, IndexError):
+            return False
+        return True
+
+    def local(self, body: str) -> bool:
+        """Whether the classes between two braces are a sequence of statements."""
+        if body in self.good_blocks:
+            return True
+        if "#" in body or "\x00" in body:
             return False
+        outer = self.s, self.match
+        self.s = body + "\n"
+        try:
+            self.match = matching(body)
+            self.block(0, len(body))
+        except (Bad, IndexError):
+            return False
+        finally:
+            self.s, self.match = outer
+        if len(body) < KEPT:
+            self.good_blocks.add(body)
         return True
 
+    def reduced(self, s: str) -> str:
+        """Classes with the balanced bodies of methods and controlled statements judged on the spot: a sound one becomes {}, another #.
+
+        Both stand for themselves in all that follows, so the reduction of a text is that of its reduced parts in a row.
+        """
+        for _ in range(PASSES):
+            before, s = s, BODY.sub(lambda m: m.group(1) + ("{}" if self.local(m.group(2)) else "#"), s)
+            if s == before:
+                break
+        return s
+
     # --- names and types
 
     def need(self, i: int, c: str) -> int:
@@ -263,22 +321,22 @@ class Grammar:
 
     def expression(self, i: int, end: int) -> str:
         """Kind of the expression that fills the slice: 's' if it may stand as a statement, else 'e'."""
-        key = self.s[i:end]
-        kind = self.good_expressions.get(key)
+        key = self.s[i:end] if end - i < KEPT else None
+        kind = self.good_expressions.get(key) if key is not None else None
         if kind is None:
             if i >= end:
                 raise Bad
             j, kind = self.assignment(i, end)
             if j != end:
                 raise Bad
-            if len(key) < 300:
+            if key is not None:
                 self.good_expressions[key] = kind
         return kind
 
     def assignment(self, i: int, end: int) -> tuple[int, str]:
         j, kind = self.ternary(i, end)
-        if j < end and self.s[j] in "=%":
-            return self.assignment(j + 1, end)[0], "s"
+        while j < end and self.s[j] in "=%":
+            j, kind = self.ternary(j + 1, end)[0], "s"
         return j, kind
 
     def ternary(self, i: int, end: int) -> tuple[int, str]:
@@ -295,9 +353,9 @@ class Grammar:
             elif c == "I":
                 j, kind = self.type(j + 1), "e"
             elif c == "?":
+                # the last arm goes on in this loop, so a long chain of conditions needs no depth
                 j = self.assignment(j + 1, end)[0]
-                j, kind = self.assignment(self.need(j, ":"), end)[0], "e"
-                break
+                j, kind = self.operand(self.need(j, ":"), end)[0], "e"
             else:
                 break
         return j, kind
@@ -307,10 +365,10 @@ class Grammar:
         if i >= end:
             raise Bad
         c = s[i]
-        if c == "s" or c == "u":
-            return self.operand(i + 1, end)[0], "e"
-        if c == "p":
-            return self.operand(i + 1, end)[0], "s"
+        if c == "s" or c == "u" or c == "p":
+            while i < end and s[i] in "sup":
+                i += 1
+            return self.operand(i, end)[0], "s" if c == "p" else "e"
         kind = "e"
         if c == "(":
             close = self.match[i]
@@ -400,15 +458,15 @@ class Grammar:
         self.need(i, "(")
         end = self.match[i]
         if end > i + 1:
-            key = self.s[i : end + 1]
-            if key not in self.good_expressions:
+            key = self.s[i : end + 1] if end - i < KEPT else None
+            if key is None or key not in self.good_expressions:
                 j = i + 1
                 while True:
                     j = self.assignment(j, end)[0]
                     if j == end:
                         break
                     j = self.need(j, ",")
-                if len(key) < 300:
+                if key is not None:
                     self.good_expressions[key] = "("
         return end + 1
 
@@ -466,7 +524,7 @@ class Grammar:
     def block(self, i: int, end: int) -> None:
         s, good = self.s, self.good_statements
         while i < end:
-            j = s.find(";", i, end) + 1
+            j = s.find(";", i, min(end, i + KEPT)) + 1
             if j and s[i:j] in good:
                 i = j
             else:
@@ -501,16 +559,22 @@ class Grammar:
                 self.cases(close + 2, match[close + 1])
                 return match[close + 1] + 1
             j = self.statement(close + 1, end)
-            if c == "F" and j < end and s[j] == "E":
-                j = self.statement(j + 1, end)
+            while c == "F" and j < end and s[j] == "E":
+                if s[j + 1] != "F":
+                    return self.statement(j + 1, end)
+                self.need(j + 2, "(")
+                close = match[j + 2]
+                self.expression(j + 3, close)
+                j = self.statement(close + 1, end)
             return j
         if c == "R":
             self.need(i + 1, "(")
             close = match[i + 1]
-            key = s[i : close + 1]
-            if key not in self.good_statements:
+            key = s[i : close + 1] if close - i < KEPT else None
+            if key is None or key not in self.good_statements:
                 self.for_header(i + 2, close)
-                self.keep(key)
+                if key is not None:
+                    self.keep(key)
             return self.statement(close + 1, end)
         if c == "D":
             j = self.need(self.statement(i + 1, end), "W")
@@ -534,14 +598,14 @@ class Grammar:
                 return self.declaration(i, end)
         j = self.stop(i, end)
         self.simple(i, j, in_block)
-        key = s[i : j + 1]
-        if in_block and "{" not in key and len(key) < 300 and key.count(";") == 1:
-            self.keep(key)
+        if in_block and j - i < KEPT:
+            key = s[i : j + 1]
+            if "{" not in key and key.count(";") == 1:
+                self.keep(key)
         return j + 1
 
     def keep(self, key: str) -> None:
-        if len(key) < 300:
-            self.good_statements.add(key)
+        self.good_statements.add(key)
 
     def simple(self, i: int, end: int, in_block: bool) -> None:
         s, c = self.s, self.s[i]
@@ -624,7 +688,7 @@ class Grammar:
             elif s[i] == "d" and s[i + 1] == ":":
                 i += 2
             else:
-                j = s.find(";", i, end) + 1
+                j = s.find(";", i, min(end, i + KEPT)) + 1
                 i = j if j and s[i:j] in self.good_statements else self.statement(i, end, True)
 
     def attempt(self, i: int) -> int:

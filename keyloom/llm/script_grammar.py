@@ -29,42 +29,68 @@ class Bad(Exception):
     pass
 
 
-def tokens(text: str) -> tuple[str, list[bool]]:
-    """(class of each token, whether a line ends before it); Bad for what is no token."""
-    out, breaks, broken, i, n = [], [], False, 0, len(text)
-    match, last = PIECE.match, ""
+#: Lexer states: in a comment or not, and whether the last token ends an operand (a slash after it divides).
+STATES = tuple((comment, operand) for comment in (False, True) for operand in (False, True))
+OPERAND_ENDS = "iGlT)]}"
+
+
+def lex(text: str, state: tuple[bool, bool] = (False, False)) -> tuple[tuple[bool, bool], str]:
+    """(state at the end, classes) of a chunk of whole lines; a newline stands before a token that a line end precedes, # for what is no token."""
+    comment, operand = state
+    i, n, out = 0, len(text), []
+    if comment:
+        i = text.find("*/") + 2
+        if i < 2:
+            return state, ""
+    match = PIECE.match
     while i < n:
         m = match(text, i)
         kind = m.lastgroup if m else None
-        if kind == "sign" and text[i] == "/" and not (last and last in "iGlT)]}") and (m2 := PATTERN.match(text, i)):
+        if kind == "sign" and text[i] == "/" and not operand and (m2 := PATTERN.match(text, i)):
             m, c = m2, "l"
-        elif kind is None:
-            raise Bad
+        elif kind is None or kind == "sign" and text.startswith("/*", i):
+            if text.startswith("/*", i):
+                return (True, operand), "".join([*out, "\n"])
+            return (False, False), "".join([*out, "#"])
         elif kind == "space":
             i = m.end()
             continue
         elif kind == "line" or kind == "comment":
-            broken |= kind == "line" or "\n" in m.group()
+            if kind == "line" or "\n" in m.group():
+                out.append("\n")
             i = m.end()
             continue
         elif kind == "word":
             c = WORDS.get(m.group(), "i")
         elif kind == "sign":
             c = SIGNS[m.group()]
-            if c == "#":
-                raise Bad
         else:
             c = "l"
         out.append(c)
-        breaks.append(broken)
-        broken, last, i = False, c, m.end()
-    breaks.append(True)
-    return "".join(out), breaks
+        operand, i = c in OPERAND_ENDS, m.end()
+    return (False, operand), "".join(out)
+
+
+def _either(text: str, comment: bool) -> dict[tuple[bool, bool], tuple[tuple[bool, bool], str]]:
+    """The entries of both operand states: they differ only where the first token begins with a slash or there is none."""
+    one = lex(text, (comment, False))
+    first = one[1].lstrip("\n")[:1]
+    if first and first not in "lo%#":
+        return {(comment, False): one, (comment, True): one}
+    return {(comment, False): one, (comment, True): lex(text, (comment, True))}
+
+
+def chunk_map(text: str) -> dict[tuple[bool, bool], tuple[tuple[bool, bool], str]]:
+    """state before a chunk -> (state after it, its classes)."""
+    return _either(text, False) | ({s: (s, "") for s in STATES if s[0]} if "*/" not in text else _either(text, True))
 
 
 class Script:
-    def __init__(self, text: str):
-        s, self.breaks = tokens(text)
+    def __init__(self, classes: str):
+        """classes: those of a whole text, as lex gives them."""
+        lines = [line for line in classes.split("\n")]
+        self.breaks = [k == 0 and at > 0 for at, line in enumerate(lines) for k in range(len(line))] + [True, True, True]
+        s = "".join(lines)
         self.s, self.n = s + "\n\n\n", len(s)
 
     def check(self) -> None:
@@ -194,15 +220,16 @@ class Script:
                 i = self.need(i + 1, "iG")
         return self.block(self.need(i, ")"))
 
-    def expression(self, i: int, allow_in: bool = True) -> int:
-        i = self.assignment(i, allow_in)
+    def expression(self, i: int, allow_in: bool = True, first: tuple[int, bool] | None = None) -> int:
+        """first: the end and kind of its first operand, if that is known."""
+        i = self.assignment(i, allow_in, first)
         while self.s[i] == ",":
             i = self.assignment(i + 1, allow_in)
         return i
 
-    def assignment(self, i: int, allow_in: bool = True) -> int:
+    def assignment(self, i: int, allow_in: bool = True, first: tuple[int, bool] | None = None) -> int:
         s = self.s
-        i, place = self.unary(i)
+        i, place = first or self.unary(i)
         while True:
             c = s[i]
             if c in "=%" and place:
@@ -240,9 +267,9 @@ class Script:
         elif c in "lT":
             i += 1
         elif c == "(":
-            j, place = self.unary(i + 1) if s[i + 1] not in ")" else (i, False)
-            place = place and s[j] == ")"
-            i = self.need(self.expression(i + 1), ")")
+            first = self.unary(i + 1)
+            place = first[1] and s[first[0]] == ")"
+            i = self.need(self.expression(i + 1, True, first), ")")
         elif c == "[":
             i += 1
             while s[i] != "]":
@@ -294,9 +321,12 @@ class Script:
         return i + 1
 
 
-def parses(text: str) -> bool:
+def check(classes: str) -> bool:
+    """Whether a text's classes are a program."""
+    if "#" in classes:
+        return False
     try:
-        Script(text).check()
-    except (Bad, RecursionError, IndexError):
+        Script(classes).check()
+    except (Bad, IndexError):
         return False
     return True

@@ -1,31 +1,37 @@
 """Problem 5: source files that do not parse in the language their path declares.
 
-Texts are lexed in chunks of whole lines. A chunk is a map from the lexer state before it to the state after it and
-the classes of its tokens, together with a bracket summary (closers without openers, then openers without closers); both
-compose associatively, so a long file is lexed by many tasks and folded. The balanced statements are then
-parsed by local grammars, whose verdicts are kept by token classes. Python, JSON and XML are judged by the
-parsers that come with Python.
+Texts of Java, ECMAScript and JSON are lexed in chunks of whole lines, whatever their length. A chunk is a map from each
+lexer state before it to the state after it and the classes of its tokens; its bracket summary (closers without openers, then
+openers without closers) tells early what can never fit. Balanced statements are judged by local grammars as soon as they are
+complete, and reduced. Maps compose associatively, so the chunks of a text are folded in any grouping: in the task that
+read the text, or by several tasks for a long one. Python and XML are judged by the parsers that come with Python.
 """
 
 import ast
-import json
 import sys
 import warnings
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 from xml.parsers import expat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import java_grammar as java
+from keyloom.llm import json_grammar as json
 from keyloom.llm import script_grammar as script
 from keyloom.operators.skew import spread
 
 LANGUAGES = ["java", "py", "js", "json", "xml"]
-#: Longer Java files are lexed in chunks of about this many characters, by several tasks.
-CHUNK = 4_000_000
+BRACES = ["java", "js", "json"]
+#: Characters of a chunk.
+CHUNK = 8192
+#: The chunks of longer texts are spread over several tasks.
+SPREAD = 4_000_000
+#: Nested brackets that are followed; a text with more gets no verdict (null) rather than a wrong one. The frames lie on the heap, some 1 KB a level.
+DEEPEST = 200_000
 MARK = "﻿"
 
 
@@ -59,24 +65,24 @@ def join_summaries(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tupl
     return a[0] + b[0][n:], a[1][: len(a[1]) - n] + b[1]
 
 
-def _constant(name: str):
-    raise ValueError(name)
+def depth(classes: str) -> int:
+    """The deepest nesting of brackets."""
+    now = most = 0
+    for m in java.BRACKETS.finditer(classes):
+        now += 1 if m.group() in "([{" else -1
+        most = max(most, now)
+    return most
 
 
-def python_parses(text: str) -> bool:
+def python_parses(text: str) -> bool | None:
+    """None where the parser runs out of memory or depth."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(text, "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return False
-    return True
-
-
-def json_parses(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_constant)
-    except (ValueError, RecursionError):
+    except (MemoryError, RecursionError):
+        return None
+    except (SyntaxError, ValueError):
         return False
     return True
 
@@ -89,91 +95,180 @@ def xml_parses(text: str) -> bool:
     return True
 
 
+Entry = tuple[object, str]
+
+
 class Judge:
-    """(language, text) -> whether the text parses."""
+    """Chunk maps, their composition and the verdict on a whole text, for the brace languages; library parsers for the others."""
 
     def __init__(self):
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
         self.classes, self.grammar = java.Classes(), java.Grammar()
-        self.others = {"py": python_parses, "json": json_parses, "xml": xml_parses, "js": script.parses}
-
-    def java(self, text: str) -> bool:
-        state, classes = java.lex(text, self.classes)
-        return state == java.NORMAL and self.grammar.check(classes)
+        self.start = {"java": java.NORMAL, "js": (False, False), "json": 0}
+        self.plain = sys.getrecursionlimit()
+
+    def chunk(self, language: str, text: str) -> dict[object, Entry]:
+        """state before -> (state after, reduced classes)."""
+        if language == "json":
+            found = {0: (0, json.lex(text))}
+        else:
+            found = java.chunk_map(text, self.classes) if language == "java" else script.chunk_map(text)
+        kept: dict[str, str] = {}
+        return {s: (after, kept.get(c) or kept.setdefault(c, self.settled(language, c))) for s, (after, c) in found.items()}
+
+    def settled(self, language: str, classes: str) -> str:
+        """Classes reduced; # alone if their brackets can never fit."""
+        if language == "java":
+            classes = self.grammar.reduced(classes)
+        elif language == "json":
+            classes = json.reduced(classes)
+        return "#" if bracket_summary(classes) is None else classes
+
+    def compose(self, language: str, a: dict[object, Entry], b: dict[object, Entry]) -> dict[object, Entry]:
+        """The map of two chunks in a row."""
+        out: dict[object, Entry] = {}
+        for s, (middle, first) in a.items():
+            after, second = b[middle]
+            out[s] = after, first + second
+        return out
+
+    def fold(self, language: str, maps: list[dict[object, Entry]]) -> dict[object, Entry]:
+        """The composition of maps in a row, settled once at the end; any grouping gives the same verdict."""
+        whole = reduce(lambda a, b: self.compose(language, a, b), maps)
+        return whole if len(maps) == 1 else {s: (after, self.settled(language, c)) for s, (after, c) in whole.items()}
+
+    def from_start(self, language: str, maps: list[dict[object, Entry]]) -> Entry:
+        """The fold for the state in which a text begins."""
+        state, parts = self.start[language], []
+        for m in maps:
+            state, classes = m[state]
+            parts.append(classes)
+        return state, parts[0] if len(parts) == 1 else self.settled(language, "".join(parts))
+
+    def verdict(self, language: str, end: Entry) -> bool | None:
+        """Whether a whole text with this end state and these classes parses."""
+        state, classes = end
+        if state == java.COMMENT and language == "java" or language == "js" and state[0]:
+            return False
+        if language == "json":
+            return json.check(classes)
+        levels = depth(classes)
+        if levels > DEEPEST:
+            return None
+        sys.setrecursionlimit(self.plain + 2000 + 12 * levels + 4 * classes.count("E") + 4 * classes.count("?"))
+        try:
+            return self.grammar.check(classes) if language == "java" else script.check(classes)
+        except RecursionError:
+            return None
+        finally:
+            sys.setrecursionlimit(self.plain)
 
-    def __call__(self, language: str, text: str) -> bool:
+    def __call__(self, language: str, text: str, chunk: int = CHUNK) -> bool | None:
         text = text.removeprefix(MARK)
-        return self.java(text) if language == "java" else self.others[language](text)
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    judge = Judge()
-    for batch in batches:
-        verdicts = [judge(g, t) for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["id", "lang", "valid"])
+        if language not in BRACES:
+            return python_parses(text) if language == "py" else xml_parses(text)
+        maps = [self.chunk(language, piece) for piece in chunks(text, chunk)]
+        return self.verdict(language, self.from_start(language, maps) if maps else (self.start[language], ""))
 
 
 def chunks(text: str, size: int) -> Iterator[str]:
-    """Pieces of about `size` characters, cut after newlines."""
+    """Pieces of about `size` characters, cut after newlines that no backslash precedes."""
     at = 0
     while at < len(text):
-        end = text.find("\n", at + size) + 1 or len(text)
+        end = at + size
+        while True:
+            end = text.find("\n", end) + 1 or len(text)
+            if end == len(text) or not text[max(0, end - 3) : end - 1].removesuffix("\r").endswith("\\"):
+                break
         yield text[at:end]
         at = end
 
 
+def _judge(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge()
+        for batch in batches:
+            verdicts = [judge(g, t, size) for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["id", "lang", "valid"])
+
+    return run
+
+
 def _split(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 for no, piece in enumerate(chunks(text.removeprefix(MARK), size)):
-                    yield pa.RecordBatch.from_pydict({"name": [name], "no": pa.array([no], pa.int32()), "piece": [piece]})
+                    yield pa.RecordBatch.from_pydict({"name": [name], "lang": [lang], "no": pa.array([no], pa.int32()), "piece": [piece]})
 
     return run
 
 
-def _lex_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece as a map of lexer states: for either state before it the state after it, the classes and the bracket summary."""
-    classes = java.Classes()
-    for batch in batches:
-        rows = []
-        for name, no, piece in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            for before in (java.NORMAL, java.COMMENT):
-                after, found = java.lex(piece, classes, before)
-                summary = bracket_summary(found)
-                rows.append((name, no, before, after, found, summary is not None, *(summary or ("", ""))))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["name", "no", "before", "after", "classes", "fits", "closers", "openers"]).astype({"no": "int32", "before": "int32", "after": "int32"}), preserve_index=False)
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The composition of a file's maps, begun in the normal state."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-    state, whole, out = java.NORMAL, ("", ""), []
-    maps = {(r.no, r.before): r for r in pdf.itertuples()}
-    for no in range(int(pdf["no"].max()) + 1):
-        r = maps[no, state]
-        state, whole = r.after, join_summaries(whole, (r.closers, r.openers) if r.fits else None)
-        out.append(r.classes)
-    valid = state == java.NORMAL and whole == ("", "") and java.Grammar().check("".join(out))
-    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "valid": [valid]})
-
-
-def parse_verdicts(files: DataFrame, key: str, path: str, text: str, chunk: int = CHUNK) -> DataFrame:
+def _states(language: str) -> tuple:
+    return {"java": java.STATES, "js": script.STATES, "json": (0,)}[language]
+
+
+def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Successive pieces of a text that one task holds, folded to one map: rows (name, lang, first piece, state before, state after, classes), states by number."""
+    judge = Judge()
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in range(4)))
+
+    def shown(name: str, lang: str, first: int, maps: list) -> pa.RecordBatch:
+        states = _states(lang)
+        whole = judge.fold(lang, maps)
+        out = [(name, lang, first, states.index(s), states.index(after), c) for s, (after, c) in whole.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["name", "lang", "first", "before", "after", "classes"])
+
+    def run_of(item: tuple) -> tuple:
+        nth, (name, lang, no, _) = item
+        return name, lang, no - nth
+
+    for (name, lang, _), group in groupby(enumerate(rows()), run_of):
+        first, maps = None, []
+        for _, (_, _, no, piece) in group:
+            first = no if first is None else first
+            maps.append(judge.chunk(lang, piece))
+            if len(maps) == 64:
+                maps = [judge.fold(lang, maps)]
+        yield shown(name, lang, first, maps)
+
+
+def _finish(key, pdf):
+    """The verdict on a text from the maps of its runs."""
+    import pandas as pd
+
+    judge, lang = Judge(), key[1]
+    states = _states(lang)
+    runs: dict[int, dict] = {}
+    for first, before, after, classes in zip(pdf["first"], pdf["before"], pdf["after"], pdf["classes"]):
+        runs.setdefault(int(first), {})[states[int(before)]] = states[int(after)], classes
+    valid = judge.verdict(lang, judge.from_start(lang, [runs[k] for k in sorted(runs)]))
+    return pd.DataFrame({"name": [key[0]], "lang": [lang], "valid": pd.array([valid], dtype="boolean")})
+
+
+def parse_verdicts(files: DataFrame, key: str, path: str, text: str, chunk: int = CHUNK, spread_chars: int = SPREAD) -> DataFrame:
     """(id, lang, valid) of each row with a text and a declared language.
 
     Rows without a language or with a null text are no cases; a null key is kept, repeated rows come repeatedly; an empty
     text is a valid Java, Python or script file and no valid JSON or XML; other columns are not read. Syntax only. Whole
-    texts are judged, whatever their length.
+    texts are judged, whatever their length, by one rule: chunk maps, composed. valid is null where brackets are nested more than
+    DEEPEST deep, or Python's own parser gives up.
+
+    Texts of spread_chars characters or less are folded by the task that reads them, without any exchange. The chunks of longer ones are
+    range-partitioned, each task folds the chunks it holds, and the folded maps, reduced to what is still open, meet by text.
     """
     rows = files.select(F.col(key).alias("id"), declared(F.col(path)).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     kind = files.schema[key].dataType.simpleString()
-    is_long = (F.col("lang") == "java") & (F.length("text") > chunk)
-    short = spread(rows.filter(~is_long)).mapInArrow(_judge, f"id {kind}, lang string, valid boolean")
+    is_long = F.col("lang").isin(BRACES) & (F.length("text") > spread_chars)
+    short = spread(rows.filter(~is_long)).mapInArrow(_judge(chunk), f"id {kind}, lang string, valid boolean")
     long = rows.filter(is_long).withColumn("name", F.sha2("text", 256))
-    pieces = long.select("name", "text").mapInArrow(_split(chunk), "name string, no int, piece string").dropDuplicates(["name", "no"])
-    maps = pieces.repartition("name", "no").mapInArrow(_lex_maps, "name string, no int, before int, after int, classes string, fits boolean, closers string, openers string")
-    folded = maps.groupBy("name").applyInPandas(_fold, "name string, valid boolean")
-    return short.unionByName(long.select("id", "lang", "name").join(folded, "name").select("id", "lang", "valid"))
+    pieces = long.select("name", "lang", "text").mapInArrow(_split(chunk), "name string, lang string, no int, piece string").dropDuplicates(["name", "lang", "no"])
+    ordered = pieces.repartitionByRange("name", "lang", "no").sortWithinPartitions("name", "lang", "no")
+    runs = ordered.mapInArrow(_fold_runs, "name string, lang string, first int, before int, after int, classes string")
+    folded = runs.groupBy("name", "lang").applyInPandas(_finish, "name string, lang string, valid boolean")
+    return short.unionByName(long.select("id", "lang", "name").join(folded, ["name", "lang"]).select("id", "lang", "valid"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +277,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("not valid and id is not null").select(F.col("id").alias("file_id")).distinct()
 
 
+def p5_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p5_found with chunks of 300 characters, and those of texts above 2,000 folded by several tasks."""
+    found = parse_verdicts(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents", 300, 2000)
+    return found.filter("not valid and id is not null").select(F.col("id").alias("file_id")).distinct()
+
+
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     """project_name, lang, n_files, n_invalid, rate: distinct files of each project name (null if unknown) and language."""
     files = spark.read.parquet(f"{d}/code_files.parquet").filter("file_id is not null")
@@ -193,5 +294,5 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {"p5_found": p5_found, "p5_spread": p5_spread, "p5_rates": p5_rates}
 SQL: dict = {}

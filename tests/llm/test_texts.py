@@ -6,7 +6,6 @@ import re
 import pytest
 
 from keyloom.llm import contamination, encoding_repair, generated_files, packing, personal_data, syntax
-from keyloom.llm import java_grammar as java
 
 CODE = "package a.b;\n\nclass Tool {\n    int size(String s) {\n        return s.length() + 1;\n    }\n}\n"
 
@@ -86,26 +85,53 @@ def test_syntax_verdicts():
         assert [t for t in BAD[lang] if judge(lang, t)] == [], lang
 
 
-def test_chunks_compose_to_the_whole():
+def test_any_chunks_give_the_same_verdict():
+    judge = syntax.Judge()
+    for lang in ("java", "js", "json"):
+        for valid, texts in ((True, GOOD[lang]), (False, BAD[lang])):
+            for text in texts:
+                text = text.replace("{", "{\n").replace(";", ";\n").replace("/*", "/*\n")
+                whole = judge(lang, text)
+                assert all(judge(lang, text, size) == whole for size in (1, 5, 40)), (lang, text)
     text = "/* a\n b */ class A {\n int x; /* } \n\n*/ void f() {\n g(\"/*\");\n }\n}\n" * 5
-    classes = java.Classes()
-    whole = java.lex(text, classes)
-    for size in (1, 5, 40):
-        state, out, summary = java.NORMAL, "", ("", "")
-        for piece in syntax.chunks(text, size):
-            state, found = java.lex(piece, classes, state)
-            out += found
-            summary = syntax.join_summaries(summary, syntax.bracket_summary(found))
-        assert (state, out) == whole and summary == ("", "")
+    assert all(judge("java", text, size) is True and judge("java", text + "/*", size) is False for size in (1, 5, 40, 10**6))
+    text = "/* a\n b */ var x = 'a\\\n/*';\nvar y = a\n/ 2 / x; y = /[/*]/\n/* } \n\n*/\n"
+    assert all(judge("js", text * 3, size) is True for size in (1, 5, 40, 10**6))
     assert syntax.join_summaries(("", "({"), ("})]", "[")) == ("]", "[")
     assert syntax.join_summaries(("", "("), ("}", "")) is None
 
 
+def test_maps_fold_in_any_grouping():
+    judge = syntax.Judge()
+    text = CODE.replace("}\n", "/* c\n{ */ }\n") * 4
+    maps = [judge.chunk("java", p) for p in syntax.chunks(text, 20)]
+    want = judge.verdict("java", judge.from_start("java", maps))
+    for k in range(1, len(maps)):
+        parts = [judge.fold("java", maps[:k]), judge.fold("java", maps[k:])]
+        assert judge.verdict("java", judge.from_start("java", parts)) == want
+
+
+@pytest.mark.parametrize("n", [2000, 50_000])
+def test_deep_nesting_is_no_syntax_error(n):
+    judge = syntax.Judge()
+    arms = min(n, 5000)
+    for lang, text in (
+        ("java", "class A { int x = " + "(" * n + "1" + ")" * n + "; }"),
+        ("java", "class A { int x = " + "a ? 1 : " * arms + "2; }"),
+        ("java", "class A { void f() { " + "if (a) { b(); } else " * arms + "c(); } }"),
+        ("java", "class A { void f() " + "{\n" * n + "}\n" * n + " }"),
+        ("js", "x = " + "(" * n + "1" + ")" * n),
+        ("js", "x = " + "a ? 1 : " * arms + "2"),
+        ("json", "[" * n + "]" * n),
+    ):
+        assert judge(lang, text) is True and judge(lang, text + ")") is False, lang
+
+
 def test_parse_verdicts_of_dirty_and_long_rows(spark):
     long = "class A {\n" + "    void f() { g(1); }\n" * 200 + "}\n"
     rows = [(1, "a/A.java", long), (2, "a/A.java", long[:-2]), (3, "a/B.java", "/*\n" * 900), (4, "x.txt", "{"), (5, None, "{"), (6, "a.py", None), (None, "a.json", "{"), (7, "a.py", "x = 1"), (7, "a.py", "x = 1")]
     df = spark.createDataFrame(rows, "file_id int, path string, name string").withColumnRenamed("name", "contents").selectExpr("*", "1 as valid", "2 as lang")
-    got = sorted((str(r["id"]), r["lang"], r["valid"]) for r in syntax.parse_verdicts(df, "file_id", "path", "contents", chunk=1000).collect())
+    got = sorted((str(r["id"]), r["lang"], r["valid"]) for r in syntax.parse_verdicts(df, "file_id", "path", "contents", chunk=300, spread_chars=1000).collect())
     assert got == [("1", "java", True), ("2", "java", False), ("3", "java", False), ("7", "py", True), ("7", "py", True), ("None", "json", False)]
     assert syntax.parse_verdicts(df.limit(0), "file_id", "path", "contents").count() == 0
 
