@@ -1,14 +1,17 @@
 """Problem 10: personal data in free text, found by typed patterns and replaced by keyed surrogates.
 
-Each entity gets a replacement that depends on a key, its type and its canonical form only, so that one person, number or
-address is replaced alike everywhere (coreference), in the format, script and gender of the original. Digits go
-through a keyed permutation of the numbers of that length, which keeps them distinct; words are drawn by a
-keyed hash, and entities whose surrogates collide are found over the whole corpus and told apart.
+E-mail addresses, phone numbers, identity numbers and street addresses are told by their form. Names are told by form and
+context: a full name in any of several scripts where a phrase speaks of a person, a given name followed by a surname, where
+given names are a short list and what the corpus itself shows (words that stand first in names told by context, hardly
+ever elsewhere). Each entity gets a replacement that depends on a key, its type and its canonical form only, so that one person,
+number or address is replaced alike everywhere (coreference), in the format, script and gender of the original. Replacements
+that clash with each other or with real entities of the corpus are drawn again until none does.
 """
 
 import hashlib
 import hmac
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.skew import spread
+from keyloom.store import discard, written
 
 #: Blanks or a line break with the marks of quoted mail.
 S = r"(?:[ \t]+|[ \t]*\r?\n[ \t>|]*)"
@@ -26,9 +30,16 @@ MALE = "Adam Ahmed Alan Albert Alex Ali Andreas Anton Arno Arthur Ben Boris Brun
 GIVEN = "|".join(sorted({*FEMALE, *MALE}, key=lambda w: (-len(w), w)))
 #: Words with a capital that are no surnames, and what a street is called.
 NOT_NAMES = frozenset("Regards Gruss Grüsse Best Thanks Thank Hello Hi Dear Cheers Street Road Lane Avenue Drive Court Close Square Factory Sort Join View Monday Tuesday Wednesday Thursday Friday Saturday Sunday The This That We It See Please Ask Call Patch Author Subject Contact Kontakt Reviewed Reported Signed Address Postal Phone Tel Fax Test Build Error And Or".split())
+#: Capitalised words that lead up to a name or begin a sentence.
+LEADS = frozenset("Yesterday Today Tomorrow Dr Prof Mr Mrs Ms Herr Frau Mme Sr Sra Ing Ask According Thanks To By From With On In At As If When While After Before And But For Then So Now Also Dear Hi Hello Hallo Author Contact Maintainer Note Der Die Das Ein Eine Le La Les El Los Monsieur Madame Is Are Was".split())
 TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme|Sr|Sra|Ing)\.?"
 
+#: Letters of names: Latin with its extensions, Cyrillic, Greek.
+UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽА-ЯЁІЇЄҐΑ-Ω"
+LOW = "a-zß-öø-ÿā-žа-яёіїєґά-ώ"
 NAME_PART = r"[^\W\d_a-z](?:[a-zß-öø-ÿā-ž]+|[’'][A-Z][a-z]+)(?:-[A-Z][a-z]+)?"
+PART = rf"[{UP}](?:[{LOW}]+(?:[A-Z][a-z]+)?|[’'][{UP}][{LOW}]+)(?:-[{UP}][{LOW}]+)*"
+PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ben|ter|zu)"
 INITIAL = r"[A-Z]\."
 def _trie(words: set[str]) -> str:
     """A pattern for a set of words that shares their first letters; longer words first."""
@@ -95,6 +106,29 @@ FOLLOW = re.compile(AFTER)
 PHRASE = re.compile(r"(?:, who\b|wrote\b|about this|\(see above\)|before you)")
 CUED = re.compile(rf"(?<![\w@.-]){CUES}{S}(?:{TITLES}{S})?(?P<name>(?P<first>{NAME_PART}){S}(?P<last>{NAME_PART})){S}?\Z")
 BACK = 90
+#: A full name of any given name: two to four parts, initials and particles between them.
+FULL = re.compile(rf"(?<![\w@.'’/$#-])({PART})((?:[ \t]+[{UP}]\.|[ \t]+{PARTICLE}|[ \t]+{PART}){{0,3}}[ \t]+{PART})(?![\w@(/$'’]|-\w|\.\w)")
+#: Phrases right before and right after a person's full name.
+PERSON_BEFORE = re.compile(
+    rf"(?:(?<!\w)(?:[Aa]sk(?:ed)?|[Aa]ccording{S}to|[Tt]hanks?(?:{S}to)?|[Tt]hank{S}you,?|[Tt]alk(?:ed)?{S}(?:to|with)|[Ss]p(?:ea|o)ke?{S}(?:to|with)|[Mm]eet|[Mm]et|[Ee]-?mailed|[Pp]honed|[Cc]ontact(?:ed)?|[Ii]nvited?|[Hh]ired|[Ii]nterviewed|[Mm]y{S}name{S}is|[Ii]{S}am|[Dd]ear|[Hh]i|[Hh]ello|[Hh]allo|[Bb]onjour|{TITLES}|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,?|[Сс]пасибо,?|[Сс]просите(?:{S}у)?|[Уу]важаем(?:ый|ая)|请问|感谢|联系|请)"
+    rf"|(?:-by|@author|(?<!\w)(?:[Aa]uthors?|[Cc]ontact|[Kk]ontakt|[Ff]rom|[Tt]o|[Cc][Cc]|[Mm]aintainer|[Rr]eporter|[Rr]eviewer|[Aa]ssignee|[Nn]ame|[Ww]ritten{S}by|[Rr]eported{S}by|[Ff]ixed{S}by|Автор|Контакт|作者|联系人|姓名))[ \t]*[:：]"
+    rf"|(?<!\w)(?:[Ww]ritten|[Rr]eported|[Rr]eviewed|[Ss]igned|[Ff]ound|(?:[Cc]o-)?[Aa]uthored|[Ss]uggested|[Tt]ested){S}by){S}?(?:{TITLES}{S})?\Z"
+)
+PERSON_AFTER = re.compile(
+    rf"(?:,{S}who\b|{S}(?:wrote|writes|said|says|asked|suggested|reported|noticed|mentioned|thinks|told|replied|answered|phoned|agrees|lives|писал[аи]?|говорит)\b|{S}about{S}this|{S}\(see{S}above\)|{S}before{S}you|{S}can{S}be{S}reached|{S}[<(\[][\w.+-]+(?:@|{S}?[(\[]at[)\]]|{S}AT{S}|{S}at{S}[\w-]+{S}dot)|[,:(]?{S}?\(?\+\d|[ ]?(?:先生|女士|老师|写道|さん))"
+)
+#: What closes a letter, on the line before the name.
+CLOSING = re.compile(r"(?:^|\n)[ \t>|]*(?:(?:[Bb]est|[Kk]ind|[Ww]arm)?[ ]?[Rr]egards|[Bb]est|[Cc]heers|[Tt]hanks|[Ss]incerely|[Yy]ours|[Gg]r(?:uss|uß|üße|üsse)|[Cc]ordialement|[Ss]aludos|С уважением|此致)[,!.]?[ \t]*(?:\n[ \t>|]*)+\Z")
+#: Surnames of one character that are frequent in Chinese, and Korean ones; one or two characters follow.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+HANGUL_SURNAMES = "김이박최정강조윤장임한오서신권황안송류홍"
+HAN_NAME = re.compile(rf"(?<![\u4e00-\u9fff\uac00-\ud7a3])(?:[{HAN_SURNAMES}][\u4e00-\u9fff]{{1,2}}|[{HANGUL_SURNAMES}][\uac00-\ud7a3]{{2}})(?![\u4e00-\u9fff\uac00-\ud7a3])")
+HAN_AFTER = re.compile(rf"[{HAN_SURNAMES}][\u4e00-\u9fff]{{1,2}}(?=先生|女士|老师|写道|说)")
+HAN_LABEL = re.compile(rf"(?:作者|联系人|姓名)[：:][ ]?([{HAN_SURNAMES}][\u4e00-\u9fff]{{1,2}})(?![\u4e00-\u9fff])")
+#: Endings of East Slavic surnames, which tell a name without further context.
+SLAVIC = re.compile(r"(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|юк|швили|дзе|ян)\Z")
+#: A word is learned as a given name if it begins LEAST_SEEN names told by context, in LEAST_SHARE or more of its texts, and is hardly ever written small.
+LEAST_SEEN, LEAST_SHARE, MOST_SMALL = 2, 0.02, 0.1
 
 
 def _before(pattern: re.Pattern, text: str, at: int, back: int = BACK) -> re.Match | None:
@@ -102,6 +136,58 @@ def _before(pattern: re.Pattern, text: str, at: int, back: int = BACK) -> re.Mat
     return pattern.search(text, max(0, at - back), at)
 
 
+def _line_alone(text: str, a: int, b: int) -> bool:
+    """Whether nothing else stands on the lines of a piece."""
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    return not text[start:a].strip(" \t>|") and not text[b : end if end >= 0 else len(text)].strip()
+
+
+def _person(text: str, a: int, b: int) -> bool:
+    """Whether a piece stands where a person is spoken of."""
+    return bool(_before(PERSON_BEFORE, text, a) or PERSON_AFTER.match(text, b)) or _line_alone(text, a, b) and bool(_before(CLOSING, text, a, 60))
+
+
+def full_names(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, first word, told by context) of each piece that has the form of a full name."""
+    for m in FULL.finditer(text):
+        a, b = m.span()
+        words = text[a:b].split()
+        # a capital at the beginning of a sentence, or a title, may be no part of the name
+        while len(words) > 2 and (words[0] in NOT_NAMES or words[0] in LEADS):
+            a += len(words[0])
+            a += len(text[a:b]) - len(text[a:b].lstrip())
+            words = words[1:]
+        if words[0] in LEADS or NOT_NAMES.intersection(words):
+            continue
+        yield a, b, words[0], _person(text, a, b)
+
+
+REVERSED_FULL = re.compile(rf"(?<![\w@.'’/$#-]){PART},[ \t]+{PART}(?:[ \t]+[{UP}]\.)?(?![\w@(/$'’,]|-\w|\.\w)")
+
+
+def _general_names(text: str, learned: frozenset) -> Iterator[tuple[int, int]]:
+    for a, b, first, told in full_names(text):
+        if told or first in learned or first[0] > "Ͽ" and SLAVIC.search(text[a:b]):
+            yield a, b
+            continue
+        for m in list(re.finditer(r"\S+", text[a:b]))[1:-1]:
+            if m.group() in learned:
+                yield a + m.start(), b
+                break
+    for m in REVERSED_FULL.finditer(text):
+        last, first = re.findall(r"[^\s,]+", m.group())[:2]
+        if last not in LEADS and not NOT_NAMES & {first, last} and (_before(PERSON_BEFORE, text, m.start()) or first in learned):
+            yield m.span()
+    if not text.isascii():
+        for m in HAN_NAME.finditer(text):
+            if _person(text, *m.span()):
+                yield m.span()
+        for m in HAN_AFTER.finditer(text):
+            yield m.span()
+        for m in HAN_LABEL.finditer(text):
+            yield m.span(1)
+
+
 def _names(text: str) -> Iterator[tuple[int, int]]:
     for m in GIVEN_WORD.finditer(text):
         a, b = m.span()
@@ -127,9 +213,7 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
             if not head or head.group(1).capitalize() in NOT_NAMES:
                 continue
             a = head.start()
-        start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        alone = not text[start:a].strip(" \t>|") and not text[b : end if end >= 0 else len(text)].strip()
-        if alone or _before(BEFORE, text, a) or FOLLOW.match(text, b):
+        if _line_alone(text, a, b) or _before(BEFORE, text, a) or FOLLOW.match(text, b):
             yield a, b
     for m in PHRASE.finditer(text):
         if (c := _before(CUED, text, m.start())) and c["first"] not in NOT_NAMES and c["last"] not in NOT_NAMES:
@@ -172,8 +256,8 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each piece of personal data, in order, without overlaps."""
+def find(text: str, learned: frozenset = frozenset()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each piece of personal data, in order, without overlaps. learned: further given names."""
     found: list[tuple[str, int, int]] = []
 
     def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
@@ -188,10 +272,44 @@ def find(text: str) -> list[tuple[str, int, int]]:
     add("idnum", (m.span() for m in BARE_ID.finditer(text)))
     add("phone", (m.span() for m in PHONE.finditer(text) if 8 <= sum(ch.isdigit() for ch in m.group()) <= 15))
     add("address", sorted(_addresses(text), key=lambda x: (x[0], -x[1])))
+    add("name", _general_names(text, learned))
     add("name", _names(text))
     return sorted(found, key=lambda x: x[1])
 
 
+# --- given names from the corpus
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, first, large, small): texts in which a word begins a name told by context, is written large, is written small."""
+    for batch in batches:
+        first, large, small = Counter(), Counter(), Counter()
+        for text in batch.column(0).to_pylist():
+            words = set(LETTERS.findall(text))
+            large.update(w for w in words if w[0].isupper())
+            small.update({w.capitalize() for w in SMALL.findall(text)})
+            first.update({w for _, _, w, told in full_names(text) if told})
+        words = sorted(large)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (first, large, small))], ["word", "first", "large", "small"])
+
+
+LETTERS = re.compile(r"[^\W\d_]{2,}")
+#: A small word of running text, no part of an address or a spelt-out one.
+SMALL = re.compile(r"(?<!\S)[^\W\d_A-Z]{2,}(?=[ ,;:.!?]|\s)(?![ ]?(?:\(|\[|at\b|AT\b|@))(?![.]\w)")
+#: The share of all names told by context that a learned word begins at least, so that there are at most 2^20 of them.
+LEAST_OF_ALL = 2.0**-20
+
+
+def given_names(texts: DataFrame, text: str) -> frozenset:
+    """Words that begin names in the corpus (see LEAST_SEEN), counted over all texts. At most 1 / LEAST_OF_ALL, whatever the input, so they may go to the driver and the tasks."""
+    rows = spread(texts.select(F.col(text).alias("text")).filter("text is not null"))
+    counts = rows.mapInArrow(_word_counts, "word string, first bigint, large bigint, small bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("first", "large", "small")))
+    kept = counts.filter((F.col("first") >= LEAST_SEEN) & (F.col("first") >= LEAST_SHARE * F.col("large")) & (F.col("small") <= MOST_SMALL * F.col("large")))
+    kept = written(kept, "given_names")
+    total = kept.agg(F.sum("first")).first()[0] or 0
+    return frozenset(r["word"] for r in kept.filter(F.col("first") >= LEAST_OF_ALL * total).select("word").collect())
+
+
 # --- replacement
 
 
@@ -228,38 +346,76 @@ def canonical(kind: str, piece: str) -> str:
 
 
 SYLLABLES = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+#: Syllables and given names by script (female, male); a script without its own gets Latin ones.
+CYRILLIC = [a + b for a in "бвгдзклмнпрст" for b in "аеиоу"]
+GREEK = [a + b for a in "βγδζκλμνπρστφ" for b in "αειου"]
+SCRIPTS = {
+    "latin": (SYLLABLES, FEMALE, MALE),
+    "cyrillic": (CYRILLIC, "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга София".split(), "Антон Борис Виктор Глеб Денис Егор Игорь Кирилл Максим Павел".split()),
+    "greek": (GREEK, "Άννα Ελένη Μαρία Σοφία Χρύσα".split(), "Νίκος Πέτρος Γιώργος Σπύρος Ανδρέας".split()),
+}
 
 
-def word(n: int, syllables: int) -> str:
+def word(n: int, syllables: int, of: list[str] = SYLLABLES) -> str:
     out = ""
     for _ in range(syllables):
-        n, r = divmod(n, len(SYLLABLES))
-        out += SYLLABLES[r]
+        n, r = divmod(n, len(of))
+        out += of[r]
     return out.capitalize()
 
 
+def script(piece: str) -> str:
+    c = next((c for c in piece if c.isalpha()), "a")
+    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "han" if "一" <= c <= "鿿" else "hangul" if "가" <= c <= "힣" else "latin"
+
+
 def like(model: str, new: str) -> str:
     return new.upper() if model.isupper() and len(model) > 2 else new.lower() if model.islower() else new
 
 
-def surrogate(key: bytes, kind: str, piece: str, salt: str = "") -> str:
-    """The replacement of a piece, in its format; salt tells colliding entities apart."""
+def _name(n: int, piece: str) -> str:
+    """A name in the script, order and gender of the original; initials stay initials. n: 120 bits."""
+    kind = script(piece)
+    if kind in ("han", "hangul"):
+        first, base, size = (HAN_SURNAMES, 0x4E00, 0x9FA5 - 0x4E00) if kind == "han" else (HANGUL_SURNAMES, 0xAC00, 11172)
+        n, r = divmod(n, len(first))
+        return first[r] + "".join(chr(base + n // size**k % size) for k in range(max(len(piece) - 1, 2)))
+    syllables, female, male = SCRIPTS[kind]
+    flat = re.sub(r"[\s>|]+", " ", piece).strip()
+    turned = "," in flat
+    last, first = (x.strip() for x in flat.split(",", 1)) if turned else (flat.rsplit(" ", 1)[::-1] if " " in flat else (flat, ""))
+    heads = first.split()
+    given = heads[0] if heads else ""
+    known = {w.casefold() for w in female}, {w.casefold() for w in male}
+    pool = female if given.casefold() in known[0] else male if given.casefold() in known[1] else sorted({*female, *male})
+    n, r = divmod(n, len(pool))
+    shown = [like(given, pool[r] if len(given.rstrip(".")) > 1 else pool[r][0] + ".")] if heads else []
+    for x in heads[1:]:
+        n, r = divmod(n, len(pool))
+        shown.append(pool[r][0] + "." if x.endswith(".") else x if re.fullmatch(PARTICLE, x) else pool[r])
+    family = like(last, word(n, 6, syllables))
+    if kind == "cyrillic":
+        family += "ова" if last.endswith(("а", "ая")) else "ов"
+    return f"{family}, {' '.join(shown)}" if turned else " ".join([*shown, family])
+
+
+def surrogate(key: bytes, kind: str, piece: str, salt: int = 0) -> str:
+    """The replacement of a piece, in its format; another salt gives another one."""
     name = canonical(kind, piece)
-    n = digest(key, kind, name, salt)
+    n = digest(key, kind, name, str(salt))
     if kind in ("phone", "idnum"):
         old = [ch for ch in piece if ch.isdigit()]
-        new = iter(permuted(key, kind, "".join(old)))
-        letters = iter(word(n, 4).upper() * 3)
-        return "".join(next(new) if ch.isdigit() else next(letters) if ch.isalpha() else ch for ch in piece)
+        new = iter(permuted(key if not salt else key + str(salt).encode(), kind, "".join(old)))
+        letters = iter(word(n, 8).upper() * 3)
+        return "".join(next(new) if ch.isdigit() else like(ch, next(letters)) if ch.isalpha() else ch for ch in piece)
     if kind == "email":
-        local = word(n, 5).lower() + (salt and str(digest(key, salt) % 1000))
         m = re.match(rf"[\w.+%-]+?(?={S}?(?:@|[(\[{{<]))|[\w.+%-]+", piece)
         rest = piece[m.end() :]
         at = re.match(rf"(?:{S}?(?:@|[(\[{{<]\w+[)\]}}>]){S}?|{S}(?:at|AT){S})", rest)
-        return like(m.group(), local) + (at.group() if at else "@") + like(rest, "example.org")
+        return like(m.group(), word(n, 10).lower()) + (at.group() if at else "@") + like(rest, "example.org")
     if kind == "address":
         old = re.findall(r"\d+", piece)
-        street = word(n // 10**6, 3)
+        street = word(n >> 16, 8)
         m = re.search(rf"(?:{NAME_PART}{S})+?(?={STREETS})", piece)
         if m:
             out = piece[: m.start()] + street + " " + piece[m.end() :]
@@ -271,92 +427,122 @@ def surrogate(key: bytes, kind: str, piece: str, salt: str = "") -> str:
                 last = list(re.finditer(NAME_PART, piece))[-1]
                 out = piece[: last.start()] + street + piece[last.end() :]
         return re.sub(r"\d+", lambda m: permuted(key, "number", m.group()) if len(m.group()) > 1 else m.group(), out, count=len(old))
-    given = re.search(rf"\b(?:{GIVEN})\b", piece)
-    pool = FEMALE if given and given.group() in FEMALE else MALE
-    first, last = pool[n % len(pool)], word(n // 1000, 4) + ("son" if salt else "")
-    sur = re.findall(r"[^\W\d_]{2,}", re.sub(rf"\b(?:{GIVEN})\b", " ", piece))
-    shown = like(sur[-1] if sur else "", last)
-    if not given:
-        first = first[0] + "."
-    return f"{shown}, {first}" if "," in piece else f"{first} {shown}"
-
-
-def replace(text: str, key: bytes, mode: str = "placeholder", salts: dict[tuple[str, str], str] | None = None) -> str:
-    """The text with every piece replaced: [KIND:tag] with a keyed tag, or the surrogate itself."""
+    return _name(n, piece)
+
+
+def replace(text: str, key: bytes, mode: str = "placeholder", salts: dict[int, int] | None = None, learned: frozenset = frozenset()) -> str:
+    """The text with every piece replaced: [KIND:tag] with a keyed tag of 80 bits, or the surrogate itself. salts: by the piece's start."""
     out, last, salts = [], 0, salts or {}
-    for kind, a, b in find(text):
+    for kind, a, b in find(text, learned):
         piece = text[a:b]
-        salt = salts.get((kind, canonical(kind, piece)), "")
-        new = f"[{kind.upper()}:{digest(key, kind, canonical(kind, piece)) >> 88:010x}]" if mode == "placeholder" else surrogate(key, kind, piece, salt)
+        new = f"[{kind.upper()}:{digest(key, kind, canonical(kind, piece)) >> 48:020x}]" if mode == "placeholder" else surrogate(key, kind, piece, salts.get(a, 0))
         out += [text[last:a], new]
         last = b
     return "".join([*out, text[last:]])
 
 
-def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, kinds, starts, ends, pieces = [], [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for kind, a, b in find(text):
-                at.append(i)
-                kinds.append(kind)
-                starts.append(a)
-                ends.append(b)
-                pieces.append(text[a:b])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(pieces, pa.string())], ["id", "kind", "start_at", "end_at", "piece"])
-
-
-def personal_data(texts: DataFrame, key: str, text: str) -> DataFrame:
+def _find_all(learned):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kinds, starts, ends, pieces = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for kind, a, b in find(text, learned.value):
+                    at.append(i)
+                    kinds.append(kind)
+                    starts.append(a)
+                    ends.append(b)
+                    pieces.append(text[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(pieces, pa.string())], ["id", "kind", "start_at", "end_at", "piece"])
+
+    return run
+
+
+def personal_data(texts: DataFrame, key: str, text: str, learned: frozenset | None = None) -> DataFrame:
     """(id, kind, start_at, end_at, piece) of each place; code points from 0, the end excluded.
 
-    Null texts have none; a null key is kept, repeated rows come repeatedly; other columns are not read.
+    Null texts have none; a null key is kept, repeated rows come repeatedly; other columns are not read. Given names beyond the
+    fixed list are those of given_names(), made in a pass of its own over all texts unless they are passed in.
     """
+    learned = given_names(texts, text) if learned is None else learned
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    return spread(rows).mapInArrow(_find_all, f"id {texts.schema[key].dataType.simpleString()}, kind string, start_at int, end_at int, piece string")
+    held = texts.sparkSession.sparkContext.broadcast(learned)
+    return spread(rows).mapInArrow(_find_all(held), f"id {texts.schema[key].dataType.simpleString()}, kind string, start_at int, end_at int, piece string")
 
 
-def _collisions(secret: bytes):
+def _canonicals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds, pieces = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([canonical(k, p) for k, p in zip(kinds, pieces)], pa.string())], ["id", "kind", "start_at", "piece", "name"])
+
+
+def _shown(secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, pieces = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            names = [canonical(k, p) for k, p in zip(kinds, pieces)]
-            shown = [canonical(k, surrogate(secret, k, p)) for k, p in zip(kinds, pieces)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(shown)], ["kind", "name", "shown"])
+            kinds, names, pieces, salts = (batch.column(c).to_pylist() for c in range(4))
+            shown = [canonical(k, surrogate(secret, k, p, s)) for k, p, s in zip(kinds, pieces, salts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], ["kind", "name", "piece", "salt", "shown"])
 
     return run
 
 
-def _rewrite(secret: bytes, mode: str, salts: dict):
+def surrogates(entities: DataFrame, secret: bytes) -> DataFrame:
+    """(kind, name, piece, salt, shown) of distinct entities (kind, name, one piece): salts so that no two entities of a kind share a surrogate, and none is a real entity.
+
+    All but the first entity of each clash get the next salt, until there are none. The clashing are found by aggregates and
+    joins, however many there are, and each round redraws only those.
+    """
+    kinds = "kind string, name string, piece string, salt int, shown string"
+    drawn = written(entities.select("kind", "name", "piece", F.lit(0).alias("salt")).mapInArrow(_shown(secret), kinds), "drawn")
+    while True:
+        first = drawn.groupBy("kind", "shown").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n"))
+        real = drawn.select("kind", F.col("name").alias("shown"), F.lit(True).alias("real"))
+        # few surrogates clash, so what joins back is small
+        taken = first.join(real, ["kind", "shown"], "left").filter("n > 1 or real").select("kind", "shown", "first", "real")
+        clash = drawn.join(taken, ["kind", "shown"]).filter("real or name > first").select("kind", "name", "piece", (F.col("salt") + 1).alias("salt"))
+        again = written(clash.mapInArrow(_shown(secret), kinds), "drawn_again")
+        if again.isEmpty():
+            return drawn
+        old, drawn = drawn, written(drawn.join(again, ["kind", "name"], "left_anti").unionByName(again), "drawn")
+        discard(old)
+        discard(again)
+
+
+def _rewrite(secret: bytes, mode: str, learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [None if t is None else replace(t, secret, mode, salts) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            salts = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
+            new = [None if t is None else replace(t, secret, mode, {x["start_at"]: x["salt"] for x in s or ()}, learned.value) for t, s in zip(texts, salts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["id", "text"])
 
     return run
 
 
-MOST_COLLISIONS = 100_000
+def entities_of(texts: DataFrame, text: str, learned: frozenset) -> DataFrame:
+    """(digest, kind, start_at, piece, name) of each place of each distinct text; digest names the text, name the entity."""
+    rows = texts.select(F.sha2(F.col(text).cast("binary"), 256).alias("digest"), F.col(text).alias("text")).filter("text is not null").dropDuplicates(["digest"])
+    found = personal_data(rows, "digest", "text", learned).select("id", "kind", "start_at", "piece")
+    return found.mapInArrow(_canonicals, "id string, kind string, start_at int, piece string, name string").withColumnRenamed("id", "digest")
 
 
-def pseudonymised(texts: DataFrame, key: str, text: str, secret: bytes, mode: str = "surrogate") -> DataFrame:
+def pseudonymised(texts: DataFrame, key: str, text: str, secret: bytes, mode: str = "surrogate", learned: frozenset | None = None) -> DataFrame:
     """(id, text) of each row with its personal data replaced; mode placeholder gives [KIND:tag], surrogate keyed look-alikes.
 
-    Null texts stay null, texts without personal data stay as they are. Surrogates of different entities are distinct: the
-    entities (reduced on the map side, so frequent ones cost nothing) are grouped by surrogate, and all but the first
-    of a group get a salt. Collisions are some n^2 / 2^45 of n entities; their list is sent to the tasks up to
-    MOST_COLLISIONS and the operator raises beyond it, rather than let two entities merge.
+    Null texts stay null, texts without personal data stay as they are; a null key is kept, repeated rows come repeatedly. Tags are
+    80 bits of a keyed hash, so n entities share one with probability n^2 / 2^81. Surrogates of different entities are
+    distinct and no real entities, see surrogates(); the few with a salt join back to the texts that hold them.
     """
+    learned = given_names(texts, text) if learned is None else learned
+    held = texts.sparkSession.sparkContext.broadcast(learned)
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    salts: dict[tuple[str, str], str] = {}
-    if mode == "surrogate":
-        entities = personal_data(texts, key, text).select("kind", "piece").distinct()
-        shown = entities.mapInArrow(_collisions(secret), "kind string, name string, shown string").groupBy("kind", "shown").agg(F.min("name").alias("first"), F.max("name").alias("last"))
-        clash = entities.mapInArrow(_collisions(secret), "kind string, name string, shown string").join(shown.filter("first < last"), ["kind", "shown"]).filter("name > first")
-        held = clash.select("kind", "name").distinct().limit(MOST_COLLISIONS + 1).collect()
-        if len(held) > MOST_COLLISIONS:
-            raise ValueError("too many colliding surrogates: use longer ones")
-        salts = {(r["kind"], r["name"]): r["name"] for r in held}
-    return spread(rows).mapInArrow(_rewrite(secret, mode, salts), f"id {texts.schema[key].dataType.simpleString()}, text string")
+    schema = f"id {texts.schema[key].dataType.simpleString()}, text string"
+    if mode == "placeholder":
+        return spread(rows).mapInArrow(_rewrite(secret, mode, held), schema)
+    places = written(entities_of(texts, text, learned), "places")
+    drawn = surrogates(places.groupBy("kind", "name").agg(F.min("piece").alias("piece")), secret)
+    salted = places.join(drawn.filter("salt > 0").select("kind", "name", "salt"), ["kind", "name"]).groupBy("digest").agg(F.collect_list(F.struct("start_at", "salt")).alias("salts"))
+    keyed = spread(rows).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    return keyed.join(salted, "digest", "left").select("id", "text", "salts").mapInArrow(_rewrite(secret, mode, held), schema)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -365,11 +551,32 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("id is not null").select(F.col("id").alias("doc_id"), "kind", "start_at").distinct()
 
 
+def _hashed(out: DataFrame) -> DataFrame:
+    return out.select(F.col("id").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("text_hash"))
+
+
 def p10_replaced(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, n_chars, text_hash: each document with typed placeholders, its text given by length and SHA-1."""
-    out = pseudonymised(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", b"demonstration key", "placeholder")
-    return out.select(F.col("id").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("text_hash"))
+    return _hashed(pseudonymised(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", b"demonstration key", "placeholder"))
+
+
+def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_chars, text_hash: each document with surrogates, its text given by length and SHA-1."""
+    return _hashed(pseudonymised(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", b"demonstration key", "surrogate"))
+
+
+def p10_distinctness(spark: SparkSession, d: str) -> DataFrame:
+    """kind, any, distinct, coreferent, unreal: for each kind, whether there are entities, as many surrogates, one for each entity, and none of them real."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    places = written(entities_of(docs, "text", given_names(docs, "text")), "places")
+    drawn = surrogates(places.groupBy("kind", "name").agg(F.min("piece").alias("piece")), b"demonstration key")
+    # the surrogates as they come out in each notation of an entity, not only in the one they were drawn for
+    every = places.select("kind", "name", "piece").distinct().join(drawn.select("kind", "name", "salt"), ["kind", "name"]).select("kind", "name", "piece", "salt").mapInArrow(_shown(b"demonstration key"), "kind string, name string, piece string, salt int, shown string")
+    real = drawn.select("kind", F.col("name").alias("shown"), F.lit(1).alias("real"))
+    by = every.select("kind", "name", "shown").distinct().join(real, ["kind", "shown"], "left")
+    n = by.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("shown").alias("shown"), F.count("real").alias("real"))
+    return n.select("kind", (F.col("names") > 0).alias("any"), (F.col("shown") == F.col("n")).alias("distinct"), (F.col("names") == F.col("n")).alias("coreferent"), (F.col("real") == 0).alias("unreal"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_replaced": p10_replaced}
-SQL: dict = {}
+QUERIES = {"p10_found": p10_found, "p10_replaced": p10_replaced, "p10_surrogates": p10_surrogates, "p10_distinctness": p10_distinctness}
+SQL = {"p10_distinctness": "SELECT kind, true AS \"any\", true AS \"distinct\", true AS coreferent, true AS unreal FROM (VALUES ('address'), ('email'), ('idnum'), ('name'), ('phone')) AS k(kind)"}

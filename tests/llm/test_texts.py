@@ -286,11 +286,64 @@ def test_surrogates():
     assert a.split(" ") == b.split(", ")[::-1] and a.split(" ")[0] in personal_data.FEMALE
     phone = personal_data.surrogate(key, "phone", "(202) 555-0122")
     assert re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", phone) and phone != "(202) 555-0122"
-    assert personal_data.surrogate(key, "phone", "(202) 555-0122", "") == phone
+    assert personal_data.surrogate(key, "phone", "(202) 555-0122", 0) == phone
     for kind, piece in (("address", "206 Fern Street"), ("address", "Brindlegasse 239"), ("address", "Calle Copper 120"), ("email", "a.b at example dot org"), ("idnum", "XQ2543565")):
         assert personal_data.surrogate(key, kind, piece) not in ("", piece)
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Ask Zeynep Yilmaz about this.", "Zeynep Yilmaz"), ("Priya Raman wrote:", "Priya Raman"), ("Signed-off-by: Kwame Mensah <k@x.org>", "Kwame Mensah"), ("Thanks to Wojciech Kowalski", "Wojciech Kowalski"),
+        ("I talked to Nguyen Van Minh yesterday", "Nguyen Van Minh"), ("Ask 李雷 about this.", "李雷"), ("作者：李雷", "李雷"), ("Иван Петров написал код", "Иван Петров"), ("Best,\n\nKwame Mensah\n", "Kwame Mensah"),
+        ("co-authored by Zeynep X. Yilmaz", "Zeynep X. Yilmaz"), ("Reported-by: Mensah, Kwame <k@x.org>", "Mensah, Kwame"),
+    ],
+)
+def test_names_outside_the_list(text, name):
+    assert [text[a:b] for k, a, b in personal_data.find(text) if k == "name"] == [name]
+
+
+def test_given_names_are_learned_from_the_corpus(spark):
+    rng = random.Random(5)
+    first = [a + b for a in ("Bra", "Ove", "Kwi", "Tjo") for b in ("ndo", "lisa", "mek", "run")]
+    last = [a + b for a in ("Dor", "Fel", "Gam") for b in ("ander", "stok", "wick")]
+    person = lambda: f"{rng.choice(first)} {rng.choice(last)}"
+    told = [(i, f"The Merge Sort is slow. Signed-off-by: {person()} <a{i}@x.org>") for i in range(150)]
+    plain = [(1000 + i, f"Yesterday {person()} changed the Merge Sort and the Hash Join.") for i in range(100)]
+    df = spark.createDataFrame([*told, *plain, (None, None), (5, "")], "doc_id int, text string")
+    learned = personal_data.given_names(df, "text")
+    assert learned == frozenset(first)
+    got = personal_data.personal_data(df, "doc_id", "text").filter("kind = 'name' and id >= 1000").collect()
+    assert len(got) == 100 and all(r["piece"].split()[0] in learned for r in got)
+    assert personal_data.given_names(df.limit(0), "text") == frozenset()
+
+
+def test_surrogates_keep_script_gender_and_form():
+    key = b"k"
+    show = lambda x: personal_data.surrogate(key, "name", x)
+    assert re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+ова", show("Вера Петрова")) and show("Вера Петрова").split()[0] in personal_data.SCRIPTS["cyrillic"][1]
+    assert re.fullmatch(r"[一-鿿]{3}", show("李小雷")) and re.fullmatch(r"[가-힣]{3}", show("김민수"))
+    assert len(show("Zeynep Yilmaz").split()) == 2 and not show("Zeynep Yilmaz").split()[0].endswith(".")
+    assert re.fullmatch(r"[A-Z]\. [A-Z][a-z]+", show("A. Dorane")) and re.fullmatch(r"[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+", show("Petra X. Dorane"))
+
+
+def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
+    rows = [("phone", f"{i:03}", f"{i:03}") for i in range(60)] + [("name", f"anna a{chr(97 + i)}", f"Anna A{chr(97 + i)}") for i in range(20)]
+    monkeypatch.setattr(personal_data, "surrogate", lambda key, kind, piece, salt=0: f"{(sum(map(ord, piece)) * 7 + salt * 131) % 4099:04}" if kind == "phone" else f"anna {'abcdefghij'[(sum(map(ord, piece)) + salt * 3) % 10] * (salt + 1)}")
+    entities = spark.createDataFrame(rows, "kind string, name string, piece string")
+    import sys
+
+    import pyspark.cloudpickle as cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules["keyloom.llm.personal_data"])
+    try:
+        got = personal_data.surrogates(entities, b"k").collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules["keyloom.llm.personal_data"])
+    assert len(got) == 80 and len({(r["kind"], r["shown"]) for r in got}) == 80 and any(r["salt"] for r in got)
+    assert not {(r["kind"], r["shown"]) for r in got} & {(k, n) for k, n, _ in rows}
+
+
 def test_replacement_of_rows(spark):
     rows = [(1, "Ask Sofia Varley about this."), (2, "call me at (202) 555-0122"), (3, None), (4, ""), (None, "Ask Sofia Varley about this."), (5, "nothing here")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id int, text string, kind string, piece int")
