@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import text as T
+from keyloom.operators.ids import numbered
 from keyloom.operators.keyed import KeySpec, first_wins
 from keyloom.operators.skew import lookup_join
 from keyloom.store import discard, stored_bytes, written
@@ -188,28 +189,38 @@ def missing_links(functions: DataFrame, files: DataFrame) -> DataFrame:
     return functions.select("hash", "code_file").join(files.select(F.col("hash").alias("code_file")), "code_file", "left_anti")
 
 
-def clone_groups(clones: DataFrame, rounds: int = 60) -> DataFrame:
-    """(function, grp): connected functions share the smallest one's key.
+def clone_groups(clones: DataFrame) -> DataFrame:
+    """(function, grp): connected functions share the smallest one's key. Null sides link nothing.
 
-    Labels sink along the links and, by pointer jumping, along the labels themselves, so a chain of n functions takes some
-    log n rounds, each written to the shared folder.
+    Functions are numbered in their order, so all rounds work on longs. Labels sink along the links and, by pointer jumping,
+    along the labels themselves, so a chain of n functions takes some log n rounds; each lowers a label or is the last.
     """
-    links = clones.select(F.col("this_function").alias("a"), F.col("that_function").alias("b")).filter("a is not null and b is not null")
-    links = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    links = clones.select(F.col("this_function").alias("a"), F.col("that_function").alias("b")).filter("a is not null and b is not null").distinct()
+    links = written(links, "links")
+    names = numbered(links.select(F.explode(F.array("a", "b")).alias("function")), "function")
     size = stored_bytes(links)
-    labels = written(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("grp")).withColumnRenamed("a", "function"), "labels")
-    for _ in range(rounds):
-        near = lookup_join(links, labels.withColumnRenamed("function", "b"), "b", "inner", big_bytes=size).groupBy("a").agg(F.min("grp").alias("near"))
-        sunk = labels.join(near.withColumnRenamed("a", "function"), "function", "left").select("function", "grp", F.least("grp", "near").alias("low"))
-        jump = labels.select(F.col("function").alias("low"), F.col("grp").alias("lower"))
-        new = written(lookup_join(sunk, jump, "low", "left", big_bytes=size).select("function", F.least("low", "lower").alias("new"), "grp"), "labels")
-        changed = not new.filter("new <> grp").isEmpty()
-        discard(labels)
-        labels = new.select("function", F.col("new").alias("grp"))
+    coded = lookup_join(links, names.toDF("a", "x"), "a", "inner", big_bytes=size)
+    coded = lookup_join(coded, names.toDF("b", "y"), "b", "inner", big_bytes=size).filter("x <> y").select("x", "y")
+    both = coded.unionByName(coded.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    both, raw = written(both, "links"), links
+    discard(raw)
+    size = stored_bytes(both)
+    labels = names.select("i", F.col("i").alias("g"))
+    while True:
+        near = lookup_join(both, labels.toDF("y", "g"), "y", "inner", big_bytes=size).groupBy("x").agg(F.min("g").alias("near"))
+        sunk = labels.join(near.withColumnRenamed("x", "i"), "i", "left").select("i", "g", F.least("g", "near").alias("low"))
+        jump = labels.select(F.col("i").alias("low"), F.col("g").alias("lower"))
+        new = written(lookup_join(sunk, jump, "low", "left", big_bytes=size).select("i", F.least("low", "lower").alias("new"), "g"), "labels")
+        changed = not new.filter("new <> g").isEmpty()
+        if hasattr(labels, "stored_at"):
+            discard(labels)
+        labels = new.select("i", F.col("new").alias("g"))
         labels.stored_at = new.stored_at
         if not changed:
-            return labels
-    raise RuntimeError("labels did not settle")
+            break
+    discard(both)
+    of = labels.join(names, "i").select("function", "g")
+    return lookup_join(of, names.toDF("grp", "g"), "g", "inner", big_bytes=size).select("function", "grp")
 
 
 def group_texts(clones: DataFrame, groups: DataFrame, strings: DataFrame, strict: bool = False) -> DataFrame:

@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 100_000) -> DataFrame:
     """Keys with more than max(least, share of all rows) rows: at most 1 / share of them, whatever the input.
 
-    The count is combined on the map side, so a heavy key costs one row a task.
+    One aggregate, combined on the map side, so a heavy key costs one row a task; the total comes from the same counts.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.filter(F.col("__n") > max(least, int(share * df.count()))).select(key)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    # only keys above `least` can be heavy; the others are summed to one row
+    few = counts.groupBy(F.when((F.col("__n") > least) & F.col(key).isNotNull(), F.col(key)).alias(key)).agg(F.sum("__n").alias("__n"))
+    held = few.collect()
+    total = sum(r["__n"] for r in held)
+    kept = [(r[0],) for r in held if r[0] is not None and r["__n"] > max(least, int(share * total))]
+    return df.sparkSession.createDataFrame(kept, few.select(key).schema)
 
 
 #: A table of fewer bytes fits a task whatever its keys, so no count of its keys is needed.
 SMALL_BYTES = 64 << 20
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = 0.001, least: int = 100_000, big_bytes: int | None = None) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = 0.001, least: int = 100_000, big_bytes: int | None = None, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """big joined with small, whose key is unique. Rows of heavy keys never meet in one task.
 
     heavy_keys() bounds the heavy part of small by 1 / share rows, so it may be broadcast; the rest is
-    an ordinary shuffled join. Null keys match nothing. big_bytes: the stored size of big, where it is known.
+    an ordinary shuffled join. Null keys match nothing. big_bytes: the stored size of big, where it is known; up to small_bytes
+    the join is left to the optimiser. big should be a stored table, since its keys are counted first.
     """
-    if big_bytes is not None and big_bytes <= SMALL_BYTES:
+    if big_bytes is not None and big_bytes <= small_bytes:
         return big.join(small, key, how)
     heavy = [r[0] for r in heavy_keys(big, key, share, least).collect()]
     if not heavy:
