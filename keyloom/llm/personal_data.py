@@ -38,7 +38,10 @@ TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme|Sr|Sra|Ing)\.?"
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽА-ЯЁІЇЄҐΑ-Ω"
 LOW = "a-zß-öø-ÿā-žа-яёіїєґά-ώ"
 NAME_PART = r"[^\W\d_a-z](?:[a-zß-öø-ÿā-ž]+|[’'][A-Z][a-z]+)(?:-[A-Z][a-z]+)?"
-PART = rf"[{UP}](?:[{LOW}]+(?:[A-Z][a-z]+)?|[’'][{UP}][{LOW}]+)(?:-[{UP}][{LOW}]+)*"
+PART_TAIL = rf"(?:[{LOW}]+(?:[A-Z][a-z]+)?|[’'][{UP}][{LOW}]+)(?:-[{UP}][{LOW}]+)*"
+PART = rf"[{UP}]{PART_TAIL}"
+#: The first part of a name; the capital comes first, so that the search skips to it.
+HEAD = rf"[{UP}](?<![\w@.'’/$#-][{UP}]){PART_TAIL}"
 PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ben|ter|zu)"
 INITIAL = r"[A-Z]\."
 def _trie(words: set[str]) -> str:
@@ -107,7 +110,7 @@ PHRASE = re.compile(r"(?:, who\b|wrote\b|about this|\(see above\)|before you)")
 CUED = re.compile(rf"(?<![\w@.-]){CUES}{S}(?:{TITLES}{S})?(?P<name>(?P<first>{NAME_PART}){S}(?P<last>{NAME_PART})){S}?\Z")
 BACK = 90
 #: A full name of any given name: two to four parts, initials and particles between them.
-FULL = re.compile(rf"(?<![\w@.'’/$#-])({PART})((?:[ \t]+[{UP}]\.|[ \t]+{PARTICLE}|[ \t]+{PART}){{0,3}}[ \t]+{PART})(?![\w@(/$'’]|-\w|\.\w)")
+FULL = re.compile(rf"{HEAD}(?=[ \t])(?:[ \t]+[{UP}]\.|[ \t]+{PARTICLE}|[ \t]+{PART}){{0,3}}[ \t]+{PART}(?![\w@(/$'’]|-\w|\.\w)")
 #: Phrases right before and right after a person's full name.
 PERSON_BEFORE = re.compile(
     rf"(?:(?<!\w)(?:[Aa]sk(?:ed)?|[Aa]ccording{S}to|[Tt]hanks?(?:{S}to)?|[Tt]hank{S}you,?|[Tt]alk(?:ed)?{S}(?:to|with)|[Ss]p(?:ea|o)ke?{S}(?:to|with)|[Mm]eet|[Mm]et|[Ee]-?mailed|[Pp]honed|[Cc]ontact(?:ed)?|[Ii]nvited?|[Hh]ired|[Ii]nterviewed|[Mm]y{S}name{S}is|[Ii]{S}am|[Dd]ear|[Hh]i|[Hh]ello|[Hh]allo|[Bb]onjour|{TITLES}|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,?|[Сс]пасибо,?|[Сс]просите(?:{S}у)?|[Уу]важаем(?:ый|ая)|请问|感谢|联系|请)"
@@ -128,7 +131,7 @@ HAN_LABEL = re.compile(rf"(?:作者|联系人|姓名)[：:][ ]?([{HAN_SURNAMES}]
 #: Endings of East Slavic surnames, which tell a name without further context.
 SLAVIC = re.compile(r"(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|юк|швили|дзе|ян)\Z")
 #: A word is learned as a given name if it begins LEAST_SEEN names told by context, in LEAST_SHARE or more of its texts, and is hardly ever written small.
-LEAST_SEEN, LEAST_SHARE, MOST_SMALL = 2, 0.02, 0.1
+LEAST_SEEN, LEAST_SHARE, MOST_SMALL = 2, 0.02, 0.3
 
 
 def _before(pattern: re.Pattern, text: str, at: int, back: int = BACK) -> re.Match | None:
@@ -162,7 +165,7 @@ def full_names(text: str) -> Iterator[tuple[int, int, str, bool]]:
         yield a, b, words[0], _person(text, a, b)
 
 
-REVERSED_FULL = re.compile(rf"(?<![\w@.'’/$#-]){PART},[ \t]+{PART}(?:[ \t]+[{UP}]\.)?(?![\w@(/$'’,]|-\w|\.\w)")
+REVERSED_FULL = re.compile(rf"{HEAD},[ \t]+{PART}(?:[ \t]+[{UP}]\.)?(?![\w@(/$'’,]|-\w|\.\w)")
 
 
 def _general_names(text: str, learned: frozenset) -> Iterator[tuple[int, int]]:
@@ -285,17 +288,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first, large, small = Counter(), Counter(), Counter()
         for text in batch.column(0).to_pylist():
-            words = set(LETTERS.findall(text))
+            words = {w.strip(MARKS) for w in set(text.split())}
+            words = {w for w in words if w.isalpha()}
             large.update(w for w in words if w[0].isupper())
-            small.update({w.capitalize() for w in SMALL.findall(text)})
+            small.update(w.capitalize() for w in words if w.islower())
             first.update({w for _, _, w, told in full_names(text) if told})
         words = sorted(large)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (first, large, small))], ["word", "first", "large", "small"])
 
 
-LETTERS = re.compile(r"[^\W\d_]{2,}")
-#: A small word of running text, no part of an address or a spelt-out one.
-SMALL = re.compile(r"(?<!\S)[^\W\d_A-Z]{2,}(?=[ ,;:.!?]|\s)(?![ ]?(?:\(|\[|at\b|AT\b|@))(?![.]\w)")
+#: What may stand around a word of running text; words inside addresses and identifiers do not count.
+MARKS = ",;:.!?()[]<>\"'"
 #: The share of all names told by context that a learned word begins at least, so that there are at most 2^20 of them.
 LEAST_OF_ALL = 2.0**-20
 
