@@ -4,12 +4,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import text as T
 from keyloom.operators.ids import numbered
-from keyloom.operators.keyed import KeySpec, first_wins
 from keyloom.operators.skew import lookup_join
 from keyloom.store import discard, stored_bytes, written
 
@@ -20,12 +21,36 @@ MAX_GAP = 10
 def collisions(snippets: DataFrame) -> DataFrame:
     """One snippet for each (hash, function), the lowest by clone type and position, with n, the functions that share its hash (two or more).
 
-    The count is an aggregate of the distinct (hash, function) pairs and joins back as a lookup, so a hash that a third of
-    all rows carry is never gathered. Null hashes and functions collide with nothing.
+    De-duplicated once, by a hash aggregate over one long, and stored. The count is an aggregate of the distinct (hash, function)
+    pairs and joins back as a lookup, so a hash that a third of all rows carry is never gathered. Null hashes and functions
+    collide with nothing; a null type or position comes last.
     """
-    one = first_wins(snippets.select("hash", "function", "clone_type", "position"), KeySpec(("hash",), ("function",), ("clone_type", "position")))
+    rank = F.shiftleft(F.coalesce("clone_type", F.lit((1 << 31) - 1)).cast("bigint"), 32) + F.coalesce("position", F.lit((1 << 31) - 1))
+    kept = snippets.filter("hash is not null and function is not null")
+    one = written(kept.groupBy("hash", "function").agg(F.min(rank).alias("rank")), "one")
+    parts = one.select("hash", "function", F.shiftright("rank", 32).cast("int").alias("clone_type"), F.col("rank").bitwiseAND((1 << 32) - 1).cast("int").alias("position"))
     counts = one.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return lookup_join(one, counts, "hash", "inner")
+    return lookup_join(parts, counts, "hash", "inner", big_bytes=stored_bytes(one))
+
+
+def coded(colliding: DataFrame, signed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(colliding with numbers for hashes and functions, names): what follows compares longs. names: (function, i).
+
+    Numbers ascend as the keys do, so all orders stay what they are; signed numbers functions in the order of signed bytes.
+    """
+    colliding = written(colliding, "colliding")
+    size = stored_bytes(colliding)
+    names = numbered(colliding, "function", by=T.signed_order(F.col("function")) if signed else None)
+    hashes = numbered(colliding, "hash", "h")
+    out = lookup_join(colliding, names, "function", "inner", big_bytes=size).select("hash", F.col("i").alias("function"), "position", "n")
+    return lookup_join(out, hashes, "hash", "inner", big_bytes=size).select(F.col("h").alias("hash"), "function", "position", "n"), names
+
+
+def named(clones: DataFrame, names: DataFrame, *sides: str) -> DataFrame:
+    """Numbers of functions turned back into their keys."""
+    for side in sides or ("this_function", "that_function"):
+        clones = clones.join(names.toDF("__key", side), side).withColumn(side, F.col("__key")).drop("__key")
+    return clones
 
 
 def popular_snippets(colliding: DataFrame, threshold: int = POPULAR) -> DataFrame:
@@ -46,8 +71,8 @@ def rough_pairs(colliding: DataFrame, threshold: int = POPULAR, signed: bool = F
     """
     rare = _ordered(colliding.filter(F.col("n") < threshold).select("hash", "function", "position"), signed)
     a, b = rare.toDF("hash", "this_function", "this_position", "this_o"), rare.toDF("hash", "that_function", "that_position", "that_o")
-    pairs = a.join(b, "hash").filter("this_o < that_o").drop("this_o", "that_o")
-    keep = first_wins(pairs, KeySpec(("this_function",), ("that_function", "this_position"), ("hash",)))
+    pairs = a.join(b, "hash").filter("this_o < that_o")
+    keep = pairs.groupBy("this_function", "that_function", "this_position").agg(F.min_by("that_position", "hash").alias("that_position"), F.min("hash").alias("hash"))
     return keep.select("this_function", "that_function", "this_position", "that_position", "hash")
 
 
@@ -76,24 +101,26 @@ def all_matches(colliding: DataFrame, threshold: int = POPULAR, signed: bool = F
     return rough.withColumn("woven", F.lit(1)).unionByName(woven.withColumn("woven", F.lit(0)))
 
 
-def stitch(matches: list[tuple]) -> list[tuple]:
-    """Clones (that_function, this_position, this_length, that_position, that_length) of one function's matches.
+def passes(matches: list[tuple]) -> Iterator[tuple]:
+    """(that_function, this_position, this_length, that_position, that_length, ended) of each clone of one function's matches.
 
     matches: (that_function, this_position, that_position) in the order of function and position. A pass opens a clone at the first
     match left and takes in what follows within MAX_GAP on both sides; a match within the gap on this side only is left for
-    a later pass, though the gap is then measured from it; a larger gap ends the pass; another function opens the next clone.
+    a later pass, though the gap is then measured from it; a larger gap ends the pass (ended); another function opens the next
+    clone.
     """
-    left, clones = list(matches), []
+    left, grown = list(matches), T.MINIMUM_LINES - 1
     while left:
         rest, clone, last, ended = [], None, None, False
         for k, cur in enumerate(left):
             if clone is None or cur[0] != last[0]:
                 if clone is not None:
-                    clones.append(clone)
+                    yield clone[0], clone[1], clone[2] + grown, clone[3], clone[4] + grown, False
                 clone, last = [cur[0], cur[1], 1, cur[2], 1], cur
                 continue
             if cur[1] - last[1] > MAX_GAP:
                 rest += left[k:]
+                ended = True
                 break
             if abs(cur[2] - last[2]) <= MAX_GAP:
                 clone[2] = cur[1] - clone[1] + 1
@@ -102,74 +129,156 @@ def stitch(matches: list[tuple]) -> list[tuple]:
             else:
                 rest.append(cur)
             last = cur
-        clones.append(clone)
+        yield clone[0], clone[1], clone[2] + grown, clone[3], clone[4] + grown, ended
         left = rest
-    grown = T.MINIMUM_LINES - 1
-    return [(f, p, n + grown, q, m + grown) for f, p, n, q, m in clones]
 
 
-_CLONE_COLUMNS = ["this_function", "seq", "that_function", "this_position", "this_length", "that_position", "that_length"]
+def stitch(matches: list[tuple]) -> list[tuple]:
+    """The clones of passes(), in order, without what ended them."""
+    return [c[:5] for c in passes(matches)]
+
 
+def _groups(this: pa.Array, that: pa.Array) -> np.ndarray:
+    """Whether each row begins another pair of functions."""
+    new = np.ones(len(this), bool)
+    for c in (this, that):
+        part = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = part if c is this else new[1:] | part
+    return new
 
-def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The clones of whole functions, from their sorted matches."""
-    this, that = pdf["this_function"].to_numpy(object), pdf["that_function"].tolist()
-    p, q = pdf["this_position"].tolist(), pdf["that_position"].tolist()
-    starts = [0, *(np.flatnonzero(this[1:] != this[:-1]) + 1), len(this)]
-    out = [(this[a], i, *c) for a, b in zip(starts, starts[1:]) for i, c in enumerate(stitch(list(zip(that[a:b], p[a:b], q[a:b]))))]
-    return pd.DataFrame(out, columns=_CLONE_COLUMNS)
 
+def _stitched(this: pa.Array, that: pa.Array, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    """The clones of whole pairs of functions, from their sorted matches.
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted matches, batch by batch; the last function of a batch waits for the next one."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if pdf.empty:
+    Runs of matches that are near each other on both sides are clones as they are, by array operations; only pairs in which a match is
+    near on one side alone go through the rule step by step.
+    """
+    n = len(p)
+    new = _groups(this, that)
+    group = np.cumsum(new) - 1
+    far, off = np.zeros(n, bool), np.zeros(n, bool)
+    far[1:] = ~new[1:] & (p[1:] - p[:-1] > MAX_GAP)
+    off[1:] = ~new[1:] & ~far[1:] & (np.abs(q[1:] - q[:-1]) > MAX_GAP)
+    hard = np.bincount(group, off, group[-1] + 1) > 0
+    run = np.cumsum(new | far) - 1
+    first = np.flatnonzero(new | far)
+    last = np.append(first[1:], n) - 1
+    step = np.int64(1) << 33
+    low = np.minimum.accumulate(q - run * step) + run * step  # begins anew with each run
+    reach = np.maximum.reduceat(q - low, first) + 1
+    easy = ~hard[group[first]]
+    grown = T.MINIMUM_LINES - 1
+    nth = np.arange(len(first)) - np.flatnonzero(new[first])[group[first]]
+    ended = np.append(far[first[1:]], False)
+    parts = [(first[easy], nth[easy], p[first][easy], (p[last] - p[first])[easy] + 1 + grown, low[last][easy], reach[easy] + grown, ended[easy])]
+    starts = np.append(np.flatnonzero(new), n)
+    rows = []
+    for g in np.flatnonzero(hard).tolist():
+        a, b = int(starts[g]), int(starts[g + 1])
+        rows += [(a, k, *c[1:]) for k, c in enumerate(passes(list(zip([0] * (b - a), p[a:b].tolist(), q[a:b].tolist()))))]
+    if rows:
+        parts.append(tuple(np.array(x, np.int64) for x in zip(*rows)))
+    at, *rest, ended = (np.concatenate(x) for x in zip(*parts))
+    pick = pa.array(at)
+    return pa.RecordBatch.from_arrays([this.take(pick), that.take(pick), *(pa.array(x.astype(np.int32)) for x in rest), pa.array(ended.astype(bool))], ["this_function", "that_function", "nth", "this_position", "this_length", "that_position", "that_length", "ended"])
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted matches, batch by batch; the last pair of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+
+    def stitched(parts: list[pa.RecordBatch], end: int | None = None) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        t = t.slice(0, end) if end is not None else t
+        return _stitched(t.column(0), t.column(1), *(t.column(k).to_numpy().astype(np.int64) for k in (2, 3)))
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        this = pdf["this_function"]
-        if held and this.iloc[-1] == held[0]["this_function"].iloc[0]:
-            held.append(pdf)
+        begins = np.flatnonzero(_groups(batch.column(0), batch.column(1)))
+        same = held and all(held[-1].column(k)[held[-1].num_rows - 1] == batch.column(k)[0] for k in (0, 1))
+        if same and len(begins) == 1:
+            held.append(batch)
             continue
-        whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
-        cut = int(np.argmax((whole["this_function"] == this.iloc[-1]).to_numpy()))
-        if cut:
-            yield _stitched(whole.iloc[:cut])
-        held = [whole.iloc[cut:]]
+        cut = int(begins[-1])
+        ready = [*held, batch.slice(0, cut)] if cut else held
+        if ready:
+            yield stitched(ready)
+        held = [batch.slice(cut)]
     if held:
-        yield _stitched(pd.concat(held, ignore_index=True))
+        yield stitched(held)
 
 
 def expand(matches: DataFrame) -> DataFrame:
-    """Matches stitched to clones, numbered (seq) within each this_function.
+    """Matches stitched to clones, numbered (nth) within each pair of functions; ended tells whether a gap ended the pass there.
 
-    The rule is sequential within a function, so functions are kept whole by one exchange, sorted (which spills), and
-    streamed through Python in batches of many functions. The matches of one function are in memory at once: fewer than POPULAR
-    for each of its rare windows and, where popular hashes are woven in (all_matches), all functions of each popular one.
+    The rule never carries anything from one that_function to the next, so pairs of functions are kept whole by one exchange, sorted
+    (which spills), and streamed through arrays in batches of many pairs: a function that matches very many others is
+    spread over all tasks. In memory at once: the matches of one pair.
     """
     kind = matches.schema["this_function"].dataType.simpleString()
     order = ["this_function", "that_function", "this_position", *(["woven"] if "woven" in matches.columns else []), "hash"]
-    ordered = matches.repartition("this_function").sortWithinPartitions(*order).drop("hash", "woven")
-    return ordered.mapInPandas(_expand, f"this_function {kind}, seq int, that_function {kind}, this_position int, this_length int, that_position int, that_length int")
+    ordered = matches.repartition("this_function", "that_function").sortWithinPartitions(*order).select("this_function", "that_function", "this_position", "that_position")
+    return ordered.mapInArrow(_expand, f"this_function {kind}, that_function {kind}, nth int, this_position int, this_length int, that_position int, that_length int, ended boolean")
+
+
+def _sequence(pdf: pd.DataFrame) -> pd.DataFrame:
+    """seq: the order in which the reference's passes over one function emit its clones."""
+    ended = pdf["ended"].to_dict()
+    queues = [list(g.index) for _, g in pdf.sort_values(["that_function", "nth"]).groupby("that_function", sort=True)]
+    order: list[int] = []
+    while queues:
+        rest = []
+        for k, queue in enumerate(queues):
+            order.append(queue[0])
+            rest.append(queue[1:])
+            if ended[queue[0]]:
+                rest += queues[k + 1 :]
+                break
+        queues = [q for q in rest if q]
+    out = pdf.loc[order].reset_index(drop=True)
+    out["seq"] = np.arange(len(out), dtype=np.int32)
+    return out
+
+
+def window_vocabularies(windows: DataFrame, strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((function, position, length, v), (v, words)): the vocabulary of each window of lines, cut from the raw text, and each vocabulary once.
+
+    The windows are cut by the positions in the normal form, clamped to the text's end. Windows of unknown functions have none.
+    """
+    parts = strings.filter("hash is not null and contents is not null").groupBy("hash").agg(F.min("contents").alias("contents")).select(F.col("hash").alias("function"), T.lines(F.col("contents")).alias("lines"))
+    text = F.array_join(F.slice("lines", F.col("position") + 1, F.col("length")), "\n")
+    cut = written(windows.join(parts, "function").select("function", "position", "length", F.array_sort(T.vocabulary(text)).alias("words")), "windows")
+    words = numbered(cut, "words", "v")
+    return cut.join(words, "words").select("function", "position", "length", "v"), words.select("v", "words")
 
 
 def fine_clones(clones: DataFrame, strings: DataFrame, strict: bool = False) -> DataFrame:
     """Clones whose two texts share enough of their vocabulary.
 
-    strings: (hash, contents). The windows are cut from the raw text by the positions in the normal form, clamped to its end.
-    strict drops, as the reference does, all later clones of a function once one fails.
+    strings: (hash, contents), hash as in clones. Each window's vocabulary is made once, however many clones it is in, and each pair of
+    vocabularies is judged once. strict drops, as the reference does, all later clones of a function once one fails.
     """
-    parts = strings.filter("hash is not null and contents is not null").groupBy("hash").agg(F.min("contents").alias("contents")).select(F.col("hash").alias("f"), T.lines(F.col("contents")).alias("lines"))
-
-    def cut(side: str) -> Column:
-        return F.array_join(F.slice("lines", F.col(f"{side}_position") + 1, F.col(f"{side}_length")), "\n")
-
-    both = clones.join(parts.withColumnRenamed("f", "this_function"), "this_function").withColumn("a", cut("this")).drop("lines")
-    both = both.join(parts.withColumnRenamed("f", "that_function"), "that_function").withColumn("b", cut("that")).drop("lines")
-    judged = both.withColumn("spam", T.is_spam(F.col("a"), F.col("b"))).drop("a", "b")
-    if strict:
-        w = Window.partitionBy("this_function").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        judged = judged.withColumn("spam", F.max("spam").over(w))
-    return judged.filter(~F.col("spam")).drop("spam")
+    clones = written(clones, "clones")
+    sides = [clones.select(F.col(f"{s}_function").alias("function"), F.col(f"{s}_position").alias("position"), F.col(f"{s}_length").alias("length")) for s in ("this", "that")]
+    windows, words = window_vocabularies(sides[0].unionByName(sides[1]).distinct(), strings)
+    windows = written(windows, "vocabularies")
+    both = clones
+    for s in ("this", "that"):
+        both = both.join(windows.toDF(f"{s}_function", f"{s}_position", f"{s}_length", f"{s}_v"), [f"{s}_function", f"{s}_position", f"{s}_length"])
+    both = written(both, "clones")
+    pairs = both.filter("this_v <> that_v").select(F.least("this_v", "that_v").alias("x"), F.greatest("this_v", "that_v").alias("y")).distinct()
+    judged = pairs.join(words.toDF("x", "a"), "x").join(words.toDF("y", "b"), "y")
+    spam = judged.filter(F.coalesce(T.vocabulary_similarity(F.col("a"), F.col("b")) < T.SPAM_BELOW, F.lit(False))).select("x", "y", F.lit(True).alias("spam"))
+    keyed = both.withColumn("x", F.least("this_v", "that_v")).withColumn("y", F.greatest("this_v", "that_v")).drop("this_v", "that_v")
+    if not strict:
+        return keyed.join(spam, ["x", "y"], "left_anti").select(*clones.columns)
+    marked = keyed.join(spam, ["x", "y"], "left").select(*clones.columns, F.coalesce("spam", F.lit(False)).alias("spam"))
+    # the reference cannot go on where a text is missing; here such clones are left out before
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
+    numbered_ = marked.groupBy("this_function").applyInPandas(_sequence, f"{fields}, seq int")
+    w = Window.partitionBy("this_function").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return numbered_.withColumn("spam", F.max("spam").over(w)).filter(~F.col("spam")).select(*clones.columns)
 
 
 def occurrences(functions: DataFrame, files: DataFrame, versions: DataFrame, projects: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from keyloom.operators import etl, keyed, linear, snippets, wordcount
 from keyloom.operators.skew import spread
 from keyloom.plans import sql as S
 from keyloom.sources import files
+from keyloom.store import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -37,11 +38,10 @@ def hexed(c: str):
 
 
 def distinct_functions(spark: SparkSession, d: str) -> DataFrame:
+    # one exchange; its width is given, so that a small table is spread over all cores all the same, and the aggregate keeps it
     rows = table(spark, d, "code_functions").filter("hash is not null and contents is not null")
-    out = rows.groupBy("hash").agg(F.min("contents").alias("contents"))
-    # what follows costs much for each row, so a small table is spread over all cores all the same
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartition(width, "hash")
+    return rows.repartition(width, "hash").groupBy("hash").agg(F.min("contents").alias("contents"))
 
 
 # --- word counts
@@ -236,28 +236,43 @@ def spam_filter(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(hexed("a").alias("a"), hexed("b").alias("b"))
 
 
-def _clones(spark: SparkSession, d: str) -> DataFrame:
-    return C.expand(C.all_matches(_colliding(spark, d)))
+def _clones(spark: SparkSession, d: str, threshold: int = C.POPULAR) -> tuple[DataFrame, DataFrame]:
+    """(clones of numbered functions, names)."""
+    found, names = C.coded(_colliding(spark, d))
+    return C.expand(C.all_matches(found, threshold)), names
+
+
+def _fine(spark: SparkSession, d: str, threshold: int = C.POPULAR, strict: bool = False) -> DataFrame:
+    clones, names = _clones(spark, d, threshold)
+    strings = table(spark, d, "code_functions").filter("hash is not null and contents is not null").select(F.col("hash").alias("function"), "contents").join(names, "function").select(F.col("i").alias("hash"), "contents")
+    return C.named(C.fine_clones(clones, strings, strict), names)
 
 
 def _shown(clones: DataFrame) -> DataFrame:
     return clones.select(hexed("this_function").alias("this_function"), "this_position", "this_length", hexed("that_function").alias("that_function"), "that_position", "that_length")
 
 
-@query()
+@query(f"WITH RECURSIVE {S.COLLIDING}, {S.rough()}, {S.woven()}, {S.clones()} SELECT lower(hex(this_function)) AS this_function, this_position, this_length, lower(hex(that_function)) AS that_function, that_position, that_length FROM clones")
 def expand_clones(spark: SparkSession, d: str) -> DataFrame:
-    """Matches stitched to clones; sequential, tested against a plain version of the rule."""
-    return _shown(_clones(spark, d))
+    """Matches stitched to clones."""
+    return _shown(C.named(*_clones(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {S.COLLIDING}, {S.rough(_POPULAR)}, {S.woven(_POPULAR)}, {S.clones()} SELECT lower(hex(this_function)) AS this_function, this_position, this_length, lower(hex(that_function)) AS that_function, that_position, that_length FROM clones")
+def expand_woven_clones(spark: SparkSession, d: str) -> DataFrame:
+    """Clones where hashes of 60 functions or more are popular, so that small tables have such."""
+    return _shown(C.named(*_clones(spark, d, _POPULAR)))
+
+
+@query(f"WITH RECURSIVE {S.FUNCTIONS}, {S.COLLIDING}, {S.rough()}, {S.woven()}, {S.clones()}, {S.fine()} SELECT this_function, this_position, this_length, that_function, that_position, that_length FROM fine")
 def fine_clones(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(C.fine_clones(_clones(spark, d), distinct_functions(spark, d)))
+    return _shown(_fine(spark, d))
 
 
 @query()
 def fine_clones_strict(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(C.fine_clones(_clones(spark, d), distinct_functions(spark, d), strict=True))
+    """In the order of the reference's passes, which SQL cannot tell."""
+    return _shown(_fine(spark, d, strict=True))
 
 
 @query("""SELECT DISTINCT lower(hex(f.hash)) AS function, lower(hex(c.hash)) AS code_file, lower(hex(v.hash)) AS version, lower(hex(p.hash)) AS project
@@ -296,9 +311,7 @@ def group_occurrences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clone_group_texts(spark: SparkSession, d: str) -> DataFrame:
     """The groups of the fine clones with their text's SHA-1."""
-    from keyloom.store import written
-
-    clones = written(C.fine_clones(_clones(spark, d), distinct_functions(spark, d)), "clones")
+    clones = written(_fine(spark, d), "clones")
     return C.group_texts(clones, C.clone_groups(clones), distinct_functions(spark, d)).select(hexed("grp").alias("grp"), "hash")
 
 
@@ -336,8 +349,27 @@ def instance_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def train_models(spark: SparkSession, d: str) -> DataFrame:
-    """One seeded model a shard, with the reference's 10,000 steps at most."""
-    return linear.train(_instances(spark, d), seed=7)
+    """One model a shard, with the reference's 10,000 steps at most; weights rounded to 6 places."""
+    models = linear.train(_instances(spark, d))
+    return models.select("shard", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
+
+
+_STEPS = 25
+
+
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT shard, list_transform(string_split(line, ' '), lambda x: x::DOUBLE) AS x FROM sharded),
+i AS (SELECT shard, x[:-2] AS f, CASE WHEN x[-1] > 0.5 THEN 1 ELSE -1 END AS y, row_number() OVER (PARTITION BY shard ORDER BY x[:-2], x[-1]) AS r, count(*) OVER (PARTITION BY shard) AS c FROM n),
+b AS (SELECT shard, list({{'f': f, 'y': y}} ORDER BY r) AS b FROM i WHERE r <= greatest(1, floor(0.02 * c + 0.5)) GROUP BY shard),
+w AS (SELECT shard, b, list_transform(range(0, {_DIMS}), lambda j: 0.0::DOUBLE) AS w, 0 AS step, FALSE AS done FROM b
+UNION ALL SELECT shard, b, list_transform(range(1, {_DIMS} + 1), lambda j: w[j] - g[j]), step + 1, list_sum(list_transform(g, lambda v: v * v)) < 1e-8 FROM (
+  SELECT *, list_transform(range(1, {_DIMS} + 1), lambda j: list_sum(list_transform(s, lambda t: t.f[j] * t.e * t.k)) / list_sum(list_transform(s, lambda t: t.k))) AS g FROM (
+    SELECT *, list_transform(z, lambda t: {{'f': t.f, 'e': 1 / (1 + exp(-t.z)) - (t.y + 1) * 0.5, 'k': CASE WHEN t.z >= 0 AND t.y < 0 THEN 4.0 ELSE 1.0 END}}) AS s FROM (
+      SELECT *, list_transform(b, lambda t: {{'f': t.f, 'y': t.y, 'z': list_dot_product(t.f, w)}}) AS z FROM w WHERE step < {_STEPS} AND NOT done))))
+SELECT shard, list_transform(w, lambda x: round(x, 6)) AS weights FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY step DESC) AS last FROM w) WHERE last = 1""")
+def train_few_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The same rule for 25 steps, which SQL can follow."""
+    models = linear.train(_instances(spark, d), iterations=_STEPS)
+    return models.select("shard", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
 
 
 @query("SELECT i::INTEGER AS i, round(avg(embedding[i + 1]::DOUBLE), 6) AS weight FROM (SELECT embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY i")

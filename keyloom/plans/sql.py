@@ -80,4 +80,40 @@ def rough(threshold: int = 500) -> str:
   row_number() OVER (PARTITION BY a.function, b.function, a.position ORDER BY hash, b.position) AS r FROM colliding a JOIN colliding b USING (hash) WHERE a.n < {threshold} AND a.function < b.function) WHERE r = 1)"""
 
 
+def woven(threshold: int = 500) -> str:
+    """matches: the rough ones, and those of popular hashes for functions with a rough match."""
+    return f"""pop AS (SELECT * FROM colliding WHERE n >= {threshold}),
+mine AS (SELECT * FROM pop WHERE function IN (SELECT this_function FROM rough)),
+woven AS (SELECT a.function AS this_function, b.function AS that_function, a.position AS this_position, b.position AS that_position, hash FROM mine a JOIN pop b USING (hash) WHERE a.function < b.function),
+matches AS (SELECT this_function, that_function, this_position AS p, that_position AS q, hash, 1 AS w FROM rough UNION ALL SELECT this_function, that_function, this_position, that_position, hash, 0 FROM woven)"""
+
+
+def clones() -> str:
+    """The stitching rule, a pass for each step of the recursion: a fold over the matches left of a pair of functions.
+
+    The state of the fold: the clone (p, q, n, k: its first position on this side, the lowest on the other, both extents), the last match looked at
+    (lp, lq), whether a gap has ended the pass, and the matches left for later.
+    """
+    wide = "{'p': x.p, 'q': x.q, 'n': 1, 'k': 1, 'lp': x.p, 'lq': x.q, 'ended': FALSE, 'rest': []::STRUCT(p INTEGER, q INTEGER)[]}"
+    left = "list_append(a.rest, {'p': x.p, 'q': x.q})"
+    near = "abs(x.q - a.lq) <= 10"
+    step = f"""CASE WHEN a.ended OR x.p - a.lp > 10 THEN {{'p': a.p, 'q': a.q, 'n': a.n, 'k': a.k, 'lp': a.lp, 'lq': a.lq, 'ended': TRUE, 'rest': {left}}}
+WHEN {near} THEN {{'p': a.p, 'q': least(a.q, x.q), 'n': x.p - a.p + 1, 'k': greatest(a.k, x.q - least(a.q, x.q) + 1), 'lp': x.p, 'lq': x.q, 'ended': FALSE, 'rest': a.rest}}
+ELSE {{'p': a.p, 'q': a.q, 'n': a.n, 'k': a.k, 'lp': x.p, 'lq': x.q, 'ended': FALSE, 'rest': {left}}} END"""
+    return f"""ordered AS (SELECT this_function, that_function, list({{'p': p, 'q': q}} ORDER BY p, w, hash) AS m FROM matches GROUP BY this_function, that_function),
+passes AS (SELECT this_function, that_function, m AS remaining, NULL::INTEGER AS p, NULL::INTEGER AS q, NULL::INTEGER AS n, NULL::INTEGER AS k FROM ordered
+  UNION ALL SELECT this_function, that_function, c.rest, c.p, c.q, c.n, c.k FROM (
+    SELECT this_function, that_function, list_reduce(list_transform(remaining, lambda x: {wide}), lambda a, x: {step}) AS c FROM passes WHERE len(remaining) > 0)),
+clones AS (SELECT this_function, p AS this_position, n + 4 AS this_length, that_function, q AS that_position, k + 4 AS that_length FROM passes WHERE p IS NOT NULL)"""
+
+
+def fine() -> str:
+    """The clones whose windows of the raw text share enough of their vocabulary."""
+    return f"""texts AS (SELECT fn, {lines("c")} AS l FROM fns),
+cut AS (SELECT DISTINCT lower(hex(f)) AS fn, p, n FROM (SELECT this_function AS f, this_position AS p, this_length AS n FROM clones UNION ALL SELECT that_function, that_position, that_length FROM clones)),
+vocabularies AS (SELECT fn, p, n, list_distinct(regexp_extract_all(array_to_string(l[p + 1 : p + n], chr(10)), '[a-zA-Z][a-zA-Z0-9]*')) AS v FROM cut JOIN texts USING (fn)),
+fine AS (SELECT a.fn AS this_function, this_position, this_length, b.fn AS that_function, that_position, that_length FROM (
+  SELECT c.*, a.v AS va, b.v AS vb, a, b FROM clones c JOIN vocabularies a ON a.fn = lower(hex(this_function)) AND a.p = this_position AND a.n = this_length JOIN vocabularies b ON b.fn = lower(hex(that_function)) AND b.p = that_position AND b.n = that_length) WHERE NOT {SPAM})"""
+
+
 SPAM = "len(list_intersect(va, vb)) < 0.8 * len(list_distinct(list_concat(va, vb)))"

@@ -111,28 +111,40 @@ def test_collisions_pairs_and_popular(spark):
     assert C.rough_pairs(C.collisions(df.limit(0))).count() == 0
 
 
-def test_expand_streams_whole_functions(spark):
+def test_expand_streams_whole_pairs(spark):
     rng = random.Random(9)
     rows = [(f"f{rng.randrange(6)}", f"g{rng.randrange(3)}", rng.randrange(60), rng.randrange(60), f"h{i}") for i in range(900)]
+    rows += [("hot", f"g{i}", p, p + rng.randrange(3), f"x{i}-{p}") for i in range(200) for p in range(0, 30, 4)]
     df = spark.createDataFrame(rows, "this_function string, that_function string, this_position int, that_position int, hash string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = sorted(tuple(r) for r in C.expand(df).collect())
+        got = C.expand(df).toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ["this_function", "that_function", "this_position", "this_length", "that_position", "that_length"]
     want = []
     for f in sorted({r[0] for r in rows}):
         mine = sorted((r[1], r[2], r[4], r[3]) for r in rows if r[0] == f)
         want += [(f, i, *c) for i, c in enumerate(C.stitch([(t, p, q) for t, p, _, q in mine]))]
-    assert got == sorted(want)
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted((f, *c) for f, _, *c in want)
+    # the order of the passes over a function comes back from the clones of its pairs
+    for f, rows_of in got.groupby("this_function"):
+        ordered = C._sequence(rows_of)
+        assert list(ordered[columns].itertuples(index=False, name=None)) == [(g, *c) for g, _, *c in want if g == f]
+    assert C.expand(df.limit(0)).count() == 0
 
 
 def test_fine_clones(spark):
     text = "\n".join(f"w{i} a{i}" for i in range(20))
-    strings = spark.createDataFrame([("f", text), ("g", text), ("h", "\n".join(f"q{i}" for i in range(20)))], "hash string, contents string")
-    clones = spark.createDataFrame([("f", 0, "g", 0, 5, 0, 5), ("f", 1, "h", 0, 5, 0, 5), ("f", 2, "g", 6, 5, 6, 90)], "this_function string, seq int, that_function string, this_position int, this_length int, that_position int, that_length int")
-    assert [r["seq"] for r in C.fine_clones(clones, strings).orderBy("seq").collect()] == [0]
-    assert [r["seq"] for r in C.fine_clones(clones, strings, strict=True).collect()] == [0]
+    strings = spark.createDataFrame([("f", text), ("g", text), ("h", "\n".join(f"q{i}" for i in range(20))), (None, text), ("i", None)], "hash string, contents string")
+    schema = "this_function string, that_function string, nth int, this_position int, this_length int, that_position int, that_length int, ended boolean"
+    clones = spark.createDataFrame([("f", "g", 0, 0, 5, 0, 5, True), ("f", "g", 1, 30, 5, 30, 90, False), ("f", "h", 0, 0, 5, 0, 5, False), ("f", "i", 0, 0, 5, 0, 5, False)], schema)
+    assert sorted((r["that_function"], r["nth"]) for r in C.fine_clones(clones, strings).collect()) == [("g", 0), ("g", 1)]
+    # the pass ends after the first clone; h fails in the second pass, after g's second clone
+    assert sorted((r["that_function"], r["nth"]) for r in C.fine_clones(clones, strings, strict=True).collect()) == [("g", 0), ("g", 1)]
+    later = clones.withColumn("ended", F.lit(False))
+    assert sorted((r["that_function"], r["nth"]) for r in C.fine_clones(later, strings, strict=True).collect()) == [("g", 0)]
+    assert C.fine_clones(clones.limit(0), strings).count() == 0
 
 
 def test_clone_groups(spark):
@@ -171,14 +183,14 @@ def test_classifier(spark):
     features, label = linear.parse_instance(F.col("line"))
     rows = shards.select("shard", features.alias("features"), label.alias("label"))
     assert rows.filter("label is null").count() == 1
-    models = linear.train(rows.filter("size(features) = 3"), 300, 1)
-    assert models.count() == 4 and sorted(map(str, models.collect())) == sorted(map(str, linear.train(rows.filter("size(features) = 3").repartition(7), 300, 1).collect()))
+    models = linear.train(rows.filter("size(features) = 3"), 300, share=1.0)
+    assert models.count() == 4 and sorted(map(str, models.collect())) == sorted(map(str, linear.train(rows.filter("size(features) = 3").repartition(7), 300, share=1.0).collect()))
     mean = [r["weight"] for r in linear.model_average(models).orderBy("i").collect()]
     w = F.array(*[F.lit(v) for v in mean])
     scored = rows.filter("size(features) = 3").withColumn("predicted", linear.classify(w, F.col("features")))
     assert scored.filter("predicted = label").count() > 0.9 * 400
     assert linear.misclassified(scored).count() <= 40
-    assert len(linear.train_one(np.ones((3, 2)), np.ones(3), 5)) == 2
+    assert linear.train(rows.limit(0)).count() == 0
     v = spark.range(1).select(linear.norm(F.array(F.lit(3.0), F.lit(4.0))).alias("n"), linear.model_text(F.array(F.lit(1.5), F.lit(2.0))).alias("t"), linear.scale(linear.subtract(linear.add(w, w), w), 2.0).alias("s")).first()
     assert v["n"] == 5 and v["t"] == "1.5 2.0 " and np.allclose(v["s"], np.array(mean) * 2)
 
@@ -258,8 +270,11 @@ def test_popular_hashes_are_woven_into_the_clones(spark):
     woven = [(f, g, p, 0, h, q) for f, g, p, q, h in pairs if n[h] >= limit and f in starts]
     assert rough and woven and any(n[h] >= limit and f not in starts for f, _, _, _, h in pairs)
     every = sorted([*rough.values(), *woven])
-    want = [(f, i, *c) for f in sorted(starts) for i, c in enumerate(C.stitch([(g, p, q) for x, g, p, _, _, q in every if x == f]))]
-    assert sorted(tuple(r) for r in C.expand(C.all_matches(C.collisions(df), limit)).collect()) == sorted(want)
+    want = sorted((f, *c) for f in starts for c in C.stitch([(g, p, q) for x, g, p, _, _, q in every if x == f]))
+    columns = ["this_function", "that_function", "this_position", "this_length", "that_position", "that_length"]
+    assert sorted(tuple(r) for r in C.expand(C.all_matches(C.collisions(df), limit)).select(*columns).collect()) == want
+    found, names = C.coded(C.collisions(df))
+    assert sorted(tuple(r) for r in C.named(C.expand(C.all_matches(found, limit)), names).select(*columns).collect()) == want
 
 
 def test_clone_queries_take_popular_hashes(spark, tmp_path):
@@ -272,6 +287,28 @@ def test_clone_queries_take_popular_hashes(spark, tmp_path):
     assert len(got) == C.POPULAR - 1 and got.count((0, 8, 0, 8)) == 1 and got.count((3, 5, 3, 5)) == C.POPULAR - 2
 
 
+def plain_training(x, y, steps, w):
+    """One shard, step by step."""
+    k = max(1, int(0.02 * len(x) + 0.5))
+    batch = list(zip(x[:k], y[:k]))
+    for _ in range(steps):
+        wrong = [(f, t) for f, t in batch if f @ w >= 0 and t < 0]
+        gradient = np.mean([(1 / (1 + np.exp(-(f @ w))) - (t + 1) / 2) * f for f, t in [*batch, *wrong * 3]], axis=0)
+        w = w - gradient
+        if np.linalg.norm(gradient) < 1e-4:
+            break
+    return w
+
+
+def test_training_follows_the_rule():
+    rng = np.random.default_rng(1)
+    shards = [(rng.normal(size=(n, 36)), rng.choice([-1.0, 1.0], n)) for n in (1, 20, 130, 400, 401)]
+    for steps in (1, 7, 400):
+        got = linear.train_many(shards, steps, linear.START)
+        assert all(np.allclose(w, plain_training(x, y, steps, np.array(linear.START)), atol=1e-9) for w, (x, y) in zip(got, shards))
+    assert len(linear.START) == 36 and linear.batch_size(25) == 1 and linear.batch_size(75) == 2 and linear.batch_size(1) == 1
+
+
 def test_train_models_takes_all_steps(spark, tmp_path):
     from keyloom.plans import catalog
 
@@ -281,5 +318,26 @@ def test_train_models_takes_all_steps(spark, tmp_path):
     instances = catalog._instances(spark, str(tmp_path)).filter("shard = 0").toPandas().assign(k=lambda x: x["features"].map(tuple)).sort_values(["k", "label"])
     got = {r["shard"]: r["weights"] for r in catalog.QUERIES["train_models"](spark, str(tmp_path)).collect()}
     x, y = np.vstack(instances["features"].to_list()), instances["label"].to_numpy(float)
-    assert np.allclose(got[0], linear.train_one(x, y, 10_000, 7), atol=1e-6)
-    assert not np.allclose(got[0], linear.train_one(x, y, 200, 7), atol=1e-3)
+    assert np.allclose(got[0], plain_training(x, y, 10_000, np.zeros(64)), atol=1e-5)
+    assert not np.allclose(got[0], plain_training(x, y, 200, np.zeros(64)), atol=1e-3)
+
+
+def test_strict_instances(spark):
+    features, label = linear.parse_instance_strictly(F.col("l"))
+    df = spark.createDataFrame([("1.5 2 1",)], "l string").select(features.alias("f"), label.alias("y"))
+    assert tuple(df.first()) == ([1.5, 2.0], 1)
+    bad = spark.createDataFrame([("1.5 x 1",)], "l string").select(features.alias("f"))
+    with pytest.raises(Exception, match="no number: x"):
+        bad.collect()
+
+
+def test_gapped_sketches_equal_the_column_expression(spark):
+    from keyloom.functions import text as T
+
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(rng.choice(["t", "(", ")", "1", "", "="]) for _ in range(rng.randrange(0, 6))) for _ in range(rng.randrange(1, 14))) + rng.choice(["", "\n"]) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "function int, type2 string")
+    got = {(r["function"], r["position"]): r["hash"] for r in snippets._gapped(df).collect()}
+    parts = df.select("function", T.lines(F.col("type2")).alias("lines")).filter("size(lines) >= 5").select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 5)).alias("position"))
+    want = {(r["function"], r["position"]): r["h"] for r in parts.select("function", "position", T.sketch(T.get_lines(F.col("lines"), F.col("position"), 5)).alias("h")).collect() if r["h"]}
+    assert got == want and got
