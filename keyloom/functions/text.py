@@ -54,14 +54,15 @@ def lines(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("\n")), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
 
 
-def get_lines(parts: Column, start: Column, n: Column | int) -> Column:
+def get_lines(parts: Column, start: Column, n: Column | int, strict: bool = False) -> Column:
     """n lines from `start` (from 0) as one text. It ends in a newline and, but for start 0, begins with the newline before it.
 
-    Null if the range goes beyond the lines.
+    Null if the range goes beyond the lines; strict raises an error then.
     """
     n = F.lit(n) if isinstance(n, int) else n
     body = F.concat(F.when(start > 0, F.lit("\n")).otherwise(F.lit("")), F.array_join(F.slice(parts, start + 1, n), "\n"), F.lit("\n"))
-    return F.when((start >= 0) & (n >= 0) & (start + n <= F.size(parts)), body)
+    inside = F.when((start >= 0) & (n >= 0) & (start + n <= F.size(parts)), body)
+    return inside.otherwise(F.when(parts.isNotNull(), F.raise_error(F.lit("lines out of range")).cast("string"))) if strict else inside
 
 
 def count_lines(text: Column) -> Column:

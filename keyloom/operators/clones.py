@@ -345,6 +345,11 @@ def group_texts(clones: DataFrame, groups: DataFrame, strings: DataFrame, strict
     return out.select("grp", F.sha1(F.col("text").cast("binary")).alias("hash"), "text")
 
 
+def groups_by_text(texts: DataFrame) -> DataFrame:
+    """(hash, text, n_groups, grp) of (grp, text): groups with equal texts are one, named by the text's SHA-1, as in the reference's store; grp is the smallest. Null texts have none."""
+    return texts.filter("text is not null").groupBy(F.sha1(F.col("text").cast("binary")).alias("hash"), "text").agg(F.count(F.lit(1)).alias("n_groups"), F.min("grp").alias("grp"))
+
+
 def group_occurrences(groups: DataFrame, found: DataFrame) -> DataFrame:
     """(grp, function, code_file, version, project) rows: kept long, since a group may occur more often than fits a row."""
     return groups.join(found, "function").select("grp", "function", "code_file", "version", "project")

@@ -1,12 +1,14 @@
 """Keyed rows: shuffles that keep one value for each (row, column), lookups by prefix, pipelines of maps and shuffles."""
 
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.store import written
+from keyloom.store import discard, remove, shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,18 @@ def first_wins(df: DataFrame, spec: KeySpec) -> DataFrame:
     return best.select(*[F.col(c) if c in keys else F.col("__first")[c].alias(c) for c in df.columns])
 
 
+def last_wins(df: DataFrame, spec: KeySpec) -> DataFrame:
+    """One row for each (row, column): the last by spec.order, as a store keeps that overwrites what is put again. Without an order any row is kept."""
+    keys = [*spec.row, *spec.col]
+    df = spec.cell(df)
+    if not spec.order:
+        return df.dropDuplicates(keys)
+    ordered = list(spec.order)
+    rest = [c for c in df.columns if c not in keys and c not in ordered]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(c) for c in [*ordered, *rest]])).alias("__last"))
+    return best.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in df.columns])
+
+
 def shuffle(df: DataFrame, spec: KeySpec, partitions: int | None = None) -> DataFrame:
     """first_wins, then whole rows in range partitions, sorted by row and column: the contract of a sharded source."""
     df = first_wins(df, spec)
@@ -81,6 +95,81 @@ def read_column(df: DataFrame, spec: KeySpec, prefix: bytes | str) -> DataFrame:
     return df.filter(_has_prefix(spec.col[0], prefix)).orderBy(*spec.col, *spec.row)
 
 
+@dataclass(frozen=True)
+class Sharded:
+    """A stored source: cells in files of ascending row keys, and the column index, the same cells in files of ascending column keys.
+
+    A prefix is a range, so the files (and row groups) that cannot hold it are left out by their statistics: findShard without a search.
+    """
+
+    spark: SparkSession
+    path: str
+    spec: KeySpec
+
+    def cells(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def read_row(self, prefix: bytes | str) -> DataFrame:
+        """Cells whose row key starts with a prefix."""
+        return read_row(self.cells(), self.spec.row[0], prefix)
+
+    def read_column(self, prefix: bytes | str) -> DataFrame:
+        """Cells whose column key starts with a prefix, from the index alone: files are in the order of column and row."""
+        return read_row(self.spark.read.parquet(f"{self.path}/columns"), self.spec.col[0], prefix)
+
+    def shards(self) -> DataFrame:
+        """(shard, first, last): the least and greatest row key of each file."""
+        return self.cells().groupBy(F.input_file_name().alias("shard")).agg(F.min(self.spec.row[0]).alias("first"), F.max(self.spec.row[0]).alias("last"))
+
+
+def write_sharded(df: DataFrame, path: str, spec: KeySpec, shards: int | None = None) -> Sharded:
+    """The cells of df (first wins) as a Sharded source at a path; empty shards leave no file."""
+    cells = shuffle(df, spec, shards)
+    cells.write.mode("overwrite").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    ranged = stored.repartitionByRange(shards, *spec.col) if shards else stored.repartitionByRange(*spec.col)
+    ranged.sortWithinPartitions(*spec.col, *spec.row).write.mode("overwrite").parquet(f"{path}/columns")
+    return Sharded(df.sparkSession, path, spec)
+
+
+def encoded(df: DataFrame, spec: KeySpec) -> DataFrame:
+    """(row, col, contents), all binary: objects as cells. Keys are the JSON of their columns if there are several, else the one as it is; contents the JSON of all other columns (binary ones in base64)."""
+
+    def key(names: tuple[str, ...]) -> Column:
+        return F.col(names[0]).cast("binary") if len(names) == 1 and df.schema[names[0]].dataType.simpleString() in ("binary", "string") else F.to_json(F.struct(*names)).cast("binary")
+
+    rest = [c for c in df.columns if c not in (*spec.row, *spec.col)]
+    return spec.cell(df).select(key(spec.row).alias("row"), key(spec.col).alias("col"), F.to_json(F.struct(*[*spec.row, *spec.col, *rest]), {"ignoreNullFields": "false"}).cast("binary").alias("contents"))
+
+
+def decoded(cells: DataFrame, schema: str) -> DataFrame:
+    """The objects of encoded cells; contents that are none raise an error when read."""
+    parsed = F.from_json(F.col("contents").cast("string"), schema, {"mode": "FAILFAST"})
+    return cells.select(parsed.alias("o")).select("o.*")
+
+
+def per_partition(open_: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+    """A mapper with a life cycle: open_() is called once a task and gives an object with map(pdf) -> pdf, which is told close() at the end, also after an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapper = open_()
+        try:
+            for pdf in batches:
+                yield mapper.map(pdf)
+        finally:
+            mapper.close()
+
+    return lambda df: df.mapInPandas(run, schema)
+
+
+def with_sides(df: DataFrame, tag: str, names: Iterable[str], main: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(the rows of the main output, {name: rows} of the side outputs): a mapper's rows, told apart by their tag and stored once, so no output computes the mapper again. Rows of other tags are lost."""
+    df.write.partitionBy(tag).parquet(path := f"{shared_dir(df.sparkSession)}/sides-{uuid.uuid4().hex}")
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    outs = {n: back.filter(F.col(tag) == n).drop(tag) for n in (main, *names)}
+    return outs.pop(main), outs
+
+
 @dataclass
 class Counters:
     """Named counts of each stage, taken while it runs; they begin anew with every stage."""
@@ -104,8 +193,8 @@ Mapper = Callable[[DataFrame], DataFrame]
 class Pipeline:
     """influx -> (map -> shuffle)* -> map_and_efflux over lazy DataFrames; a mapper is any function of a DataFrame.
 
-    A mapper over single rows uses expressions, one over whole keyed rows uses grouped(). Side outputs are further
-    DataFrames that a mapper returns under names.
+    A mapper over single rows uses expressions, one over whole keyed rows uses grouped(), one with a life cycle per_partition(). Side outputs
+    come from with_sides(), or from side() where the stage is cheap. Mappers are plain functions: Spark sends a copy to each task.
     """
 
     df: DataFrame
@@ -120,8 +209,17 @@ class Pipeline:
         out = mapper(self.df)
         return Pipeline(self.counters.observe(out, name) if self.counters else out, self.spec, self.counters)
 
-    def shuffle(self, spec: KeySpec) -> "Pipeline":
-        return Pipeline(first_wins(self.df, spec), spec, self.counters)
+    def shuffle(self, spec: KeySpec, partitions: int | None = None) -> "Pipeline":
+        """First wins; whole rows in sorted ranges if a number of partitions is given, else left to the optimiser."""
+        return Pipeline(shuffle(self.df, spec, partitions) if partitions else first_wins(self.df, spec), spec, self.counters)
+
+    def run(self, mapper: Mapper) -> "Pipeline":
+        """An offline stage: the mapper sees the whole stored table (as a job of its own would) and may do with it what it likes."""
+        return Pipeline(mapper(written(self.df, "stage")), self.spec, self.counters)
+
+    def last_efflux(self, mapper: Mapper) -> "Sharded":
+        """The last map's cells, stored as a source that can be looked up."""
+        return write_sharded(mapper(self.df), f"{shared_dir(self.df.sparkSession)}/efflux-{uuid.uuid4().hex}", self.spec)
 
     def side(self, mapper: Mapper) -> DataFrame:
         """A side output of this stage."""
@@ -144,7 +242,7 @@ class Tables:
     """A registry: name -> (DataFrame, keys), also reachable in SQL as views."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.held = spark, {}
+        self.spark, self.held, self.made = spark, {}, []
 
     def install(self, name: str, df: DataFrame, spec: KeySpec) -> None:
         df.createOrReplaceTempView(name)
@@ -161,9 +259,33 @@ class Tables:
         df, spec = self.held[name]
         return read_column(df, spec, prefix)
 
+    def create(self, name: str, df: DataFrame, spec: KeySpec, path: str) -> Sharded:
+        """A stored table under a path, with its column index; replaces one of that name."""
+        stored = write_sharded(df, f"{path}/{name}", spec)
+        self.install(name, stored.cells(), spec)
+        return stored
+
+    def open(self, name: str, spec: KeySpec, path: str) -> Sharded:
+        """A stored table; that it exists shows when it is read."""
+        return Sharded(self.spark, f"{path}/{name}", spec)
+
+    def drop(self, name: str, path: str | None = None) -> None:
+        """Takes a table off the registry and, if a path is given, deletes its files. A table that is not there is no error."""
+        self.spark.catalog.dropTempView(name)
+        self.held.pop(name, None)
+        if path:
+            remove(self.spark, f"{path}/{name}")
+
+    def close(self) -> None:
+        """Deletes the temporary tables."""
+        for df in self.made:
+            discard(df)
+        self.made.clear()
+
     def temporary(self, df: DataFrame, name: str = "temporary") -> DataFrame:
-        """Stored in the shared folder under a random name."""
-        return written(df, name)
+        """Stored in the shared folder under a random name, until close()."""
+        self.made.append(written(df, name))
+        return self.made[-1]
 
 
 def from_objects(spark: SparkSession, cells: Iterable[tuple], schema: str, spec: KeySpec) -> DataFrame:

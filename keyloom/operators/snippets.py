@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import text as T
+from keyloom.functions.tokenizer import functions_of
 
 LITERAL, RENAMED, GAPPED = 1, 2, 3
 
@@ -90,12 +91,14 @@ def snippets(functions: DataFrame, key: str = "hash", contents: str = "contents"
     return out
 
 
-def populated(files: DataFrame, functions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """projects, versions, code_files (and functions, if given) of (project_name, version_name, path, contents) rows.
+def populated(files: DataFrame, with_functions: bool = False) -> dict[str, DataFrame]:
+    """projects, versions, code_files (and functions, strings and snippets) of (project_name, version_name, path, contents) rows.
 
     A file's hash is the SHA-1 of its contents; a version's is the exclusive or of its distinct file hashes, a project's
     that of its distinct version hashes. Versions without files and projects without versions do not appear. The digests
-    are aggregates of bit lanes, combined on the map side.
+    are aggregates of bit lanes, combined on the map side. with_functions splits each distinct contents once into functions
+    (hash, code_file, contents, base_line), each distinct function text once (strings) and its windows once (snippets): what the
+    reference's caches of written files and functions are for.
     """
     hashed = files.filter("contents is not null").withColumn("hash", F.sha1(F.col("contents").cast("binary")))
     of = ["project_name", "version_name"]
@@ -107,4 +110,9 @@ def populated(files: DataFrame, functions: DataFrame | None = None) -> dict[str,
         "versions": named.select(F.col("version_hash").alias("hash"), F.col("project_hash").alias("project"), F.col("version_name").alias("name")),
         "code_files": hashed.join(versions, of).select("hash", F.col("version_hash").alias("version"), "path", "contents").distinct(),
     }
-    return out if functions is None else out | {"functions": functions}
+    if with_functions:
+        texts = hashed.groupBy("hash").agg(F.min("contents").alias("contents"))
+        functions = functions_of(texts, "hash", "contents").select(F.lower(F.hex("hash")).alias("hash"), "code_file", "contents", "base_line")
+        strings = functions.groupBy("hash").agg(F.min("contents").alias("contents"))
+        out |= {"functions": functions, "strings": strings, "snippets": snippets(strings)}
+    return out

@@ -33,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def hexed(c: str):
+def hexed(c):
     return F.lower(F.hex(c))
 
 
@@ -64,10 +64,15 @@ def word_total(spark: SparkSession, d: str) -> DataFrame:
     return wordcount.word_totals(word_count_by_doc(spark, d), "doc_id").withColumnRenamed("first_key", "first_doc")
 
 
-@query(r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '\w+')) AS word FROM documents) GROUP BY word")
+_STARTS = r"""p AS (SELECT DISTINCT doc_id, text, regexp_extract_all(text, '\w+') AS w, regexp_split_to_array(text, '\w+') AS g FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, text, unnest(w) AS word, unnest(list_transform(g[1 : len(w)], lambda x: length(x))) AS gap, generate_subscripts(w, 1) AS i FROM p WHERE len(w) > 0),
+starts AS (SELECT doc_id, word, (sum(gap + length(word)) OVER (PARTITION BY doc_id, text ORDER BY i) - length(word))::INTEGER AS start FROM u)"""
+
+
+@query(f"WITH {_STARTS} SELECT doc_id, word, start FROM starts")
 def word_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    found = wordcount.word_occurrences(table(spark, d, "documents"), "doc_id", "text")
-    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Every occurrence with its place; repeated rows of a document count once."""
+    return wordcount.word_occurrences(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
 
 
 @query(r"SELECT doc_id, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\w+')) AS word FROM documents) WHERE word = 'your' GROUP BY doc_id")
@@ -76,10 +81,21 @@ def word_filter(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("word = 'your'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"SELECT lower(hex(encode(word))) AS word_bytes, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(contents, '[ \t\n\x0b\f\r]+')) AS word FROM code_files WHERE contents IS NOT NULL) WHERE word <> '' GROUP BY word")
+def latin1_words(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts over bytes read as ISO-8859-1; words shown by their bytes."""
+    raw = table(spark, d, "code_files").select(F.col("contents").cast("binary").alias("raw"))
+    return wordcount.latin1_words(raw, "raw").select(F.lower(F.hex(F.encode("word", "ISO-8859-1"))).alias("word_bytes"), "n")
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, sum(strlen('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}'))::BIGINT AS n_bytes FROM documents WHERE n_chars IS NOT NULL")
+def output_size(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.output_size(table(spark, d, "documents").select("doc_id", "n_chars").filter("n_chars is not null"))
+
+
 @query("SELECT event_type, min(value) AS least, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def timings_min_median(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").filter("value is not null")
-    return rows.groupBy("event_type").agg(F.min("value").alias("least"), wordcount.upper_median(F.col("value")).alias("median"))
+    return wordcount.median_and_minimum(table(spark, d, "events"), "event_type", "value")
 
 
 # --- keyed rows
@@ -114,13 +130,89 @@ def read_column_prefix(spark: SparkSession, d: str) -> DataFrame:
     return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position", "clone_type")
 
 
-@query("SELECT clone_type, count(*)::BIGINT AS n, count(hash)::BIGINT AS n_keyed FROM snippets GROUP BY clone_type")
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, clone_type, position, length FROM (SELECT *, row_number() OVER (PARTITION BY hash, function ORDER BY clone_type DESC, position DESC, length DESC) AS r FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL) WHERE r = 1")
+def keyed_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    out = keyed.last_wins(table(spark, d, "snippets"), SNIPPET_KEYS)
+    return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "clone_type", "position", "length")
+
+
+_FIRST = "first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash, function ORDER BY clone_type, position, length) AS r FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL) WHERE r = 1)"
+
+
+def _stored(spark: SparkSession, d: str) -> keyed.Sharded:
+    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), SNIPPET_KEYS).map(keyed.identity)
+    return flow.last_efflux(keyed.identity)
+
+
+@query(f"WITH {_FIRST} SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position FROM first WHERE lower(hex(hash)) LIKE '3f%'")
+def stored_read_row(spark: SparkSession, d: str) -> DataFrame:
+    """A pipeline's stored result, looked up by row key."""
+    return _stored(spark, d).read_row(b"\x3f").select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position")
+
+
+@query(f"WITH {_FIRST} SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position FROM first WHERE lower(hex(function)) LIKE 'ff%'")
+def stored_read_column(spark: SparkSession, d: str) -> DataFrame:
+    """The same by column key, from the column index."""
+    return _stored(spark, d).read_column(b"\xff").select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position")
+
+
+@query(f"WITH {_FIRST} SELECT clone_type, count(*)::BIGINT AS n, lower(hex(min(hash))) AS least, lower(hex(max(hash))) AS greatest FROM first GROUP BY clone_type")
+def ranged_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted ranges of whole rows, put together again."""
+    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), SNIPPET_KEYS).shuffle(SNIPPET_KEYS, 16)
+    return flow.df.groupBy("clone_type").agg(F.count(F.lit(1)).alias("n"), hexed(F.min("hash")).alias("least"), hexed(F.max("hash")).alias("greatest"))
+
+
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(function)) AS function, position, n FROM (SELECT hash, function, position, count(*) OVER (PARTITION BY hash)::BIGINT AS n FROM (SELECT hash, function, min(position) AS position FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL AND clone_type = 2 GROUP BY hash, function))")
 def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
-    def count(df: DataFrame) -> DataFrame:
-        return df.groupBy("clone_type").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("n_keyed"))
+    """influx, a map, a shuffle, a map over whole rows, the last map: the renamed snippets with the size of their row."""
 
-    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), keyed.KeySpec(("clone_type",), ("clone_type",)), keyed.Counters())
-    return flow.map(keyed.identity, "identity").map(count, "count").shuffle(flow.spec).map_and_efflux(keyed.identity)
+    def renamed(df: DataFrame) -> DataFrame:
+        return df.filter("clone_type = 2").groupBy("hash", "function").agg(F.min("position").alias("position"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(df.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
+
+    keys = keyed.KeySpec(("hash",), ("function",))
+    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), keys, keyed.Counters()).map(renamed, "renamed").shuffle(keys).run(sized)
+    out = flow.map_and_efflux(keyed.identity)
+    return out.select(hexed("hash").alias("hash"), hexed("function").alias("function"), "position", "n")
+
+
+@query("""SELECT DISTINCT file_id, CASE WHEN path LIKE '%.java' THEN 'main' WHEN path IS NULL THEN 'unnamed' ELSE 'other' END AS output FROM code_files WHERE contents IS NOT NULL""")
+def side_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Files told apart by one mapper with two side outputs, which is computed once."""
+    tag = F.when(F.col("path").endswith(".java"), "main").when(F.col("path").isNull(), "unnamed").otherwise("other")
+    rows = table(spark, d, "code_files").filter("contents is not null").select("file_id", tag.alias("output"))
+    main, sides = keyed.with_sides(rows, "output", ["other", "unnamed"], "main")
+    out = main.withColumn("output", F.lit("main"))
+    for name, side in sides.items():
+        out = out.unionByName(side.withColumn("output", F.lit(name)))
+    return out.distinct()
+
+
+class _Lengths:
+    def map(self, pdf):
+        return pdf.assign(n=pdf["contents"].str.len().astype("int64"))[["file_id", "n"]]
+
+    def close(self):
+        pass
+
+
+@query("SELECT DISTINCT file_id, length(contents)::BIGINT AS n FROM code_files WHERE contents IS NOT NULL")
+def mapper_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths by a mapper that is opened and closed once a task."""
+    rows = table(spark, d, "code_files").filter("contents is not null").select("file_id", "contents")
+    return keyed.per_partition(_Lengths, "file_id bigint, n bigint")(rows).distinct()
+
+
+@query("SELECT lower(hex(hash)) AS hash, lower(hex(code_file)) AS code_file, coalesce(min(base_line), -1) AS base_line, sha1(min(contents)) AS text_hash FROM code_functions WHERE hash IS NOT NULL AND code_file IS NOT NULL GROUP BY ALL")
+def encoded_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Functions as binary cells and back."""
+    rows = table(spark, d, "code_functions").filter("hash is not null and code_file is not null").groupBy("hash", "code_file").agg(F.min("base_line").alias("base_line"), F.min("contents").alias("contents"))
+    cells = keyed.encoded(rows, keyed.KeySpec(("hash",), ("code_file",)))
+    back = keyed.decoded(cells, "hash binary, code_file binary, base_line int, contents string")
+    return back.select(hexed("hash").alias("hash"), hexed("code_file").alias("code_file"), F.coalesce("base_line", F.lit(-1)).alias("base_line"), F.sha1(F.col("contents").cast("binary")).alias("text_hash"))
 
 
 # --- normal forms and fingerprints
@@ -198,19 +290,21 @@ def rough_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(hexed("this_function").alias("this_function"), hexed("that_function").alias("that_function"), "this_position", "that_position", hexed("hash").alias("hash"))
 
 
-@query()
+@query(f"""WITH {S.COLLIDING}, keys AS (SELECT function, array_to_string(list_transform(range(0, octet_length(function)), lambda i: translate(substr(lower(hex(function)), 2 * i + 1, 1), '0123456789abcdef', '89abcdef01234567') || substr(lower(hex(function)), 2 * i + 2, 1)), '') AS o FROM (SELECT DISTINCT function FROM colliding)),
+s AS (SELECT c.*, o FROM colliding c JOIN keys USING (function)),
+r AS (SELECT a.function AS f, b.function AS g, a.position AS p, b.position AS q, hash, row_number() OVER (PARTITION BY a.function, b.function, a.position ORDER BY hash, b.position) AS r FROM s a JOIN s b USING (hash) WHERE a.n < 500 AND a.o < b.o)
+SELECT lower(hex(f)) AS this_function, lower(hex(g)) AS that_function, p AS this_position, q AS that_position, lower(hex(hash)) AS hash FROM r WHERE r = 1""")
 def rough_pairs_signed(spark: SparkSession, d: str) -> DataFrame:
-    """With functions ordered by signed bytes; counted for each this_function."""
+    """With functions ordered by signed bytes."""
     out = C.rough_pairs(_colliding(spark, d), signed=True)
-    return out.groupBy(hexed("this_function").alias("this_function")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(hexed("this_function").alias("this_function"), hexed("that_function").alias("that_function"), "this_position", "that_position", hexed("hash").alias("hash"))
 
 
-@query(f"""WITH {S.COLLIDING}, {S.rough(_POPULAR)}, pop AS (SELECT * FROM colliding WHERE n >= {_POPULAR}), mine AS (SELECT * FROM pop WHERE function IN (SELECT this_function FROM rough))
-SELECT lower(hex(a.function)) AS this_function, count(*)::BIGINT AS n, sum(a.position)::BIGINT AS this_positions, sum(b.position)::BIGINT AS that_positions FROM mine a JOIN pop b USING (hash) WHERE a.function < b.function GROUP BY a.function""")
+@query(f"WITH {S.COLLIDING}, {S.rough(_POPULAR)}, {S.woven(_POPULAR)} SELECT lower(hex(this_function)) AS this_function, lower(hex(that_function)) AS that_function, this_position, that_position, lower(hex(hash)) AS hash FROM woven")
 def woven_pairs(spark: SparkSession, d: str) -> DataFrame:
     colliding = _colliding(spark, d)
     out = C.woven_pairs(C.rough_pairs(colliding, _POPULAR), C.popular_snippets(colliding, _POPULAR))
-    return out.groupBy(hexed("this_function").alias("this_function")).agg(F.count(F.lit(1)).alias("n"), F.sum("this_position").alias("this_positions"), F.sum("that_position").alias("that_positions"))
+    return out.select(hexed("this_function").alias("this_function"), hexed("that_function").alias("that_function"), "this_position", "that_position", hexed("hash").alias("hash"))
 
 
 _CLONE_ROWS = "c AS (SELECT DISTINCT this.function AS a, that.function AS b FROM clones WHERE this.function IS NOT NULL AND that.function IS NOT NULL)"
@@ -282,12 +376,22 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[hexed(c).alias(c) for c in ("function", "code_file", "version", "project")])
 
 
-@query("SELECT DISTINCT lower(hex(hash)) AS function, lower(hex(code_file)) AS code_file FROM code_functions f WHERE NOT EXISTS (SELECT 1 FROM code_files c WHERE c.hash = f.code_file)")
+@query("SELECT DISTINCT lower(hex(hash)) AS function, lower(hex(code_file)) AS code_file FROM code_functions f WHERE NOT EXISTS (SELECT 1 FROM code_files c WHERE c.hash = f.code_file AND c.path LIKE 'src/%')")
 def missing_links(spark: SparkSession, d: str) -> DataFrame:
-    out = C.missing_links(table(spark, d, "code_functions"), table(spark, d, "code_files"))
+    """Functions whose file is not among those below src."""
+    out = C.missing_links(table(spark, d, "code_functions"), table(spark, d, "code_files").filter("path like 'src/%'"))
     return out.select(hexed("hash").alias("function"), hexed("code_file").alias("code_file")).distinct()
 
 
+@query("SELECT sha1(text) AS hash, n_groups, n_occurrences FROM (SELECT text, count(*)::BIGINT AS n_groups, sum(coalesce(len(occurrences), 0))::BIGINT AS n_occurrences FROM clone_groups WHERE text IS NOT NULL GROUP BY text)")
+def group_text_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Stored groups under the SHA-1 of their text: those with equal texts are one."""
+    rows = table(spark, d, "clone_groups").withColumn("grp", F.monotonically_increasing_id())
+    merged = C.groups_by_text(rows).select("hash", "text", "n_groups")
+    sizes = rows.groupBy("text").agg(F.sum(F.coalesce(F.size("occurrences"), F.lit(0))).alias("n_occurrences"))
+    return merged.join(sizes, "text").select("hash", "n_groups", "n_occurrences")
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clones").select(F.col("this.function").alias("this_function"), F.col("that.function").alias("that_function"))
 
@@ -308,7 +412,10 @@ def group_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[hexed(c).alias(c) for c in ("grp", "function", "code_file", "version", "project")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.FUNCTIONS}, {S.COLLIDING}, {S.rough()}, {S.woven()}, {S.clones()}, {S.fine()},
+e AS (SELECT this_function AS a, that_function AS b FROM fine UNION SELECT that_function, this_function FROM fine), reach AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM reach r JOIN e ON r.w = e.a), g AS (SELECT v, min(w) AS grp FROM reach GROUP BY v),
+heads AS (SELECT grp, min({{'f': this_function, 't': that_function, 'p': this_position, 'n': this_length}}) AS c FROM fine JOIN g ON v = this_function GROUP BY grp)
+SELECT grp, sha1(array_to_string(l[c.p + 1 : c.p + c.n], chr(10))) AS hash FROM heads JOIN texts ON fn = c.f""")
 def clone_group_texts(spark: SparkSession, d: str) -> DataFrame:
     """The groups of the fine clones with their text's SHA-1."""
     clones = written(_fine(spark, d), "clones")
@@ -422,29 +529,52 @@ def job_statistics(spark: SparkSession, d: str) -> DataFrame:
     return etl.job_statistics(reports, "json", "event_id").select("event_id", "name", "duration", "state")
 
 
-@query("SELECT repo, count(*)::BIGINT AS n FROM (SELECT lower(hex(project)) AS repo FROM versions WHERE project IS NOT NULL AND hash IS NOT NULL AND name IS NOT NULL AND name <> '' AND name NOT LIKE '%' || chr(10) || '%') GROUP BY repo")
+@query("SELECT DISTINCT lower(hex(project)) AS repo, lower(hex(hash)) AS sha, name FROM versions WHERE project IS NOT NULL AND hash IS NOT NULL AND name IS NOT NULL AND name <> '' AND name NOT LIKE '%' || chr(10) || '%' AND name NOT LIKE '%' || chr(13) || '%'")
 def packed_references(spark: SparkSession, d: str) -> DataFrame:
-    """Versions written as packed references of their project, parsed back and counted."""
-    rows = table(spark, d, "versions").filter("project is not null and hash is not null and name is not null and name <> ''").filter(~F.col("name").contains("\n"))
-    line = F.concat(hexed("hash"), F.lit(" refs/heads/"), "name")
-    refs = rows.groupBy(hexed("project").alias("repo")).agg(F.concat(F.lit("# pack-refs with: peeled\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    return files.packed_refs(refs, "repo", "text").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    """Versions written as packed references of their project, between comments, peeled and remote ones, and parsed back."""
+    rows = table(spark, d, "versions").filter("project is not null and hash is not null and name is not null and name <> ''").filter(~F.col("name").rlike(r"[\r\n]"))
+    sha = hexed("hash")
+    line = F.concat(sha, F.when(F.length("name") > 8, F.lit(" refs/tags/")).otherwise(F.lit(" refs/heads/")), "name", F.lit("\n^"), sha, F.lit("\n"), sha, F.lit(" refs/remotes/origin/"), "name")
+    refs = rows.groupBy(hexed("project").alias("repo")).agg(F.concat(F.lit("# pack-refs with: peeled\n"), F.array_join(F.collect_list(line), "\r\n")).alias("text"))
+    return files.packed_refs(refs, "repo", "text").distinct()
 
 
-@query("SELECT path, CASE WHEN regexp_matches(path, '^.+?/[^/]+/objects/.*$') THEN regexp_extract(path, '^.+?/([^/]+)/objects/.*$', 1) ELSE path END AS project FROM (SELECT DISTINCT path FROM code_files WHERE path IS NOT NULL)")
+@query("""SELECT path, place, CASE place WHEN 'plain' THEN path ELSE project END AS project FROM (
+SELECT DISTINCT path, place, regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS project FROM code_files, (VALUES ('plain'), ('git'), ('bare')) AS p(place) WHERE path LIKE '%/%.%') WHERE project <> ''""")
 def project_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "code_files").filter("path is not null").select("path").distinct().withColumn("project", files.project_name(F.col("path")))
+    """Names of repositories that lie at the files' places: in a work tree, bare, and no repository at all."""
+    rows = table(spark, d, "code_files").filter("path like '%/%.%'").select("path", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem")).distinct().filter("stem <> ''")
+    rows = rows.select("path", "stem", F.explode(F.array(F.lit("plain"), F.lit("git"), F.lit("bare"))).alias("place"))
+    at = F.when(F.col("place") == "git", F.concat(F.lit("repos/"), "stem", F.lit("/.git/objects/pack/a.pack"))).when(F.col("place") == "bare", F.concat(F.lit("repos/"), "stem", F.lit("/objects/pack/a.pack"))).otherwise(F.col("path"))
+    return rows.select("path", "place", files.project_name(at).alias("project"))
+
 
+_PLAYS = "plays AS (SELECT doc_id, 'Prologue ' || replace(replace(text, chr(10) || chr(10), chr(10) || 'ACT IV' || chr(10)), '. ', '. ACT XI ') AS play FROM documents WHERE text IS NOT NULL)"
 
-@query("""SELECT doc_id, (i - 1)::INTEGER AS number, sha1(p[i]) AS content_hash FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\bACT\\s[IVX]+') AS p FROM documents WHERE text IS NOT NULL))""")
+
+@query(rf"""WITH {_PLAYS} SELECT DISTINCT doc_id, (i - 1)::INTEGER AS number, sha1(p[i]) AS content_hash FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(play, '\bACT\s[IVX]+') AS p FROM plays))""")
 def acts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
-    found = docs.select("doc_id", F.posexplode(F.split("text", r"\bACT\s[IVX]+", -1)).alias("number", "content"))
-    return found.select("doc_id", "number", F.sha1(F.col("content").cast("binary")).alias("content_hash"))
+    """Documents as plays: an act begins at each paragraph and sentence."""
+    play = F.concat(F.lit("Prologue "), F.replace(F.replace("text", F.lit("\n\n"), F.lit("\nACT IV\n")), F.lit(". "), F.lit(". ACT XI ")))
+    found = files.acts(table(spark, d, "documents").select("doc_id", play.alias("play")), "play", "doc_id")
+    return found.select("doc_id", "number", F.sha1(F.col("content").cast("binary")).alias("content_hash")).distinct()
 
 
-@query()
+@query(r"""WITH t AS (SELECT DISTINCT file_id, contents FROM code_files WHERE contents IS NOT NULL AND contents NOT LIKE chr(65279) || '%')
+SELECT file_id, v AS written, CASE v WHEN 'UTF-16LE' THEN v WHEN 'UTF-16BE' THEN v WHEN 'UTF-8 with mark' THEN 'UTF-8' ELSE CASE WHEN strlen(contents) = length(contents) THEN 'US-ASCII' ELSE 'UTF-8' END END AS charset
+FROM t, (VALUES ('UTF-8'), ('UTF-8 with mark'), ('UTF-16LE'), ('UTF-16BE')) AS e(v)""")
 def charsets(spark: SparkSession, d: str) -> DataFrame:
-    """The guessed encoding of each file's bytes, counted."""
-    raw = table(spark, d, "code_files").filter("contents is not null").select(F.col("contents").cast("binary").alias("raw"))
-    return raw.groupBy(guess_charset("raw").alias("charset")).agg(F.count(F.lit(1)).alias("n"))
+    """The guessed encodings of each file's bytes, as they are and written in three more ways."""
+    rows = table(spark, d, "code_files").filter("contents is not null").filter(~F.col("contents").startswith("﻿")).select("file_id", "contents").distinct()
+    marked = F.concat(F.lit("﻿"), F.col("contents"))
+    forms = {"UTF-8": F.encode("contents", "UTF-8"), "UTF-8 with mark": F.encode(marked, "UTF-8"), "UTF-16LE": F.encode(marked, "UTF-16LE"), "UTF-16BE": F.encode(marked, "UTF-16BE")}
+    each = rows.select("file_id", F.explode(F.array(*[F.struct(F.lit(k).alias("written"), v.alias("raw")) for k, v in forms.items()])).alias("e")).select("file_id", "e.*")
+    return each.select("file_id", "written", guess_charset("raw").alias("charset"))
+
+
+@query(r"""SELECT doc_id, "offset", line_hash FROM (SELECT doc_id, text, i, sha1(l) AS line_hash, (sum(strlen(l) + 1) OVER (PARTITION BY doc_id, text ORDER BY i) - strlen(l) - 1)::BIGINT AS "offset" FROM (
+SELECT doc_id, text, unnest(p) AS l, generate_subscripts(p, 1) AS i FROM (SELECT DISTINCT doc_id, text, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS p FROM documents WHERE text IS NOT NULL AND text <> '')))""")
+def line_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each document with the byte at which they begin."""
+    out = files.text_line_offsets(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
+    return out.select(F.col("key").alias("doc_id"), "offset", F.sha1(F.col("contents").cast("binary")).alias("line_hash"))

@@ -11,15 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is named (tests, local use)."""
+    """The session's checkpoint folder. Where none is named: a temporary one if all tasks run on this machine (tests, local use), else an error, since tasks elsewhere would not see it."""
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: What written() has stored and nobody has deleted, by application.
+_HELD: dict[str, set[str]] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that written() has stored in this application: for when no result that was built on them is to be read any more."""
+    for path in _HELD.pop(spark.sparkContext.applicationId, set()):
+        remove(spark, path)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed once and read back from the shared folder. The result has the attribute stored_at."""
     spark = df.sparkSession
@@ -27,6 +47,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
@@ -39,5 +60,5 @@ def stored_bytes(df: DataFrame) -> int:
 
 def discard(df: DataFrame) -> None:
     """Deletes a written() table that no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.stored_at)
+    _HELD.get(df.sparkSession.sparkContext.applicationId, set()).discard(df.stored_at)

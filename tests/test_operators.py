@@ -1,5 +1,6 @@
 """Keyed rows, clones, word counts, classifier, rankings, sources and streams."""
 
+import os
 import random
 import subprocess
 
@@ -62,7 +63,114 @@ def test_pipeline_counters_and_registry(spark, cells, tmp_path):
     assert tables.read_row("cells_table", b"\xaa\xad").count() == 1 and tables.read_column("cells_table", b"\x07").count() == 2
     kept = tables.temporary(out)
     assert kept.count() == len(CELLS) and store.stored_bytes(kept) > 0
-    store.discard(kept)
+    path = kept.stored_at.removeprefix("file:")
+    tables.close()
+    assert not os.path.exists(path)
+    stored = tables.create("made", cells, SPEC, str(tmp_path))
+    assert tables.open("made", SPEC, str(tmp_path)).read_row(b"\xaa\xac").count() == 2 and tables.source("made").count() == len(CELLS)
+    assert sorted(bytes(r["row"]).hex() for r in stored.read_column(b"\x00").collect()) == ["aaad", "ff6164"]
+    tables.drop("made", str(tmp_path))
+    tables.drop("never made")
+    assert not (tmp_path / "made").exists() and "made" not in tables.held
+
+
+def test_stored_sources_prune_by_file(spark, tmp_path):
+    df = spark.createDataFrame([(bytes([i]), bytes([255 - i]), i) for i in range(250)], "row binary, col binary, n int")
+    stored = keyed.write_sharded(df, str(tmp_path / "s"), keyed.KeySpec(("row",), ("col",)), 5)
+    shards = sorted((bytes(r["first"]), bytes(r["last"])) for r in stored.shards().collect())
+    assert len(shards) == 5 and all(a[1] < b[0] for a, b in zip(shards, shards[1:]))
+    columns = sorted((bytes(r["a"]), bytes(r["b"])) for r in spark.read.parquet(str(tmp_path / "s" / "columns")).groupBy(F.input_file_name()).agg(F.min("col").alias("a"), F.max("col").alias("b")).collect())
+    assert all(a[1] < b[0] for a, b in zip(columns, columns[1:]))
+    assert [r["n"] for r in stored.read_row(b"\x07").collect()] == [7] and [r["n"] for r in stored.read_column(b"\x07").collect()] == [248]
+    empty = keyed.write_sharded(df.limit(0), str(tmp_path / "e"), keyed.KeySpec(("row",), ("col",)))
+    assert empty.read_row(b"").count() == 0 and empty.shards().count() == 0
+
+
+def test_last_wins(cells):
+    got = {(bytes(r["row"]), bytes(r["col"])): r["value"] for r in keyed.last_wins(cells, SPEC).collect()}
+    assert got == {(r, c): v for r, c, v in CELLS} | {CELLS[0][:2]: "later"}
+    assert keyed.last_wins(cells.limit(0), SPEC).count() == 0
+
+
+def test_encoded_cells(spark):
+    spec = keyed.KeySpec(("a",), ("b", "c"))
+    df = spark.createDataFrame([("x", b"\x00\xff", 1, None), ("y", b"", 2, 1.5), (None, b"z", 3, 1.0)], "a string, b binary, c int, d double")
+    cells = keyed.encoded(df, spec)
+    assert {bytes(r["row"]) for r in cells.collect()} == {b"x", b"y"}
+    assert sorted(map(str, keyed.decoded(cells, "a string, b binary, c int, d double").collect())) == sorted(map(str, df.filter("a is not null").collect()))
+    with pytest.raises(Exception):
+        keyed.decoded(cells.withColumn("contents", F.lit(b"no json")), "a string").collect()
+
+
+def test_mapper_lifecycle_and_sides(spark, tmp_path):
+    class Opened:
+        """Writes to a folder what happens to it."""
+
+        def __init__(self, folder):
+            self.folder, self.n = folder, 0
+
+        def map(self, pdf):
+            self.n += len(pdf)
+            if (pdf["v"] < 0).any():
+                raise ValueError("negative")
+            return pdf
+
+        def close(self):
+            import uuid
+
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").write(str(self.n))
+
+    folder = str(tmp_path)
+    df = spark.range(100, numPartitions=3).selectExpr("id as v")
+    assert keyed.per_partition(lambda: Opened(folder), "v bigint")(df).count() == 100
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 100 and len(list(tmp_path.iterdir())) == 3
+    with pytest.raises(Exception, match="negative"):
+        keyed.per_partition(lambda: Opened(folder), "v bigint")(df.selectExpr("v - 99 as v")).count()
+    assert len(list(tmp_path.iterdir())) > 3
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            ran.add(len(pdf))
+            yield pdf.assign(t=["even" if v % 2 == 0 else "odd" for v in pdf["v"]])
+
+    main, sides = keyed.with_sides(df.mapInPandas(counted, "v bigint, t string"), "t", ["odd", "none"], "even")
+    assert (main.count(), sides["odd"].count(), sides["none"].count(), ran.value) == (50, 50, 0, 100)
+
+
+def test_offline_stage_and_last_efflux(cells):
+    flow = keyed.Pipeline.influx(cells, SPEC).run(lambda df: df.filter("value <> 'a'")).shuffle(SPEC, 3)
+    stored = flow.last_efflux(keyed.identity)
+    assert stored.cells().count() == len(CELLS) and stored.read_row(b"\xaa\xad").count() == 1
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    class Nowhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class C:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class D:
+                                isDefined = staticmethod(lambda: False)
+
+                            return D
+
+                    return C
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Nowhere)
 
 
 def test_lookup_join_with_a_hot_key(spark):
@@ -159,20 +267,39 @@ def test_clone_groups(spark):
 
 def test_populated_and_snippets(spark):
     rows = spark.createDataFrame([("p", "v1", "a", "x"), ("p", "v1", "b", "y"), ("p", "v2", "a", "x"), ("p", "v1", "c", "x"), ("q", "v", "a", None)], "project_name string, version_name string, path string, contents string")
-    made = snippets.populated(rows, rows)
+    made = snippets.populated(rows)
     assert made["projects"].count() == 1 and made["versions"].count() == 2 and made["code_files"].count() == 4
     fns = spark.createDataFrame([("f", "a b c d e\n" * 6), ("g", "short"), ("h", None)], "hash string, contents string")
     got = {(r["clone_type"], r["position"]) for r in snippets.snippets(fns).collect()}
     assert got == {(k, p) for k in (1, 2, 3) for p in (0, 1)}
 
 
+def test_registered_functions(spark):
+    method = "  int f(int a) {\n    b();\n    c();\n    d();\n    e();\n    return 1;\n  }\n"
+    text = "package a;\n\nclass A {\n" + method + "}\n"
+    rows = spark.createDataFrame([("p", "v1", "A.java", text), ("p", "v2", "A.java", text), ("p", "v2", "B.java", None)], "project_name string, version_name string, path string, contents string")
+    made = snippets.populated(rows, with_functions=True)
+    assert made["code_files"].count() == 1 and [r["base_line"] for r in made["functions"].collect()] == [3] and made["strings"].count() == 1
+    assert {r["clone_type"] for r in made["snippets"].collect()} >= {1, 2}
+
+
+def test_groups_of_equal_texts_are_one(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "grp int, text string")
+    assert sorted((r["text"], r["n_groups"], r["grp"]) for r in C.groups_by_text(df).collect()) == [("x", 2, 1), ("y", 1, 3)]
+
+
 def test_word_counts(spark):
     docs = spark.createDataFrame([(1, "a b  a\n"), (2, "b"), (3, None), (4, "")], "id int, t string")
     by = wordcount.words_by_doc(docs, "id", "t")
     assert {tuple(r) for r in by.collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1)}
     assert {tuple(r) for r in wordcount.word_totals(by, "id").collect()} == {("a", 2, 1), ("b", 2, 1)}
     assert wordcount.words_by_doc(docs, "id", "t", keep_empty=True).filter("word = ''").count() == 2
-    assert docs.select(wordcount.upper_median(F.col("id")).alias("m")).first()["m"] == 3
+    values = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 2), ("b", None), ("c", None)], "g string, v int")
+    assert sorted(map(tuple, wordcount.median_and_minimum(values, "g", "v").collect())) == [("a", 1, 5), ("b", 2, 2)]
+    assert sorted(map(tuple, wordcount.word_occurrences(spark.createDataFrame([(1, "ab, cé_1 ab"), (2, None), (3, "")], "id int, t string"), "id", "t").collect())) == [(1, "_1", 6), (1, "ab", 0), (1, "ab", 9), (1, "c", 4)]
+    raw = spark.createDataFrame([("é a\n".encode(),), (None,), (b"",), (b"a",)], "c binary")
+    assert sorted(map(tuple, wordcount.latin1_words(raw, "c").collect())) == [("a", 2), ("Ã©", 1)]
+    assert tuple(wordcount.output_size(docs.limit(0)).first()) == (0, 0) and wordcount.output_size(docs).first()["n_rows"] == 4
 
 
 def test_classifier(spark):
@@ -219,6 +346,15 @@ def test_sources(spark, tmp_path):
     assert [r["n"] for r in names.collect()] == ["c", "repo", "plain"]
 
 
+def test_offsets(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é\nb\n\nc".encode())
+    assert sorted(map(tuple, files.lines_with_offsets(spark, str(tmp_path)).collect())) == [(0, "é"), (3, "b"), (5, ""), (6, "c")]
+    cells = files.keyed_records(files.lines_with_offsets(spark, str(tmp_path))).collect()
+    assert {(bytes(r["row"]), bytes(r["col"]), bytes(r["contents"])) for r in cells} >= {(b"3", b"3", b"b")}
+    texts = spark.createDataFrame([(1, "é\nb\n\nc"), (2, "x\n"), (3, ""), (4, None)], "k int, t string")
+    assert sorted(map(tuple, files.text_line_offsets(texts, "k", "t").collect())) == [(1, 0, "é"), (1, 3, "b"), (1, 5, ""), (1, 6, "c"), (2, 0, "x")]
+
+
 def test_git(spark, tmp_path):
     work, bare = tmp_path / "w", tmp_path / "all" / "r.git"
     git = lambda *a, at=work: subprocess.run(["git", "-C", str(at), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
@@ -228,14 +364,25 @@ def test_git(spark, tmp_path):
     (work / "b.txt").write_text("x")
     git("add", ".")
     git("commit", "-qm", "x")
+    git("tag", "v1")
+    (work / "A.java").write_text("class A { int x; }")
+    git("commit", "-qam", "y")
     subprocess.run(["git", "clone", "-q", "--bare", f"file://{work}", str(bare)], check=True)
     git("repack", "-adq", at=bare)
     git("pack-refs", "--all", at=bare)
-    found = files.git_repositories(spark, str(tmp_path / "all")).collect()
-    assert len(found) == 1 and files.pack_index(spark, str(tmp_path / "all")).count() == 1
-    pack = open(found[0]["pack_path"].removeprefix("file:"), "rb").read()
-    rows = spark.createDataFrame([("r", pack, found[0]["packed_refs"])], "repository string, pack binary, packed_refs string")
-    assert [(r["version_name"], r["path"], bytes(r["content"])) for r in files.git_files(rows).collect()] == [("main", "A.java", b"class A {}")]
+    found = files.git_repositories(spark, str(tmp_path / "all"))
+    assert files.pack_index(spark, str(tmp_path / "all")).count() == 1
+    rows, counters = files.git_files(found)
+    assert sorted((r["version_name"], r["path"], bytes(r["content"])) for r in rows.collect()) == [("main", "A.java", b"class A { int x; }"), ("v1", "A.java", b"class A {}")]
+    assert {r["counter"]: r["n"] for r in counters.collect()} == {"killed": 0, "processed_files": 2, "missing_objects": 0}
+    rows, counters = files.git_files(found, seconds=0)
+    assert rows.count() == 0 and {r["counter"]: r["n"] for r in counters.collect()} == {"killed": 1, "processed_files": 0, "missing_objects": 0}
+    lost = found.withColumn("packed_refs", F.concat(F.lit("1" * 40 + " refs/heads/gone\n"), "packed_refs"))
+    rows, counters = files.git_files(lost)
+    assert rows.count() == 2 and {r["counter"]: r["n"] for r in counters.collect()} == {"killed": 0, "processed_files": 2, "missing_objects": 1}
+    (bare / "objects" / "pack" / "second.pack").write_bytes(b"x")
+    with pytest.raises(Exception, match="one pack file"):
+        files.git_repositories(spark, str(tmp_path / "all")).count()
 
 
 def test_streams(spark, tmp_path):
