@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.store import written
+
 CHUNK_ROWS = 500_000
 
 
@@ -86,9 +88,14 @@ def _strictly(counts: np.ndarray, k: int) -> bool:
     return int((counts >= edge).sum()) == k
 
 
-def _candidates(df: DataFrame, column: str, k: int) -> DataFrame:
+def _runs(df: DataFrame, column: str) -> DataFrame:
+    """The sorted runs, stored: they are read to draw the ranges, to sum all rows, and to be merged."""
     kind = df.schema[column].dataType.simpleString()
-    runs = df.select(F.col(column).alias("value")).mapInArrow(_sorted_runs, f"value {kind}, n bigint")
+    return written(df.select(F.col(column).alias("value")).mapInArrow(_sorted_runs, f"value {kind}, n bigint"), "runs")
+
+
+def _candidates(runs: DataFrame, k: int) -> DataFrame:
+    kind = runs.schema["value"].dataType.simpleString()
     # ranges are drawn by sampling the runs, which hold each value at most once a chunk: a hot value weighs no more than others
     ordered = runs.filter("value is not null").repartitionByRange("value").sortWithinPartitions("value")
     return ordered.mapInArrow(_merge(k), f"value {kind}, n bigint")
@@ -96,7 +103,7 @@ def _candidates(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def most_frequent(df: DataFrame, column: str, k: int) -> DataFrame:
     """(value, n): the k most frequent non-null values with their counts; ties go to the larger value. Fewer if there are fewer values."""
-    return _candidates(df, column, k).orderBy(F.desc("n"), F.desc("value")).limit(k)
+    return _candidates(_runs(df, column), k).orderBy(F.desc("n"), F.desc("value")).limit(k)
 
 
 def at_least_share(df: DataFrame, column: str, share: float) -> DataFrame:
@@ -104,8 +111,9 @@ def at_least_share(df: DataFrame, column: str, share: float) -> DataFrame:
 
     At most 1 / share values can; the heaps hold that many. An empty table gives no rows.
     """
-    least = share * df.count()
-    return _candidates(df, column, int(1 / share + 1e-9) + 1).filter(F.col("n") >= least)
+    runs = _runs(df, column)
+    least = share * (runs.agg(F.sum("n")).first()[0] or 0)
+    return _candidates(runs, int(1 / share + 1e-9) + 1).filter(F.col("n") >= least)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

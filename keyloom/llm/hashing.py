@@ -16,16 +16,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """text -> its 64-bit hash; emptied when it holds `most` entries, so memory stays bounded."""
+    """text -> its 64-bit hash (another one for another seed); emptied when it holds `most` entries, so memory stays bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 500_000, seed: int = 0):
         super().__init__()
-        self.most = most
+        self.most, self.seed = most, seed
 
     def __missing__(self, text: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[text] = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+        h = self[text] = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
         return h
 
 

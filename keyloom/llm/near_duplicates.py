@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import Memo, U, blocks, flat_hashes, mix, windows
 from keyloom.operators.skew import spread
-from keyloom.store import written
+from keyloom.store import discard, written
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+")
 ELEMENT_BITS, ELEMENT_BYTES, MASK = 48, 6, (1 << 64) - 1
@@ -81,10 +81,18 @@ def bagminhash(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_own
 
 
 def fingerprints(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit name of each owner's bag: equal bags, equal names."""
-    fp = np.zeros(n, U)
-    np.add.at(fp, owner, mix(element * U(3) + weight.astype(U) * U(0x9E3779B97F4A7C15)))
-    return mix(fp)
+    """A name of 128 bits (two columns) of each owner's bag: equal bags, equal names."""
+    fp = np.zeros((n, 2), U)
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        part = np.zeros(n, U)
+        np.add.at(part, owner, mix(mix(element * U(2 * k + 3)) + weight.astype(U) * U(odd)))
+        fp[:, k] = mix(part)
+    return fp
+
+
+def names(fp: np.ndarray) -> pa.Array:
+    """The fingerprints as binaries of 16 bytes."""
+    return pa.Array.from_buffers(pa.binary(16), len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp).tobytes())]).cast(pa.binary())
 
 
 def packed(element: np.ndarray) -> np.ndarray:
@@ -121,7 +129,7 @@ def _sketches(w: int, m: int, rows: int, weighted: bool):
                 fp = fingerprints(el, own, weight, j - i)
                 # equal bags of a block are sketched once: copies add neither points nor bucket rows
                 has = np.flatnonzero(size > 0)
-                lead = has[np.unique(fp[has], return_index=True)[1]]
+                lead = has[np.unique(fp[has], axis=0, return_index=True)[1]]
                 slot = np.full(j - i, -1)
                 slot[lead] = np.arange(len(lead))
                 keep = slot[own] >= 0
@@ -137,7 +145,7 @@ def _sketches(w: int, m: int, rows: int, weighted: bool):
                 for x, at in enumerate(lead):
                     low[at], wide[at] = bucket[x].view(np.int64), short[x].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(low, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
+                    [keys.slice(i, j - i), names(fp), pa.array(size.astype(np.int32)), pa.array(low, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
                     ["key", "bag", "size", "buckets", "short"],
                 )
 
@@ -146,7 +154,7 @@ def _sketches(w: int, m: int, rows: int, weighted: bool):
 
 def sketches(texts: DataFrame, key: str, text: str, w: int = 3, m: int = 200, rows: int = 5, weighted: bool = False) -> DataFrame:
     """(key, bag, size, buckets, short) of each row; bag names the bag of the text, buckets and short are set for one row of each bag in a batch."""
-    return spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(_sketches(w, m, rows, weighted), f"key {texts.schema[key].dataType.simpleString()}, bag bigint, size int, buckets array<bigint>, short binary")
+    return spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(_sketches(w, m, rows, weighted), f"key {texts.schema[key].dataType.simpleString()}, bag binary, size int, buckets array<bigint>, short binary")
 
 
 def _agreement(m: int, least: float):
@@ -174,7 +182,7 @@ def _bag_sets(w: int, weighted: bool):
                 el, own, cnt = bags(texts[i:j], memo, w)
                 fp = fingerprints(el, own, cnt if weighted else np.ones(len(el)), j - i)
                 raw = bag_bytes(el, own, cnt, j - i, weighted)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(raw, pa.binary())], ["bag", "items"])
+                yield pa.RecordBatch.from_arrays([names(fp), pa.array(raw, pa.binary())], ["bag", "items"])
 
     return run
 
@@ -204,7 +212,7 @@ def near_duplicates(texts: DataFrame, key: str, text: str, least: float = 0.7, w
     with 0.00002. Candidates are only those whose sizes allow the similarity; 4-bit registers then drop what is 4.5
     standard deviations too different, and the elements themselves decide. No bucket is capped: the bucket join is a
     sort-merge join without further demands on its order, which adaptive execution splits where a bucket is hot, and
-    copies were reduced to one row a batch before it.
+    copies were reduced to one row a batch before it. Bags go by names of 128 bits, elements by hashes of 48.
     """
     spark = texts.sparkSession
     base = written(sketches(texts, key, text, w, m, rows, weighted).filter("key is not null and size > 0"), "sketch")
@@ -219,21 +227,23 @@ def near_duplicates(texts: DataFrame, key: str, text: str, least: float = 0.7, w
         candidates.join(shorts.toDF("a", "short_a"), "a")
         .join(shorts.toDF("b", "short_b"), "b")
         .select("a", "b", "short_a", "short_b")
-        .mapInArrow(_agreement(m, least), "a bigint, b bigint")
+        .mapInArrow(_agreement(m, least), "a binary, b binary")
     )
     near = written(near, "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("bag")).distinct()
     # one text of each bag that is in a candidate pair; its elements are made again rather than kept for all texts
     holders = base.join(wanted, "bag", "left_semi").groupBy("bag").agg(F.min("key").alias("key"))
     again = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(holders.select("key").distinct(), "key", "left_semi").filter("text is not null")
-    items = again.mapInArrow(_bag_sets(w, weighted), "bag bigint, items binary").dropDuplicates(["bag"])
+    items = again.mapInArrow(_bag_sets(w, weighted), "bag binary, items binary").dropDuplicates(["bag"])
     pairs = (
         near.join(items.toDF("a", "items_a"), "a")
         .join(items.toDF("b", "items_b"), "b")
         .select("a", "b", "items_a", "items_b")
-        .mapInArrow(_verify(least - 1e-12), "a bigint, b bigint, similarity double")
+        .mapInArrow(_verify(least - 1e-12), "a binary, b binary, similarity double")
     )
-    return base.select("key", "bag").distinct(), written(pairs, "pairs")
+    out = written(pairs, "pairs")
+    discard(near)
+    return base.select("key", "bag").distinct(), out
 
 
 def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -261,6 +271,16 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}
 SQL = {
+    "p3_classes": r"""
+WITH f AS (SELECT lower(hex(hash)) AS fn, any_value(contents) AS c FROM code_functions WHERE hash IS NOT NULL AND contents IS NOT NULL GROUP BY 1),
+t AS (SELECT fn, regexp_extract_all(c, '[A-Za-z0-9_]+') AS t FROM f),
+e AS (SELECT fn, e, count(*) AS k FROM (SELECT fn, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS e FROM (SELECT fn, t, unnest(range(1, len(t) - 1)) AS i FROM t)) GROUP BY fn, e),
+bags AS (SELECT fn, md5(string_agg(e || ' ' || k, '|' ORDER BY e)) AS bag, sum(k) AS n FROM e GROUP BY fn),
+heads AS (SELECT bag, min(fn) AS class_fn, any_value(n) AS n FROM bags GROUP BY bag),
+h AS (SELECT e.* FROM e JOIN heads ON fn = class_fn),
+p AS (SELECT x.fn AS a, y.fn AS b, sum(least(x.k, y.k)) AS k FROM h x JOIN h y ON x.e = y.e AND x.fn <> y.fn GROUP BY 1, 2),
+links AS (SELECT a, count(*) AS n_links FROM p JOIN heads u ON u.class_fn = a JOIN heads v ON v.class_fn = b WHERE k >= 0.8 * (u.n + v.n - k) GROUP BY a)
+SELECT fn, class_fn, coalesce(n_links, 0)::BIGINT AS n_links FROM bags JOIN heads USING (bag) LEFT JOIN links ON a = class_fn""",
     "p3_found": r"""
 WITH f AS (SELECT lower(hex(hash)) AS fn, any_value(contents) AS c FROM code_functions WHERE hash IS NOT NULL AND contents IS NOT NULL GROUP BY 1),
 t AS (SELECT fn, regexp_extract_all(c, '[A-Za-z0-9_]+') AS t FROM f),

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.hashing import Memo, U, blocks, flat_hashes, windows
-from keyloom.store import written
+from keyloom.operators.ids import numbered
+from keyloom.store import discard, written
 
 
 def difference_cover(period: int) -> list[int]:
@@ -36,23 +37,12 @@ def split_lines(text: str | None) -> list[str]:
     return lines
 
 
-def _new_keys(keys: list, seen: set) -> list[int]:
-    """Rows whose key the task has not met yet: repeats of a key are not worked on again."""
-    out = []
-    for i, k in enumerate(keys):
-        if k not in seen:
-            seen.add(k)
-            out.append(i)
-    return out
-
-
 def _anchors(anchor: int, period: int):
     cover = np.isin(np.arange(period), difference_cover(period))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        memo = Memo()
         for batch in batches:
-            batch = batch.take(pa.array(_new_keys(batch.column(0).to_pylist(), seen), pa.int64()))
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for i, j in blocks(texts):
                 name, own, pos = windows(*flat_hashes([split_lines(t) for t in texts[i:j]], memo), anchor)
@@ -63,14 +53,15 @@ def _anchors(anchor: int, period: int):
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, seen = Memo(), set()
+    """Each text's lines as two independent hashes of 64 bits each."""
+    memos = Memo(), Memo(seed=1)
     for batch in batches:
-        batch = batch.take(pa.array(_new_keys(batch.column(0).to_pylist(), seen), pa.int64()))
         texts = batch.column(1).to_pylist()
         for i, j in blocks(texts):
-            h, sizes = flat_hashes([split_lines(t) for t in texts[i:j]], memo)
-            raw, ends = h.astype("<u8").tobytes(), np.cumsum(sizes) * 8
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[e - 8 * n : e] for e, n in zip(ends, sizes)], pa.binary())], ["k", "lines"])
+            pieces = [split_lines(t) for t in texts[i:j]]
+            (h1, sizes), (h2, _) = (flat_hashes(pieces, m) for m in memos)
+            raw, ends = np.stack([h1, h2], 1).astype("<u8").tobytes(), np.cumsum(sizes) * 16
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[e - 16 * n : e] for e, n in zip(ends, sizes)], pa.binary())], ["k", "lines"])
 
 
 def _spans(anchor: int, least: int):
@@ -79,14 +70,15 @@ def _spans(anchor: int, least: int):
             if not batch.num_rows:
                 continue
             lines, hits = batch.column("lines").to_pylist(), batch.column("hits").to_pylist()
-            sizes = np.fromiter(map(len, lines), np.int64, len(lines)) // 8
-            h, starts = np.frombuffer(b"".join(lines), "<u8").astype(U), np.cumsum(sizes) - sizes
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines)) // 16
+            both, starts = np.frombuffer(b"".join(lines), "<u8").astype(U).reshape(-1, 2), np.cumsum(sizes) - sizes
+            h = np.ascontiguousarray(both[:, 0])
             marks = np.zeros(len(h) + 1, np.int64)
             at = np.repeat(starts, [len(x) for x in hits]) + np.fromiter((p for x in hits for p in x), np.int64)
             marks[at + 1] = 1
             marks = np.cumsum(marks)
             s1, own, pos = windows(h, sizes, least, 1)
-            s2, _, _ = windows(h, sizes, least, 2)
+            s2, _, _ = windows(np.ascontiguousarray(both[:, 1]), sizes, least, 2)
             at = starts[own] + pos
             near = np.flatnonzero(marks[at + least - anchor + 1] > marks[at])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1[near].view(np.int64), s2[near].view(np.int64))] + [batch.column("k").take(pa.array(own[near])), pa.array(pos[near].astype(np.int32))], ["s1", "s2", "k", "position"])
@@ -118,25 +110,33 @@ def shared_regions(texts: DataFrame, key: str, text: str, least: int = 10, ancho
     regions, repeated rows of a key count once, texts of one key do not share with each other, other columns are not read.
     A span is shared if the smallest and the largest key that hold it differ: an aggregate combined on the map
     side, so however often a span occurs, no pairs are formed and no group is gathered; the joins back are semi-joins
-    against unique spans, which adaptive execution splits where one is hot. Keys go by 64-bit hashes until the end.
+    against unique spans, which adaptive execution splits where one is hot.
+
+    Texts are de-duplicated by key once and stored under numbers of their keys. Only the lines of texts with a shared anchor are
+    hashed, and spans are compared by 128 bits from two independent hashes of their lines.
     """
     if anchor + period - 1 > least:
         raise ValueError("the anchors would miss spans of the least length")
     named = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    rows = named.select(F.xxhash64("key").alias("k"), "text")
+    # one exchange: the join keeps the partitioning by key
+    single = named.dropDuplicates(["key"])
+    names = numbered(named, "key", "k")
+    rows = written(single.join(names, "key").select("k", "text"), "texts")
 
     def held_twice(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select(*by)
 
-    anchors = rows.mapInArrow(_anchors(anchor, period), "anchor bigint, k bigint, position int")
-    shared = written(held_twice(anchors, "anchor"), "anchors")
-    hits = anchors.join(shared, "anchor", "left_semi").groupBy("k").agg(F.collect_set("position").alias("hits"))
-    lines = rows.mapInArrow(_lines, "k bigint, lines binary").groupBy("k").agg(F.first("lines").alias("lines"))
+    anchors = written(rows.mapInArrow(_anchors(anchor, period), "anchor bigint, k bigint, position int"), "anchors")
+    hits = written(anchors.join(held_twice(anchors, "anchor"), "anchor", "left_semi").groupBy("k").agg(F.collect_set("position").alias("hits")), "hits")
+    discard(anchors)
+    lines = rows.join(hits.select("k"), "k", "left_semi").mapInArrow(_lines, "k bigint, lines binary")
     spans = written(lines.join(hits, "k").mapInArrow(_spans(anchor, least), "s1 bigint, s2 bigint, k bigint, position int"), "spans")
+    for done in (rows, hits):
+        discard(done)
     common = spans.join(held_twice(spans, "s1", "s2"), ["s1", "s2"], "left_semi")
     positions = common.groupBy("k").agg(F.sort_array(F.collect_set("position")).alias("p"))  # as many as the text has lines at most
     found = positions.mapInArrow(_runs(least), "k bigint, first_line int, n_lines int")
-    return named.select("key").distinct().withColumn("k", F.xxhash64("key")).join(found, "k").select("key", "first_line", "n_lines")
+    return names.join(found, "k").select("key", "first_line", "n_lines")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
