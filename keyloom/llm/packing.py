@@ -83,16 +83,23 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+#: Fixed value: how the public byte-level vocabularies of 50,000 ranks split a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def token_counter(vocabulary: str | None = None, pattern: str | None = None):
-    """A function text -> number of tokens of a byte-level BPE given as ranks; by default the installed public one."""
+    """A function text -> number of tokens of a byte-level BPE given as a file of ranks; by default the installed public one, with its pattern."""
     import base64
 
-    import public_tokenizers
     import tiktoken
 
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("own", pat_str=pattern or PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
@@ -159,5 +166,23 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p8_packed": p8_packed}
-SQL: dict = {}
+def p8_fit(spark: SparkSession, d: str) -> DataFrame:
+    """fits, filled: whether no container holds more than 2048 tokens, and all but 1 % of their room is used (one container may be open)."""
+    sums = p8_packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    one = sums.agg(F.max("n").alias("most"), F.sum("n").alias("used"), F.count(F.lit(1)).alias("n"))
+    return one.select((F.col("most") <= 2048).alias("fits"), (F.col("used") >= 0.99 * 2048 * (F.col("n") - 1)).alias("filled"))
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_rows, whole: every document with text, how often it is listed, and whether its pieces are all there, each as often, all but the last of 2048 tokens and in one container each."""
+    parts = p8_packed(spark, d).filter("doc_id is not null")
+    by = parts.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
+    of = by.groupBy("doc_id").agg(F.max("n").alias("n_rows"), F.min("n").alias("fewest"), F.max("piece").alias("last"), F.count(F.lit(1)).alias("n_pieces"), F.sum((F.col("least") < 2048).cast("int")).alias("short"), F.max("most").alias("most"))
+    return of.select("doc_id", "n_rows", ((F.col("n_rows") == F.col("fewest")) & (F.col("last") + 1 == F.col("n_pieces")) & (F.col("short") <= 1) & (F.col("most") <= 2048)).alias("whole"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fit": p8_fit, "p8_whole": p8_whole}
+SQL = {
+    "p8_fit": "SELECT true AS fits, true AS filled",
+    "p8_whole": "SELECT doc_id, count(*)::BIGINT AS n_rows, true AS whole FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY doc_id",
+}
