@@ -121,22 +121,22 @@ def shared_regions(texts: DataFrame, key: str, text: str, least: int = 10, ancho
     # one exchange: the join keeps the partitioning by key
     single = named.dropDuplicates(["key"])
     names = numbered(named, "key", "k")
-    rows = written(single.join(names, "key").select("k", "text"), "texts")
+    rows = written(single.join(names.hint("merge"), "key").select("k", "text"), "texts")
 
     def held_twice(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select(*by)
 
     anchors = written(rows.mapInArrow(_anchors(anchor, period), "anchor bigint, k bigint, position int"), "anchors")
-    hits = written(anchors.join(held_twice(anchors, "anchor"), "anchor", "left_semi").groupBy("k").agg(F.collect_set("position").alias("hits")), "hits")
+    hits = written(anchors.join(held_twice(anchors, "anchor").hint("merge"), "anchor", "left_semi").groupBy("k").agg(F.collect_set("position").alias("hits")), "hits")
     discard(anchors)
-    lines = rows.join(hits.select("k"), "k", "left_semi").mapInArrow(_lines, "k bigint, lines binary")
-    spans = written(lines.join(hits, "k").mapInArrow(_spans(anchor, least), "s1 bigint, s2 bigint, k bigint, position int"), "spans")
+    lines = rows.join(hits.select("k").hint("merge"), "k", "left_semi").mapInArrow(_lines, "k bigint, lines binary")
+    spans = written(lines.join(hits.hint("merge"), "k").mapInArrow(_spans(anchor, least), "s1 bigint, s2 bigint, k bigint, position int"), "spans")
     for done in (rows, hits):
         discard(done)
-    common = spans.join(held_twice(spans, "s1", "s2"), ["s1", "s2"], "left_semi")
+    common = spans.join(held_twice(spans, "s1", "s2").hint("merge"), ["s1", "s2"], "left_semi")
     positions = common.groupBy("k").agg(F.sort_array(F.collect_set("position")).alias("p"))  # as many as the text has lines at most
     found = positions.mapInArrow(_runs(least), "k bigint, first_line int, n_lines int")
-    return names.join(found, "k").select("key", "first_line", "n_lines")
+    return names.hint("merge").join(found, "k").select("key", "first_line", "n_lines")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
