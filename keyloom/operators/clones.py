@@ -1,6 +1,7 @@
 """Colliding snippets to clones: pairs, popular hashes, stitching, filtering, occurrences, groups."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -222,6 +223,63 @@ def expand(matches: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_expand, f"this_function {kind}, that_function {kind}, nth int, this_position int, this_length int, that_position int, that_length int, ended boolean")
 
 
+@dataclass(frozen=True)
+class CloneClasses:
+    """All clones in a form whose size does not grow with the functions of a popular hash.
+
+    Functions with the same popular snippets (hash and position) are a class. members: (function, class, first), first telling whether the function
+    may be the first of a pair (it has a rough match as such). of_classes: the clones of pairs of classes, columns as in expand(). of_pairs: the
+    clones of pairs of functions that have a rough match with each other, which are no case for their classes; pairs: these pairs. The clones
+    of two functions that are no pair are those of their classes.
+    """
+
+    members: DataFrame
+    of_classes: DataFrame
+    of_pairs: DataFrame
+    pairs: DataFrame
+
+    def expanded(self) -> DataFrame:
+        """Every clone of every two functions, this before that: as many rows as there are."""
+        this = self.members.filter("first").select(F.col("function").alias("f"), F.col("class").alias("this_function"))
+        that = self.members.select(F.col("function").alias("g"), F.col("class").alias("that_function"))
+        each = self.of_classes.join(this, "this_function").join(that, "that_function").filter("f < g").withColumn("this_function", F.col("f")).withColumn("that_function", F.col("g")).select(*self.of_pairs.columns)
+        return self.of_pairs.unionByName(each.join(self.pairs, ["this_function", "that_function"], "left_anti"))
+
+
+def clone_classes(colliding: DataFrame, threshold: int = POPULAR) -> CloneClasses:
+    """The clones of all_matches(), stitched once for each pair of classes instead of each pair of functions.
+
+    A pair of functions without a rough match has only woven ones, and these follow from the popular snippets of both, so from their classes. Hashes,
+    functions of `colliding` as coded() gives them.
+    """
+    colliding = written(colliding, "colliding")
+    rough = written(rough_pairs(colliding, threshold), "rough")
+    popular = popular_snippets(colliding, threshold).select("function", "hash", "position")
+    # a function has one snippet for each of its hashes, so a profile is no longer than its text
+    profiles = written(popular.groupBy("function").agg(F.sort_array(F.collect_list(F.struct("hash", "position"))).alias("profile")), "profiles")
+    names = numbered(profiles, "profile", "class")
+    starts = rough.select(F.col("this_function").alias("function"), F.lit(True).alias("first")).distinct()
+    members = profiles.join(names, "profile").select("function", "class").join(starts, "function", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    members = written(members, "members")
+    discard(profiles)
+    reach = members.groupBy("class").agg(F.min(F.when(F.col("first"), F.col("function"))).alias("low"), F.max("function").alias("high"))
+    held = names.select("class", F.explode("profile").alias("s")).select("class", "s.hash", "s.position").join(reach, "class")
+    a = held.filter("low is not null").select("hash", F.col("class").alias("this_function"), F.col("position").alias("this_position"), "low")
+    b = held.select("hash", F.col("class").alias("that_function"), F.col("position").alias("that_position"), "high")
+    between = a.join(b, "hash").filter("low < high").select("this_function", "that_function", "this_position", "that_position", "hash")
+    of_classes = expand(between.withColumn("woven", F.lit(0)))
+    pairs = written(rough.select("this_function", "that_function").distinct(), "pairs")
+    both = pairs.join(members.select(F.col("function").alias("this_function"), F.col("class").alias("x")), "this_function").join(members.select(F.col("function").alias("that_function"), F.col("class").alias("y")), "that_function")
+    mine, yours = (names.select(F.col("class").alias(c), F.col("profile").alias(f"p{c}")) for c in ("x", "y"))
+    # the woven matches of a pair: the hashes that both profiles hold, by two maps no larger than the profiles
+    met = both.select("x", "y").distinct().join(mine, "x").join(yours, "y")
+    at = F.map_from_entries("py")
+    shared = met.select("x", "y", F.filter(F.transform("px", lambda s: F.struct(s["hash"].alias("hash"), s["position"].alias("p"), F.element_at(at, s["hash"]).alias("q"))), lambda s: s["q"].isNotNull()).alias("m")).filter(F.size("m") > 0)
+    woven = both.join(shared, ["x", "y"]).select("this_function", "that_function", F.explode("m").alias("m")).select("this_function", "that_function", F.col("m.p").alias("this_position"), F.col("m.q").alias("that_position"), F.col("m.hash").alias("hash"))
+    of_pairs = expand(rough.withColumn("woven", F.lit(1)).unionByName(woven.withColumn("woven", F.lit(0))))
+    return CloneClasses(members, written(of_classes, "class_clones"), written(of_pairs, "pair_clones"), pairs)
+
+
 def _sequence(pdf: pd.DataFrame) -> pd.DataFrame:
     """seq: the order in which the reference's passes over one function emit its clones."""
     ended = pdf["ended"].to_dict()

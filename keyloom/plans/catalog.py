@@ -333,7 +333,7 @@ def spam_filter(spark: SparkSession, d: str) -> DataFrame:
 def _clones(spark: SparkSession, d: str, threshold: int = C.POPULAR) -> tuple[DataFrame, DataFrame]:
     """(clones of numbered functions, names)."""
     found, names = C.coded(_colliding(spark, d))
-    return C.expand(C.all_matches(found, threshold)), names
+    return C.clone_classes(found, threshold).expanded(), names
 
 
 def _fine(spark: SparkSession, d: str, threshold: int = C.POPULAR, strict: bool = False) -> DataFrame:
@@ -358,6 +358,23 @@ def expand_woven_clones(spark: SparkSession, d: str) -> DataFrame:
     return _shown(C.named(*_clones(spark, d, _POPULAR)))
 
 
+@query(f"WITH RECURSIVE {S.COLLIDING}, {S.rough(_POPULAR)}, {S.woven(_POPULAR)}, {S.clones()} SELECT lower(hex(this_function)) AS this_function, this_position, this_length, lower(hex(that_function)) AS that_function, that_position, that_length FROM clones")
+def stitched_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the matches of every two functions, without classes."""
+    found, names = C.coded(_colliding(spark, d))
+    return _shown(C.named(C.expand(C.all_matches(found, _POPULAR)), names))
+
+
+@query(f"WITH {S.COLLIDING}, {S.rough(_POPULAR)}, pop AS (SELECT * FROM colliding WHERE n >= {_POPULAR}), prof AS (SELECT function, string_agg(hex(hash) || ':' || position, ' ' ORDER BY hash) AS p FROM pop GROUP BY function) SELECT lower(hex(function)) AS function, lower(hex(min(function) OVER (PARTITION BY p))) AS class_function, function IN (SELECT this_function FROM rough) AS first FROM prof")
+def clone_class_members(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with popular snippets, the smallest function of their class, and whether they may come first."""
+    found, names = C.coded(_colliding(spark, d))
+    members = C.clone_classes(found, _POPULAR).members
+    heads = members.groupBy("class").agg(F.min("function").alias("class_function"))
+    out = C.named(members.join(heads, "class").select("function", "class_function", "first"), names, "function", "class_function")
+    return out.select(hexed("function").alias("function"), hexed("class_function").alias("class_function"), "first")
+
+
 @query(f"WITH RECURSIVE {S.FUNCTIONS}, {S.COLLIDING}, {S.rough()}, {S.woven()}, {S.clones()}, {S.fine()} SELECT this_function, this_position, this_length, that_function, that_position, that_length FROM fine")
 def fine_clones(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_fine(spark, d))

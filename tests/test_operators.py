@@ -422,6 +422,11 @@ def test_popular_hashes_are_woven_into_the_clones(spark):
     assert sorted(tuple(r) for r in C.expand(C.all_matches(C.collisions(df), limit)).select(*columns).collect()) == want
     found, names = C.coded(C.collisions(df))
     assert sorted(tuple(r) for r in C.named(C.expand(C.all_matches(found, limit)), names).select(*columns).collect()) == want
+    for least in (2, 3, limit, 100):
+        classes = C.clone_classes(found, least)
+        every = C.named(C.expand(C.all_matches(found, least)), names).select(*columns, "nth", "ended").collect()
+        assert sorted(map(tuple, C.named(classes.expanded(), names).select(*columns, "nth", "ended").collect())) == sorted(map(tuple, every)), least
+    assert C.clone_classes(found.limit(0)).expanded().count() == 0
 
 
 def test_clone_queries_take_popular_hashes(spark, tmp_path):
