@@ -1,6 +1,5 @@
 """Keyed rows: shuffles that keep one value for each (row, column), lookups by prefix, pipelines of maps and shuffles."""
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -8,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.store import discard, remove, shared_dir, written
+from keyloom.store import discard, folder, remove, written
 
 
 @dataclass(frozen=True)
@@ -164,7 +163,7 @@ def per_partition(open_: Callable, schema: str) -> Callable[[DataFrame], DataFra
 
 def with_sides(df: DataFrame, tag: str, names: Iterable[str], main: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(the rows of the main output, {name: rows} of the side outputs): a mapper's rows, told apart by their tag and stored once, so no output computes the mapper again. Rows of other tags are lost."""
-    df.write.partitionBy(tag).parquet(path := f"{shared_dir(df.sparkSession)}/sides-{uuid.uuid4().hex}")
+    df.write.partitionBy(tag).parquet(path := folder(df.sparkSession, "sides"))
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     outs = {n: back.filter(F.col(tag) == n).drop(tag) for n in (main, *names)}
     return outs.pop(main), outs
@@ -219,7 +218,7 @@ class Pipeline:
 
     def last_efflux(self, mapper: Mapper) -> "Sharded":
         """The last map's cells, stored as a source that can be looked up."""
-        return write_sharded(mapper(self.df), f"{shared_dir(self.df.sparkSession)}/efflux-{uuid.uuid4().hex}", self.spec)
+        return write_sharded(mapper(self.df), folder(self.df.sparkSession, "efflux"), self.spec)
 
     def side(self, mapper: Mapper) -> DataFrame:
         """A side output of this stage."""

@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 100_000) -> DataFrame:
     """Keys with more than max(least, share of all rows) rows: at most 1 / share of them, whatever the input.
 
-    One aggregate, combined on the map side, so a heavy key costs one row a task; the total comes from the same counts.
+    One aggregate, combined on the map side, so a heavy key costs one row a task. The number of rows comes from the file
+    footers where df is a stored table, as it should be.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    # only keys above `least` can be heavy; the others are summed to one row
-    few = counts.groupBy(F.when((F.col("__n") > least) & F.col(key).isNotNull(), F.col(key)).alias(key)).agg(F.sum("__n").alias("__n"))
-    held = few.collect()
-    total = sum(r["__n"] for r in held)
-    kept = [(r[0],) for r in held if r[0] is not None and r["__n"] > max(least, int(share * total))]
-    return df.sparkSession.createDataFrame(kept, few.select(key).schema)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.filter(F.col("__n") > max(least, int(share * df.count()))).select(key)
 
 
 #: A table of fewer bytes fits a task whatever its keys, so no count of its keys is needed.

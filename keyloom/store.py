@@ -24,10 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-#: What written() has stored and nobody has deleted, by application.
+#: What is stored in the shared folder and nobody has deleted, by application.
 _HELD: dict[str, set[str]] = {}
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clean() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,7 +42,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Deletes all tables that written() has stored in this application: for when no result that was built on them is to be read any more."""
+    """Deletes all tables stored in the shared folder by this application: for when no result that was built on them is to be read any more."""
     for path in _HELD.pop(spark.sparkContext.applicationId, set()):
         remove(spark, path)
 
@@ -43,11 +50,10 @@ def clean(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed once and read back from the shared folder. The result has the attribute stored_at."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _HELD.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
