@@ -128,7 +128,7 @@ def _windows(w: int, form: int, kind: pa.DataType, held=None, bits: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, powers = Templates(form), _powers(1)
-        known = None if held is None else np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
+        known = None if held is None else np.frombuffer(held.value, np.uint8)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for i, j in blocks(texts):
@@ -137,7 +137,11 @@ def _windows(w: int, form: int, kind: pa.DataType, held=None, bits: int = 0):
                     powers = _powers(2 * len(th))
                 h = rolling(th, w, powers)
                 ends = np.cumsum(sizes)
-                hit = np.flatnonzero(known[(h >> U(64 - bits)).astype(np.int64)]) if known is not None else np.arange(len(h))
+                if known is None:
+                    hit = np.arange(len(h))
+                else:
+                    at_bit = h >> U(64 - bits)
+                    hit = np.flatnonzero(known[(at_bit >> U(3)).astype(np.int64)] >> (at_bit & U(7)).astype(np.uint8) & 1)
                 doc = np.searchsorted(ends, hit, side="right")
                 inside = hit + w <= ends[doc] if len(hit) else np.empty(0, bool)
                 hit, doc = hit[inside], doc[inside]
@@ -182,13 +186,14 @@ def one_to_one(a: Column, b: Column) -> Column:
     return (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))
 
 
-#: Bits of the filter: 16 for each item window, but at most 2^MOST_BITS, 128 MB. Beyond 2^26 windows more documents' windows pass it and the join does more.
-LEAST_BITS, MOST_BITS = 20, 30
+#: Bits of the filter: 16 for each item window, but at most 2^MOST_BITS, 64 MB. Beyond 2^25 windows more documents' windows pass it and the join does more.
+LEAST_BITS, MOST_BITS = 20, 29
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = 13, changed: bool = True, least_fixed: int = 8) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = 13, changed: bool = True, least_fixed: int = 8, names: bool = True) -> DataFrame:
     """(doc, item, how), one row each: how is verbatim (w successive words in common) or changed (w successive templates equal, numbers, units and names mapped one to one, at least
     least_fixed of them words); a window that some item has word for word counts for that item only.
+    Without names only numbers and units are types.
 
     Null ids and texts, and items of fewer than w words, leak nothing; repeated rows count once; other columns are not read.
 
@@ -201,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).filter("id is not null and text is not null"))
     source = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
     found = None
-    for form in (PLAIN, WITH_NAMES) if changed else (PLAIN,):
+    for form in (PLAIN, WITH_NAMES) if changed and names else (PLAIN,):
         theirs = written(_windowed(source, w, form).distinct(), "item_windows")
         bits = min(MOST_BITS, max(LEAST_BITS, (16 * theirs.count()).bit_length()))
         held = spark.sparkContext.broadcast(bytes(bitmap(theirs, bits)))
@@ -232,8 +237,26 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "how")
 
 
-QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks}
+def p9_renumbered(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item_id, how: documents against items whose numbers got a further digit, so that leaks are re-parameterised ones; numbers and units are types."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").withColumn("text", F.regexp_replace("text", r"\b([0-9]+)\b", "$17"))
+    found = leaks(spark.read.parquet(f"{d}/documents.parquet"), items, names=False)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "how")
+
+
+_TYPED = f"CASE WHEN regexp_full_match(x, '[0-9].*|{NUMBER.pattern}') THEN '<number>' WHEN x IN ({', '.join(repr(u) for u in sorted(UNITS))}) THEN '<unit>' ELSE x END"
+QUERIES = {"p9_found": p9_found, "p9_renumbered": p9_renumbered, "p9_leaks": p9_leaks}
 SQL = {
+    "p9_renumbered": rf"""
+WITH a AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(regexp_replace(text, '\b([0-9]+)\b', '\17', 'g')), '[a-z0-9]+') FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+t AS (SELECT side, id, w, list_transform(w, lambda x: {_TYPED}) AS t FROM a),
+p AS (SELECT side, id, w[i : i + 12] AS w, t[i : i + 12] AS t FROM (SELECT side, id, w, t, unnest(range(1, len(w) - 11)) AS i FROM t)),
+x AS (SELECT DISTINCT side, id, array_to_string(w, ' ') AS g, array_to_string(t, ' ') AS g2, t, list_filter(w, lambda v, k: t[k] IN ('<number>', '<unit>')) AS s FROM p),
+told AS (SELECT DISTINCT g FROM x WHERE side = 'i'),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, d.g = i.g AS same, d.g IN (SELECT g FROM told) AS known, d.s AS ds, i.s AS s FROM x d JOIN x i ON d.g2 = i.g2 WHERE d.side = 'd' AND i.side = 'i')
+SELECT doc_id, item_id, max(how) AS how FROM (SELECT doc_id, item_id, CASE WHEN same THEN 'verbatim' WHEN NOT known AND 13 - len(s) >= 8
+  AND len(list_distinct(list_zip(ds, s))) = len(list_distinct(ds)) AND len(list_distinct(list_zip(ds, s))) = len(list_distinct(s)) THEN 'changed' END AS how FROM m) WHERE how IS NOT NULL GROUP BY ALL""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
