@@ -8,6 +8,7 @@ number or address is replaced alike everywhere (coreference), in the format, scr
 that clash with each other or with real entities of the corpus are drawn again until none does.
 """
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -261,12 +262,13 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
 
 def find(text: str, learned: frozenset = frozenset()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each piece of personal data, in order, without overlaps. learned: further given names."""
-    found: list[tuple[str, int, int]] = []
+    found: list[tuple[int, int, str]] = []  # in order
 
     def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
         for a, b in spans:
-            if all(b <= x or y <= a for _, x, y in found):
-                found.append((kind, a, b))
+            i = bisect.bisect_left(found, (a,))
+            if (not i or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+                found.insert(i, (a, b, kind))
 
     add("email", _emails(text))
     low = text.lower()
@@ -277,7 +279,7 @@ def find(text: str, learned: frozenset = frozenset()) -> list[tuple[str, int, in
     add("address", sorted(_addresses(text), key=lambda x: (x[0], -x[1])))
     add("name", _general_names(text, learned))
     add("name", _names(text))
-    return sorted(found, key=lambda x: x[1])
+    return [(kind, a, b) for a, b, kind in found]
 
 
 # --- given names from the corpus

@@ -276,6 +276,14 @@ def test_personal_data_places():
         assert personal_data.find(decoy) == [], decoy
 
 
+def test_very_long_texts():
+    text = "Ask Zeynep Yilmaz about this, or mail a.b@example.com at 206 Fern Street. " * 20_000 + "Aa" * 200_000 + " " * 200_000 + "a.b" * 100_000
+    found = personal_data.find(text)
+    assert len(found) == 60_000 and found == sorted(found, key=lambda x: x[1]) and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+    assert generated_files.kind("a.java", "int x;\n" * 200_000) is None
+    assert syntax.Judge()("java", "class A { void f() { " + "g(1);\n" * 200_000 + "} }") is True
+
+
 def test_surrogates():
     key = b"k"
     assert personal_data.canonical("name", "Varley,\n> Sofia") == personal_data.canonical("name", "Sofia Varley")
