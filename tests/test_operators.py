@@ -385,6 +385,38 @@ def test_git(spark, tmp_path):
         files.git_repositories(spark, str(tmp_path / "all")).count()
 
 
+def test_fetch(spark, tmp_path):
+    from keyloom.sources import repositories
+
+    work, folder = tmp_path / "w", tmp_path / "mirror"
+    git = lambda *a: subprocess.run(["git", "-C", str(work), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    work.mkdir()
+    folder.mkdir()
+    git("init", "-q", "-b", "main", ".")
+    (work / "A.java").write_text("class A {}")
+    git("add", ".")
+    git("commit", "-qm", "x")
+    lines = [f"al-pha git file://{work}", "beta svn http://nowhere.invalid/b", f"gamma git file://{tmp_path}/none", f"123 git file://{work}", ""]
+    listing = spark.createDataFrame([(x,) for x in lines], "value string")
+    for want in ("cloned", "updated"):
+        outcomes, found = repositories.fetched(spark, listing, str(folder))
+        assert {r["name"]: r["outcome"] for r in outcomes.collect()} == {"alpha": want, "beta": "skipped", "gamma": "failed"}
+        rows, _ = files.git_files(found)
+        assert sorted(bytes(r["content"]).decode() for r in rows.collect()) == (["class A {}"] if want == "cloned" else ["class A { int x; }"])
+        if want == "cloned":
+            (work / "A.java").write_text("class A { int x; }")
+            git("commit", "-qam", "y")
+    assert [p.name for p in folder.iterdir()] == ["alpha"]
+
+
+def test_merged_configurations():
+    from keyloom.sources import repositories
+
+    a, b = "<property><name>x</name><value>1</value></property>\n", "<property><name>x</name><value>2</value></property>\n<property><name>y</name><value>3</value></property>\n"
+    assert repositories.properties(repositories.merged_properties(a, b)) == {"x": "2", "y": "3"}
+    assert repositories.merged_settings("A=1\n", "A=2\n").index("A=1") < repositories.merged_settings("A=1\n", "A=2\n").index("A=2")
+
+
 def test_streams(spark, tmp_path):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abc") for _ in range(9))) for i in range(20)], "doc_id int, text string")
