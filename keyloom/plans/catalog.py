@@ -11,7 +11,7 @@ from keyloom.operators import etl, keyed, linear, snippets, wordcount
 from keyloom.operators.skew import spread
 from keyloom.plans import sql as S
 from keyloom.sources import files
-from keyloom.store import written
+from keyloom.store import folder, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -215,6 +215,64 @@ def encoded_cells(spark: SparkSession, d: str) -> DataFrame:
     return back.select(hexed("hash").alias("hash"), hexed("code_file").alias("code_file"), F.coalesce("base_line", F.lit(-1)).alias("base_line"), F.sha1(F.col("contents").cast("binary")).alias("text_hash"))
 
 
+@query("SELECT 'all' AS stage, count(*)::BIGINT AS n_rows, count(hash)::BIGINT AS n_hashes FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL UNION ALL SELECT 'gapped', count(*), count(DISTINCT position) FROM snippets WHERE hash IS NOT NULL AND function IS NOT NULL AND clone_type = 3")
+def stage_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the counters of two stages saw while they ran."""
+    counters = keyed.Counters()
+    cells = SNIPPET_KEYS.cell(table(spark, d, "snippets"))
+    seen = counters.observe(cells, "all", n_rows=F.count(F.lit(1)), n_hashes=F.count("hash"))
+    gapped = counters.observe(seen.filter("clone_type = 3").groupBy("position").agg(F.count(F.lit(1)).alias("n")), "gapped", n_rows=F.sum("n"), n_hashes=F.count(F.lit(1)))
+    gapped.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(stage, c["n_rows"], c["n_hashes"]) for stage, c in counters.report()], "stage string, n_rows bigint, n_hashes bigint")
+
+
+@query("SELECT lower(hex(hash)) AS hash, min(name) AS name FROM projects WHERE hash IS NOT NULL AND name IS NOT NULL GROUP BY hash")
+def installed_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table created, opened by its name and asked in SQL."""
+    tables, keys = keyed.Tables(spark), keyed.KeySpec(("hash",), ("kind",), ("name",))
+    made = table(spark, d, "projects").filter("name is not null").withColumn("kind", F.lit("project"))
+    folder_ = folder(spark, "tables")
+    tables.create("installed_projects", made, keys, folder_)
+    tables.drop("installed_projects")
+    tables.install("installed_projects", tables.open("installed_projects", keys, folder_).cells(), keys)
+    return spark.sql("SELECT lower(hex(hash)) AS hash, name FROM installed_projects")
+
+
+@query("SELECT n_regionkey::BIGINT AS region, n_name AS name, n_nationkey::BIGINT AS nation FROM nation")
+def local_objects(spark: SparkSession, d: str) -> DataFrame:
+    """A source of objects of the driver (the 25 nations), each given twice: the first wins."""
+    rows = [(int(r["n_regionkey"]), r["n_name"], int(r["n_nationkey"])) for r in table(spark, d, "nation").collect()]
+    return keyed.from_objects(spark, [*rows, *[(a, b, -1) for a, b, _ in rows]], "region bigint, name string, nation bigint", keyed.KeySpec(("region",), ("name",)))
+
+
+@query("SELECT lower(hex(function)) AS function, min(position) AS position FROM snippets WHERE function IS NOT NULL AND clone_type IS NOT NULL AND clone_type = 1 GROUP BY function")
+def written_efflux(spark: SparkSession, d: str) -> DataFrame:
+    """The last map's cells, written to a folder and read back."""
+    keys = keyed.KeySpec(("function",), ("clone_type",), ("position",))
+    flow = keyed.Pipeline.influx(table(spark, d, "snippets"), keys)
+    out = flow.map_and_efflux(lambda df: df.filter("clone_type = 1").select("function", "clone_type", "position"), folder(spark, "efflux"))
+    return out.select(hexed("function").alias("function"), "position")
+
+
+@query("SELECT (sum(length(l) + 1) OVER (ORDER BY l) - length(l) - 1)::BIGINT AS \"offset\", l AS contents FROM (SELECT n_name || ' ' || n_nationkey AS l FROM nation)")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a file (the 25 nations in order), with their byte offsets, by a Hadoop input format."""
+    at = folder(spark, "lines")
+    line = F.concat_ws(" ", "n_name", F.col("n_nationkey").cast("string")).alias("l")
+    table(spark, d, "nation").select(line).coalesce(1).sortWithinPartitions("l").write.text(at)
+    return files.lines_with_offsets(spark, at)
+
+
+@query("SELECT n_regionkey::BIGINT AS region, string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS content FROM nation GROUP BY n_regionkey")
+def file_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files as texts: one for each region, with its nations as lines."""
+    at = folder(spark, "texts")
+    rows = table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("l"))
+    rows.repartition(1).sortWithinPartitions("n_regionkey", "l").write.partitionBy("n_regionkey").text(at)
+    found = files.whole_texts(spark, at)
+    return found.select(F.regexp_extract(F.input_file_name(), "n_regionkey=([0-9]+)", 1).cast("bigint").alias("region"), "content")
+
+
 # --- normal forms and fingerprints
 
 
