@@ -101,10 +101,10 @@ def clones() -> str:
 WHEN {near} THEN {{'p': a.p, 'q': least(a.q, x.q), 'n': x.p - a.p + 1, 'k': greatest(a.k, x.q - least(a.q, x.q) + 1), 'lp': x.p, 'lq': x.q, 'ended': FALSE, 'rest': a.rest}}
 ELSE {{'p': a.p, 'q': a.q, 'n': a.n, 'k': a.k, 'lp': x.p, 'lq': x.q, 'ended': FALSE, 'rest': {left}}} END"""
     return f"""ordered AS (SELECT this_function, that_function, list({{'p': p, 'q': q}} ORDER BY p, w, hash) AS m FROM matches GROUP BY this_function, that_function),
-passes AS (SELECT this_function, that_function, m AS remaining, NULL::INTEGER AS p, NULL::INTEGER AS q, NULL::INTEGER AS n, NULL::INTEGER AS k FROM ordered
-  UNION ALL SELECT this_function, that_function, c.rest, c.p, c.q, c.n, c.k FROM (
-    SELECT this_function, that_function, list_reduce(list_transform(remaining, lambda x: {wide}), lambda a, x: {step}) AS c FROM passes WHERE len(remaining) > 0)),
-clones AS (SELECT this_function, p AS this_position, n + 4 AS this_length, that_function, q AS that_position, k + 4 AS that_length FROM passes WHERE p IS NOT NULL)"""
+passes AS (SELECT this_function, that_function, m AS remaining, NULL::INTEGER AS p, NULL::INTEGER AS q, NULL::INTEGER AS n, NULL::INTEGER AS k, FALSE AS ended, 0 AS nth FROM ordered
+  UNION ALL SELECT this_function, that_function, c.rest, c.p, c.q, c.n, c.k, c.ended, nth + 1 FROM (
+    SELECT this_function, that_function, nth, list_reduce(list_transform(remaining, lambda x: {wide}), lambda a, x: {step}) AS c FROM passes WHERE len(remaining) > 0)),
+clones AS (SELECT this_function, p AS this_position, n + 4 AS this_length, that_function, q AS that_position, k + 4 AS that_length, ended, nth FROM passes WHERE p IS NOT NULL)"""
 
 
 def fine() -> str:
@@ -112,8 +112,23 @@ def fine() -> str:
     return f"""texts AS (SELECT fn, {lines("c")} AS l FROM fns),
 cut AS (SELECT DISTINCT lower(hex(f)) AS fn, p, n FROM (SELECT this_function AS f, this_position AS p, this_length AS n FROM clones UNION ALL SELECT that_function, that_position, that_length FROM clones)),
 vocabularies AS (SELECT fn, p, n, list_distinct(regexp_extract_all(array_to_string(l[p + 1 : p + n], chr(10)), '[a-zA-Z][a-zA-Z0-9]*')) AS v FROM cut JOIN texts USING (fn)),
-fine AS (SELECT a.fn AS this_function, this_position, this_length, b.fn AS that_function, that_position, that_length FROM (
-  SELECT c.*, a.v AS va, b.v AS vb, a, b FROM clones c JOIN vocabularies a ON a.fn = lower(hex(this_function)) AND a.p = this_position AND a.n = this_length JOIN vocabularies b ON b.fn = lower(hex(that_function)) AND b.p = that_position AND b.n = that_length) WHERE NOT {SPAM})"""
+judged AS (SELECT this_function AS f, that_function AS g, a.fn AS this_function, this_position, this_length, b.fn AS that_function, that_position, that_length, ended, nth, coalesce(len(list_intersect(a.v, b.v)) < 0.8 * len(list_distinct(list_concat(a.v, b.v))), FALSE) AS spam
+  FROM clones c JOIN vocabularies a ON a.fn = lower(hex(this_function)) AND a.p = this_position AND a.n = this_length JOIN vocabularies b ON b.fn = lower(hex(that_function)) AND b.p = that_position AND b.n = that_length),
+fine AS (SELECT this_function, this_position, this_length, that_function, that_position, that_length FROM judged WHERE NOT spam)"""
+
+
+def strict() -> str:
+    """The clones before a function's first failure, in the order of its passes.
+
+    A pass goes through a function's partners in order, takes the next clone of each, and stops at one that a gap ended. So partner after partner
+    takes the first passes that no earlier partner has stopped.
+    """
+    return """partners AS (SELECT f, g, row_number() OVER (PARTITION BY f ORDER BY g) AS j, count(*) AS n, list(ended ORDER BY nth) AS e FROM judged GROUP BY f, g),
+walk AS (SELECT f, g, j, range(0, n) AS taken, list_filter(range(0, n), lambda x: e[x + 1]) AS stopped FROM partners WHERE j = 1
+  UNION ALL SELECT f, g, j, taken, list_concat(stopped, list_filter(taken, lambda x, k: e[k])) FROM (
+    SELECT t.f, t.g, t.j, t.e, w.stopped, list_filter(range(0, t.n + len(w.stopped)), lambda x: NOT list_contains(w.stopped, x))[1 : t.n] AS taken FROM walk w JOIN partners t ON t.f = w.f AND t.j = w.j + 1)),
+strict AS (SELECT this_function, this_position, this_length, that_function, that_position, that_length FROM (
+  SELECT c.*, bool_or(spam) OVER (PARTITION BY c.f ORDER BY taken[nth], j ROWS UNBOUNDED PRECEDING) AS failed FROM judged c JOIN walk w ON w.f = c.f AND w.g = c.g) WHERE NOT failed)"""
 
 
 SPAM = "len(list_intersect(va, vb)) < 0.8 * len(list_distinct(list_concat(va, vb)))"
