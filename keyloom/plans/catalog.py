@@ -318,7 +318,18 @@ def xor_digests(spark: SparkSession, d: str) -> DataFrame:
     return out.select("project_name", F.col("name").alias("version_name"), F.col("hash").alias("version_hash"), F.col("project").alias("project_hash")).distinct()
 
 
-@query()
+#: The splitter's pattern without what only keeps its search linear.
+_HEADS = r"(?:[^\n]*[^.](?:class|interface)|\n(?:class|interface)|[a-zA-Z \[\]<>,]*\([a-zA-Z \[\]<>,]*\)[a-zA-Z \[\]<>,]*\{)[^\n]*"
+
+
+@query(rf"""WITH f AS (SELECT row_number() OVER () AS r, file_id, contents AS t, regexp_extract_all(contents, '{_HEADS}') AS m, regexp_split_to_array(contents, '{_HEADS}') AS g FROM code_files WHERE path LIKE '%.java' AND contents IS NOT NULL),
+u AS (SELECT r, t, unnest(m) AS m, unnest(list_transform(g[1 : len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS i FROM f WHERE len(m) > 0),
+h AS (SELECT r, t, m, sum(gap + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS pos FROM u),
+s AS (SELECT r, pos - CASE WHEN pos = 0 OR t[pos::BIGINT] = chr(10) THEN 0 ELSE length(regexp_extract(t[1 : pos::BIGINT], '[^\n]*$')) END AS start FROM h WHERE NOT regexp_matches(m, '\b(?:switch|while|if|for)\b\s*\(')),
+b AS (SELECT r, 0 AS start FROM f UNION ALL SELECT r, start FROM s),
+c AS (SELECT r, start, lead(start) OVER w AS stop FROM b WINDOW w AS (PARTITION BY r ORDER BY start)),
+p AS (SELECT file_id, length(t[1 : start::BIGINT]) - length(replace(t[1 : start::BIGINT], chr(10), '')) AS base_line, CASE WHEN stop IS NULL THEN t[start::BIGINT + 1 :] ELSE t[start::BIGINT + 1 : stop::BIGINT] END AS chunk, stop FROM c JOIN f USING (r))
+SELECT file_id, base_line::INTEGER AS base_line, sha1(chunk) AS fn FROM (SELECT *, {S.type1('chunk')} AS n FROM p) WHERE (base_line > 0 OR stop IS NULL) AND len(regexp_split_to_array(n, '\r\n|\r|\n')) >= 5""")
 def tokenized_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions split from all Java files, by file."""
     java = table(spark, d, "code_files").filter(F.col("path").endswith(".java")).select("file_id", "contents")
