@@ -164,6 +164,21 @@ def file_kinds(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     return spread(rows).mapInArrow(_classify, f"id {files.schema[key].dataType.simpleString()}, kind string, source string")
 
 
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [layout(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[k] for s in found], t) for k, t in STATISTICS.items())], ["id", *STATISTICS])
+
+
+STATISTICS = {"chars": pa.int64(), "lines": pa.int64(), "max_line": pa.int64(), "mean_line": pa.float64(), "white": pa.float64(), "alnum": pa.float64(), "digits": pa.float64()}
+
+
+def layouts(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, chars, lines, max_line, mean_line, white, alnum, digits): the layout statistics of each row with a text, in bytes of UTF-8."""
+    rows = files.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    return spread(rows).mapInArrow(_statistics, f"id {files.schema[key].dataType.simpleString()}, chars bigint, lines bigint, max_line bigint, mean_line double, white double, alnum double, digits double")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """file_id of files that are not hand-written source."""
     found = file_kinds(spark.read.parquet(f"{d}/code_files.parquet"), "file_id", "path", "contents")
@@ -177,5 +192,17 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy(F.coalesce("v.kind", F.lit("source")).alias("kind"), F.coalesce("v.source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds}
-SQL: dict = {}
+def p2_layout(spark: SparkSession, d: str) -> DataFrame:
+    """file_id and the layout statistics that lead the verdicts, shares rounded to 6 places."""
+    found = layouts(spark.read.parquet(f"{d}/code_files.parquet").filter("file_id is not null"), "file_id", "contents")
+    return found.select(F.col("id").alias("file_id"), "chars", "lines", "max_line", *[F.round(c, 6).alias(c) for c in ("mean_line", "white", "alnum", "digits")]).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_kinds": p2_kinds, "p2_layout": p2_layout}
+SQL = {
+    "p2_layout": r"""
+WITH f AS (SELECT DISTINCT file_id, contents AS c, strlen(contents) AS n, list_filter(list_transform(string_split(contents, chr(10)), lambda x: strlen(x)), lambda x: x > 1) AS l FROM code_files WHERE contents IS NOT NULL AND file_id IS NOT NULL)
+SELECT DISTINCT file_id, n::BIGINT AS chars, greatest(len(l), 1)::BIGINT AS lines, coalesce(list_max(l), 0)::BIGINT AS max_line, round(coalesce(list_sum(l) / len(l), 0), 6) AS mean_line,
+  round(1 - strlen(regexp_replace(c, '[ \t\r\n\f\v]', '', 'g')) / greatest(n, 1), 6) AS white, round(1 - strlen(regexp_replace(c, '[A-Za-z0-9]', '', 'g')) / greatest(n, 1), 6) AS alnum, round(1 - strlen(regexp_replace(c, '[0-9]', '', 'g')) / greatest(n, 1), 6) AS digits
+FROM f"""
+}

@@ -294,5 +294,11 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_spread": p5_spread, "p5_rates": p5_rates}
-SQL: dict = {}
+def p5_json(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, valid: the verdicts on JSON files, which SQL has too; with small chunks, so that files have several."""
+    files = spark.read.parquet(f"{d}/code_files.parquet").filter("path like '%.json' and file_id is not null")
+    return parse_verdicts(files, "file_id", "path", "contents", 200).select(F.col("id").alias("file_id"), "valid").distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p5_spread": p5_spread, "p5_json": p5_json, "p5_rates": p5_rates}
+SQL = {"p5_json": "SELECT DISTINCT file_id, json_valid(contents) AS valid FROM code_files WHERE path LIKE '%.json' AND contents IS NOT NULL AND file_id IS NOT NULL"}

@@ -46,6 +46,13 @@ def test_file_kinds_name_their_source():
     assert generated_files.verdict("web/x.js", "f();\n") == (None, None)
 
 
+def test_layouts(spark):
+    df = spark.createDataFrame([(1, "ab 1\n\nx\ncdé\n", "a"), (2, "", "b"), (3, None, "c"), (None, "a", "d")], "file_id int, text string, chars string")
+    got = {r["id"]: (r["chars"], r["lines"], r["max_line"], r["mean_line"]) for r in generated_files.layouts(df, "file_id", "text").collect()}
+    assert got == {1: (13, 2, 4, 4.0), 2: (0, 1, 0, 0.0), None: (1, 1, 0, 0.0)}
+    assert generated_files.layouts(df.limit(0), "file_id", "text").count() == 0
+
+
 def test_file_kinds_of_dirty_rows(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (None, "vendor/a.py", None, "b"), (2, None, CODE * 400, "c"), (2, None, CODE, "c")], "file_id int, path string, contents string, kind string")
     assert sorted((str(r["id"]), str(r["kind"])) for r in generated_files.file_kinds(df, "file_id", "path", "contents").collect()) == [("1", "None"), ("2", "None"), ("2", "None"), ("None", "vendored")]
