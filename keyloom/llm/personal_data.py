@@ -89,7 +89,8 @@ BARE_ID = re.compile(r"[0-9](?<![\w.-].)(?:(?<=7)56\.\d{4}\.\d{4}\.\d{2}|\d{2}-\
 STREETS = r"(?:Street|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Court|Ct\.|Close|Square|Boulevard|Blvd\.?|Terrace|Crescent|Way|Place|Parkway|Row|Hill|Gardens|Walk|Alley|Grove|Mews|St\.|Dr\.)"
 STREET_WORD = re.compile(rf"{STREETS}(?!\w)")
 STREET_BEFORE = re.compile(rf"(?<![\w.+@/#-])\d{{1,5}}[a-zA-Z]?{S}(?:[NSEW]\.?{S})?(?:{NAME_PART}{S}){{1,3}}\Z")
-RUE_WORD = re.compile(r"(?:rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours|square|passage|faubourg)(?=[ \t\r\n])")
+#: From the last digit of the number on, since digits are rarer than the letters of these words.
+RUE_WORD = re.compile(rf"[0-9](?:{S}?(?:bis|ter|quater))?,?{S}(rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours|square|passage|faubourg)(?=[ \t\r\n])")
 RUE_BEFORE = re.compile(rf"(?<![\w.+@/#-])\d{{1,5}}(?:{S}?(?:bis|ter|quater))?,?{S}\Z")
 RUE_AFTER = re.compile(rf"{S}(?:(?:de{S}la|des|de|du){S}|(?:de{S})?[ld]['’])?{NAME_PART}")
 GASSE_WORD = re.compile(rf"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|graben|markt){S}\d{{1,4}}(?:[ ]?[a-z]\b)?(?![\w.-]*\d)")
@@ -250,7 +251,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         if head := _before(STREET_BEFORE, text, m.start()):
             yield head.start(), m.end()
     for m in RUE_WORD.finditer(text):
-        if (head := _before(RUE_BEFORE, text, m.start(), 20)) and (tail := RUE_AFTER.match(text, m.end())):
+        if (head := _before(RUE_BEFORE, text, m.start(1), 20)) and (tail := RUE_AFTER.match(text, m.end())):
             yield head.start(), tail.end()
     for m in GASSE_WORD.finditer(text):
         if head := _before(GASSE_BEFORE, text, m.start(), 40):
