@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.skew import spread
-from keyloom.store import written
+from keyloom.store import discard, written
 
 #: Pairs of a lower relative frequency are not sent to the tasks and count as unseen, so at most RARE of them are.
 RARE = 1 << 20
@@ -257,22 +257,33 @@ def _repair(held):
     return run
 
 
+def non_ascii(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text): the rows whose text holds a non-ASCII character."""
+    c = F.col(text)
+    return spread(texts.select(F.col(key).alias("id"), c.alias("text")).filter(c.isNotNull() & (F.length(c) < F.octet_length(c))))
+
+
+def pair_table(texts: DataFrame) -> DataFrame:
+    """(pair, n): the pairs of all texts, the only column."""
+    return texts.mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def repaired(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, n_runs, whole, restored): the garbled ones among rows of (id, text), by the stored pair counts. Frequent pairs go to the tasks: at most RARE, since each has at least 1 / RARE of the total."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    usual = {r["pair"]: r["n"] for r in counts.filter(F.col("n") * RARE >= total).toLocalIterator()}
+    held = rows.sparkSession.sparkContext.broadcast((usual, max(total, 1)))
+    return rows.mapInArrow(_repair(held), f"id {rows.schema['id'].dataType.simpleString()}, n_runs int, whole boolean, restored string")
+
+
 def garbled(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n_runs, whole, restored): each row whose text holds garbled runs; whole if all were restored, restored has them replaced.
 
     Null and ASCII texts are never garbled (the JVM drops them before any Python runs); a null key is kept, repeated
-    rows come repeatedly; other columns are not read. The statistics cover all distinct texts. Their frequent pairs
-    go to the tasks: at most RARE, since each has at least 1 / RARE of the total.
+    rows come repeatedly; other columns are not read. The statistics cover all distinct texts.
     """
-    c = F.col(text)
-    rows = texts.select(F.col(key).alias("id"), c.alias("text")).filter(c.isNotNull() & (F.length(c) < F.octet_length(c)))
-    rows = spread(rows)
-    spark = texts.sparkSession
-    counts = written(rows.select("text").distinct().mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    usual = {r["pair"]: r["n"] for r in counts.filter(F.col("n") * RARE >= total).toLocalIterator()}
-    held = spark.sparkContext.broadcast((usual, max(total, 1)))
-    return rows.mapInArrow(_repair(held), f"id {texts.schema[key].dataType.simpleString()}, n_runs int, whole boolean, restored string")
+    rows = non_ascii(texts, key, text)
+    return repaired(rows, written(pair_table(rows.select("text").distinct()), "pairs"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -292,32 +303,44 @@ LEAST_FOUND, LEAST_RESTORED = 0.95, 0.85
 
 
 def planted(spark: SparkSession, d: str) -> DataFrame:
-    """(read_as, n, n_found, n_restored): the whole table, and besides it garbled copies of every clean file whose SHA-1 begins with 0, each read as three wrong encodings."""
-    files = spark.read.parquet(f"{d}/code_files.parquet").filter("contents is not null").select(F.col("file_id").cast("string").alias("id"), "contents")
-    bad = written(garbled(files, "id", "contents").select("id").distinct(), "bad")
-    clean = files.filter(F.length("contents") < F.octet_length("contents")).join(bad, "id", "left_anti").select("contents").distinct().filter(F.sha1(F.col("contents").cast("binary")).startswith("0"))
-    raw = F.encode("contents", "UTF-8")
-    forms = {"windows-1252": raw, "ISO-8859-1": raw, "windows-1251": raw}
-    copies = clean.select("contents", F.explode(F.array(*[F.struct(F.lit(k).alias("read_as"), F.col("contents").alias("meant")) for k in forms])).alias("e")).select("e.*")
-    made = copies.mapInPandas(_misread, "id string, read_as string, meant string, contents string")
-    made = written(made.filter("contents is not null and contents <> meant"), "planted")
-    found = garbled(files.unionByName(made.select("id", "contents")), "id", "contents").select("id", "restored")
-    both = made.join(found, "id", "left")
-    return both.groupBy("read_as").agg(F.count(F.lit(1)).alias("n"), F.count("restored").alias("n_found"), F.sum((F.col("restored") == F.col("meant")).cast("bigint")).alias("n_restored"))
+    """(read_as, n, n_found, n_restored): garbled copies of every clean file, each read as three wrong encodings, besides the whole table.
 
+    Copies of all files at once would outnumber the clean text that the statistics are to be learned from. So there is a round for
+    each first digit of the files' SHA-1, with the whole table and the copies of the files of that digit; the figures are the sums
+    over all rounds. Pair counts add up, so those of the table are taken once, and a round counts and examines its copies only.
+    """
+    files = spark.read.parquet(f"{d}/code_files.parquet").select("contents").distinct()
+    table = written(non_ascii(files.withColumn("id", F.sha1(F.col("contents").cast("binary"))), "id", "contents"), "table")
+    own = written(pair_table(spread(table).select("text")), "pairs")
+    bad = written(repaired(spread(table), own).select("id"), "bad")
+    # sorted, so that a round reads its own part
+    clean = written(table.join(bad, "id", "left_anti").sort("id"), "clean")
+    figures = []
+    for (digit,) in sorted(clean.select(F.substring("id", 1, 1)).distinct().collect()):
+        made = written(clean.filter(F.col("id").startswith(digit)).mapInPandas(_misread, "id string, read_as string, meant string, text string"), "planted")
+        rows = spread(made.select("id", "text"))
+        # a copy may be equal to another one or to a text of the table: equal texts count once
+        added = rows.select(F.sha1(F.col("text").cast("binary")).alias("id"), "text").dropDuplicates(["id"]).join(table.select("id"), "id", "left_anti")
+        counts = written(own.unionByName(pair_table(added.select("text"))).groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+        both = made.join(repaired(rows, counts).select("id", "restored"), "id", "left")
+        figures += both.groupBy("read_as").agg(F.count(F.lit(1)).alias("n"), F.count("restored").alias("n_found"), F.count(F.when(F.col("restored") == F.col("meant"), 1)).alias("n_restored")).collect()
+        discard(made)
+        discard(counts)
+    sums = spark.createDataFrame(figures, "read_as string, n bigint, n_found bigint, n_restored bigint").groupBy("read_as")
+    return sums.agg(*[F.sum(c).alias(c) for c in ("n", "n_found", "n_restored")])
 
-def _misread(batches):
-    import hashlib
 
+def _misread(batches):
     for pdf in batches:
         out = []
-        for read_as, meant in zip(pdf["read_as"], pdf["meant"]):
-            try:
-                text = meant.encode().decode(read_as)
-            except UnicodeDecodeError:
-                continue  # bytes that the encoding has no characters for
-            out.append((f"{read_as}-{hashlib.sha1(meant.encode()).hexdigest()}", read_as, meant, text))
-        yield pd.DataFrame(out, columns=["id", "read_as", "meant", "contents"])
+        for key, meant in zip(pdf["id"], pdf["text"]):
+            for read_as in ("windows-1252", "ISO-8859-1", "windows-1251"):
+                try:
+                    text = meant.encode().decode(read_as)
+                except UnicodeDecodeError:
+                    continue  # bytes that the encoding has no characters for
+                out.append((f"{read_as}-{key}", read_as, meant, text))
+        yield pd.DataFrame(out, columns=["id", "read_as", "meant", "text"])
 
 
 def p6_planted(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Generated files, syntax, encodings, packing, contamination and personal data on small cases."""
 
+import hashlib
 import random
 import re
 
@@ -381,6 +382,17 @@ def test_encoding_repair_of_a_third_of_all_rows(spark, meant, near):
     assert got == {i: (True, meant + t) for i, t in tails.items()}
 
 
+def test_every_clean_file_is_planted(spark, tmp_path):
+    texts = [f"// {CLEAN[i % 5]} ({i})\nint x;\n" for i in range(60)]
+    texts = [t for t in texts if hashlib.sha1(t.encode()).hexdigest()[0] in "07f"]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (2, "// " + encoding_repair.meant_text(CLEAN[0].encode(), "latin_1")), (None, "// caf�s"), (100, None), (101, "int x;")]
+    spark.createDataFrame(rows, "file_id bigint, contents string").write.parquet(str(tmp_path / "code_files.parquet"))
+    got = {r["read_as"]: (r["n"], r["n_found"]) for r in encoding_repair.planted(spark, str(tmp_path)).collect()}
+    n = {read: sum(encoding_repair.meant_text(t.encode(), read) is not None for t in texts) for read in ("windows-1252", "ISO-8859-1", "windows-1251")}
+    assert n["ISO-8859-1"] == len(texts) >= 6 and {read: k for read, (k, _) in got.items()} == n
+    assert sum(f for _, f in got.values()) >= 0.8 * sum(n.values())
+
+
 def test_words_well_formed_by_chance_are_left_alone():
     texts = ["dans le CAFÉ» et TERMINÉ…", "PÓŁ", "пункт В»", "там и тем", "═╗ ╚═", "├── a\n└── b"]
     counts = encoding_repair.pair_counts([line for t in texts for line in t.split("\n")])
