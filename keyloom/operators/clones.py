@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import text as T
 from keyloom.operators.ids import numbered
-from keyloom.operators.skew import lookup_join
+from keyloom.operators.skew import SMALL_BYTES, lookup_join
 from keyloom.store import discard, stored_bytes, written
 
 POPULAR = 500
 MAX_GAP = 10
 
 
+def _rank() -> Column:
+    """Clone type and position of a snippet in one long; what is null comes last."""
+    return F.shiftleft(F.coalesce("clone_type", F.lit((1 << 31) - 1)).cast("bigint"), 32) + F.coalesce("position", F.lit((1 << 31) - 1))
+
+
 def collisions(snippets: DataFrame) -> DataFrame:
     """One snippet for each (hash, function), the lowest by clone type and position, with n, the functions that share its hash (two or more).
 
@@ -26,9 +31,8 @@ def collisions(snippets: DataFrame) -> DataFrame:
     pairs and joins back as a lookup, so a hash that a third of all rows carry is never gathered. Null hashes and functions
     collide with nothing; a null type or position comes last.
     """
-    rank = F.shiftleft(F.coalesce("clone_type", F.lit((1 << 31) - 1)).cast("bigint"), 32) + F.coalesce("position", F.lit((1 << 31) - 1))
     kept = snippets.filter("hash is not null and function is not null")
-    one = written(kept.groupBy("hash", "function").agg(F.min(rank).alias("rank")), "one")
+    one = written(kept.groupBy("hash", "function").agg(F.min(_rank()).alias("rank")), "one")
     parts = one.select("hash", "function", F.shiftright("rank", 32).cast("int").alias("clone_type"), F.col("rank").bitwiseAND((1 << 32) - 1).cast("int").alias("position"))
     counts = one.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return lookup_join(parts, counts, "hash", "inner", big_bytes=stored_bytes(one))
@@ -246,6 +250,34 @@ class CloneClasses:
         return self.of_pairs.unionByName(each.join(self.pairs, ["this_function", "that_function"], "left_anti"))
 
 
+def class_members(snippets: DataFrame, threshold: int = POPULAR) -> DataFrame:
+    """(function, class_function, first): the members of clone_classes() by the smallest function of their class, from the snippets alone.
+
+    No match is made, so the work is in proportion to the snippets. A function may come first if a later one shares a rare hash with it: if it has
+    more rare hashes than those whose last function it is. That needs three counts, which one exchange of the distinct (hash, function) serves,
+    and no join. Popular snippets are then read once more, by their hashes.
+    """
+    threshold = max(threshold, 2)  # a hash of one function collides with nothing
+    kept = snippets.filter("hash is not null and function is not null")
+    one = kept.select("hash", "function").distinct()
+    counts = one.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("function").alias("last"))
+    none = F.lit(None).cast(kept.schema["hash"].dataType).alias("hash")
+    hot = counts.filter(F.col("n") >= threshold).select("hash", F.col("last").alias("function"), "n")
+    lasts = counts.filter(F.col("n") < threshold).groupBy("last").agg((-F.count(F.lit(1))).alias("n")).select(none, F.col("last").alias("function"), "n")
+    held = one.groupBy("function").agg(F.count(F.lit(1)).alias("n")).select(none, "function", "n")
+    sums = written(hot.unionByName(lasts).unionByName(held), "sums")
+    hot = sums.filter("hash is not null").select("hash")
+    popular = kept.join(F.broadcast(hot) if stored_bytes(sums) <= SMALL_BYTES // 8 else hot, "hash")
+    one = popular.groupBy("hash", "function").agg(F.min(_rank()).alias("rank"))
+    # a function has one snippet for each of its hashes, so a profile is no longer than its text
+    profile = F.sort_array(F.collect_list(F.struct("hash", F.col("rank").bitwiseAND((1 << 32) - 1).alias("position")))).alias("profile")
+    profiles = written(one.groupBy("function").agg(profile), "profiles")
+    heads = profiles.groupBy("profile").agg(F.min("function").alias("class_function"))
+    rare = sums.filter("hash is null").groupBy("function").agg(F.sum("n").alias("rest"))
+    first = (F.col("rest") > F.size("profile")).alias("first")
+    return profiles.join(rare, "function").join(heads, "profile").select("function", "class_function", first)
+
+
 def clone_classes(colliding: DataFrame, threshold: int = POPULAR) -> CloneClasses:
     """The clones of all_matches(), stitched once for each pair of classes instead of each pair of functions.
 

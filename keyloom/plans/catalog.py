@@ -437,10 +437,7 @@ def stitched_matches(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S.COLLIDING}, {S.rough(_POPULAR)}, pop AS (SELECT * FROM colliding WHERE n >= {_POPULAR}), prof AS (SELECT function, string_agg(hex(hash) || ':' || position, ' ' ORDER BY hash) AS p FROM pop GROUP BY function) SELECT lower(hex(function)) AS function, lower(hex(min(function) OVER (PARTITION BY p))) AS class_function, function IN (SELECT this_function FROM rough) AS first FROM prof")
 def clone_class_members(spark: SparkSession, d: str) -> DataFrame:
     """Functions with popular snippets, the smallest function of their class, and whether they may come first."""
-    found, names = C.coded(_colliding(spark, d))
-    members = C.clone_classes(found, _POPULAR).members
-    heads = members.groupBy("class").agg(F.min("function").alias("class_function"))
-    out = C.named(members.join(heads, "class").select("function", "class_function", "first"), names, "function", "class_function")
+    out = C.class_members(table(spark, d, "snippets"), _POPULAR)
     return out.select(hexed("function").alias("function"), hexed("class_function").alias("class_function"), "first")
 
 
